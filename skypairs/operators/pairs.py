@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.binning import Binning, attach_bins
-from ..functions.geometry import with_angles, with_unit_vector
-from .pyramid import count_by_bin, distinct_positions
+from ..functions.geometry import chord2, with_angles, with_unit_vector
+from .grid import spread_to_touching, top_edge, with_cell
+from .pyramid import count_by_bin, distinct_positions, join_partitions
+from .resolution import join_base
+from .tiles import assign_pixel, explode_neighbours, neighbours
 
 
 def catalogue_vectors(catalogue: DataFrame, ra: str = "ra", dec: str = "dec",
@@ -24,11 +29,11 @@ def _coincident(positions: DataFrame, binning: Binning) -> DataFrame:
         F.lit(binning.imin).alias("ibin"), "Nbin").where("Nbin > 0")
 
 
-def count_pairs(vectors: DataFrame, binning: Binning, depth: int | str = "auto",
+def count_pairs(vectors: DataFrame, binning: Binning, halvings: int | str = "auto",
                 num_partitions: int | None = None) -> DataFrame:
     """(ibin, Nbin) of all unordered pairs of rows of ``vectors`` (x, y, z)."""
     positions = distinct_positions(vectors.withColumn("w", F.lit(1).cast("long")))
-    counts = count_by_bin(positions, binning, depth, num_partitions)
+    counts = count_by_bin(positions, binning, halvings, num_partitions)
     if binning.rmin == 0.0:
         counts = (counts.unionByName(_coincident(positions, binning))
                   .groupBy("ibin").agg(F.sum("Nbin").alias("Nbin")))
@@ -36,19 +41,110 @@ def count_pairs(vectors: DataFrame, binning: Binning, depth: int | str = "auto",
 
 
 def pair_counts(catalogue: DataFrame, binning: Binning, ra: str = "ra", dec: str = "dec",
-                depth: int | str = "auto", num_partitions: int | None = None) -> DataFrame:
+                halvings: int | str = "auto", num_partitions: int | None = None) -> DataFrame:
     """Exact pair count per bin: (ibin, lo, hi, width, Nbin), ordered by bin."""
-    counts = count_pairs(catalogue_vectors(catalogue, ra, dec), binning, depth, num_partitions)
+    counts = count_pairs(catalogue_vectors(catalogue, ra, dec), binning, halvings, num_partitions)
     return attach_bins(counts, binning).orderBy("ibin")
 
 
-def weighted_pair_counts(cells: DataFrame, binning: Binning, depth: int | str = "auto",
+def weighted_pair_counts(cells: DataFrame, binning: Binning, halvings: int | str = "auto",
                          num_partitions: int | None = None) -> DataFrame:
     """Sum of w * w2 per bin over pairs of weighted cells (x, y, z, w). Pairs inside one cell have
     no known separation and are not counted."""
-    counts = count_by_bin(cells.select("x", "y", "z", "w"), binning, depth, num_partitions)
+    counts = count_by_bin(cells.select("x", "y", "z", "w"), binning, halvings, num_partitions)
     return attach_bins(counts, binning).orderBy("ibin")
 
 
 def total_pairs(counts: DataFrame, column: str = "Nbin") -> DataFrame:
     return counts.agg(F.sum(column).alias("n_pairs"))
+
+
+def tiling_candidates(vectors: DataFrame, tiling: str, nbase: int,
+                      num_partitions: int | None = None) -> DataFrame:
+    """Candidate pairs from a pixel join: each row with the rows of its own and of the neighbouring
+    pixels. ``vectors`` carry a unique ``id``, x, y, z and ``ipix`` (and a weight ``w``, if any).
+
+    A row is sent to the neighbours with a lower pixel number only, and to its own pixel, so each
+    pair of pixels meets once (five rows per input row instead of nine). Neighbouring pixels reach
+    all partners only as far as the tiling's shape allows; see the README.
+    """
+    left = vectors.select(*(F.col(c).alias(f"{c}_a") for c in vectors.columns))
+    around = explode_neighbours(vectors, tiling, nbase, out="at", with_self=True)
+    right = (around.where(F.col("at") <= F.col("ipix"))
+             .select("at", *(F.col(c).alias(f"{c}_b") for c in vectors.columns)))
+    n = num_partitions or join_partitions(vectors)
+    left, right = left.repartition(n, "ipix_a").hint("merge"), right.repartition(n, "at")
+    once = (F.col("ipix_b") != F.col("at")) | (F.col("id_a") < F.col("id_b"))
+    return left.join(right, (F.col("ipix_a") == F.col("at")) & once)
+
+
+def pair_counts_on_tiling(catalogue: DataFrame, binning: Binning, tiling: str = "cubedsphere",
+                          ra: str = "ra", dec: str = "dec", id_col: str = "id",
+                          nbase: int | None = None, num_partitions: int | None = None) -> DataFrame:
+    """Exact pair count joined on the pixels of a tiling, for those who want that join key."""
+    nbase = nbase or join_base(tiling, binning)
+    angles = with_angles(catalogue.select(F.col(id_col).alias("id"), ra, dec)
+                         .where(F.col(ra).isNotNull() & F.col(dec).isNotNull()), ra, dec)
+    vectors = with_unit_vector(assign_pixel(angles, tiling, nbase)).select("id", "ipix", "x", "y", "z")
+    pairs = tiling_candidates(vectors, tiling, nbase, num_partitions).where(binning.inside(pair_r2()))
+    counts = pairs.groupBy(binning.index(pair_r2()).alias("ibin")).agg(F.count(F.lit(1)).alias("Nbin"))
+    return attach_bins(counts, binning).orderBy("ibin")
+
+
+def pair_r2() -> Column:
+    return chord2(tuple(F.col(f"{c}_a") for c in "xyz"), tuple(F.col(f"{c}_b") for c in "xyz"))
+
+
+def with_row_id(df: DataFrame, key: str | None = None, name: str = "id") -> DataFrame:
+    """A unique long per row: the key column when the table has one. A generated id depends on how
+    the input is split, so write the result out before using it on both sides of a join."""
+    return df.withColumn(name, F.col(key).cast("long") if key else F.monotonically_increasing_id())
+
+
+def pair_list(catalogue: DataFrame, reach_arcmin: float, ra: str = "ra", dec: str = "dec",
+              id_col: str = "id", chunk_rows: int = 100_000,
+              num_partitions: int | None = None) -> DataFrame:
+    """(id, id2), id < id2, of all pairs closer than ``reach_arcmin`` (chord): the edges of the
+    proximity graph.
+
+    The output grows with the pairs, so this is for short reaches; counts and degrees do not need
+    it. A cube with more than ``chunk_rows`` rows is cut into chunks joined in separate tasks: its
+    rows get a chunk number from their id, and the rows sent to it are repeated for every chunk.
+    """
+    rmax = math.radians(reach_arcmin / 60.0)
+    edge = top_edge(rmax)
+    rows = catalogue_vectors(catalogue.withColumnRenamed(id_col, "id"), ra, dec, keep=("id",))
+    keyed = with_cell(rows, edge)
+    chunks = keyed.groupBy("cell").agg(
+        F.ceil(F.count(F.lit(1)) / chunk_rows).cast("long").alias("chunks"))
+    crowded = chunks.where(F.col("chunks") > 1)
+    n = num_partitions or join_partitions(rows)
+    left = (keyed.join(crowded, "cell", "left")
+            .withColumn("chunk", F.coalesce(F.pmod(F.xxhash64("id"), F.col("chunks")), F.lit(0).cast("long")))
+            .select(F.col("cell").alias("cell_a"), "chunk",
+                    *(F.col(c).alias(f"{c}_a") for c in ("id", "x", "y", "z"))))
+    last = F.coalesce(F.col("chunks"), F.lit(1).cast("long")) - 1
+    right = (spread_to_touching(rows, edge, rmax).join(crowded, "cell", "left")
+             .withColumn("to", F.explode(F.sequence(F.lit(0).cast("long"), last)))
+             .select(F.col("cell").alias("cell_b"), "to",
+                     *(F.col(c).alias(f"{c}_b") for c in ("own", "id", "x", "y", "z"))))
+    left = left.repartition(n, "cell_a", "chunk").hint("merge")
+    right = right.repartition(n, "cell_b", "to")
+    once = (F.col("own_b") != F.col("cell_b")) | (F.col("id_a") < F.col("id_b"))
+    return (left.join(right, (F.col("cell_a") == F.col("cell_b")) & (F.col("chunk") == F.col("to"))
+                      & once & (pair_r2() < rmax * rmax))
+            .select(F.least("id_a", "id_b").alias("id"), F.greatest("id_a", "id_b").alias("id2")))
+
+
+def stage_counts(catalogue: DataFrame, binning: Binning, tiling: str = "cubedsphere", ra: str = "ra",
+                 dec: str = "dec") -> DataFrame:
+    """One row with what each stage handles: Ndata, Ndup (rows after neighbour expansion, own pixel
+    included) and nedges (counted pairs)."""
+    nbase = join_base(tiling, binning)
+    placed = catalogue.where(F.col(ra).isNotNull() & F.col(dec).isNotNull())
+    pixels = assign_pixel(with_angles(placed.select(ra, dec), ra, dec), tiling, nbase).groupBy("ipix").count()
+    sizes = neighbours(pixels, tiling, nbase).agg(
+        F.sum("count").alias("Ndata"),
+        F.sum(F.col("count") * (F.size("neighbours") + 1)).alias("Ndup"))
+    edges = pair_counts(catalogue, binning, ra, dec).agg(F.sum("Nbin").alias("nedges"))
+    return sizes.select("Ndata", "Ndup", edges.scalar().alias("nedges"))

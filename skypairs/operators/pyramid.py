@@ -15,6 +15,8 @@ decided in bulk and the counts are exact.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -22,12 +24,12 @@ from ..functions.binning import Binning
 from .grid import (HALF_OFFSETS, cell_key, finest_bits, key_step, parent_key,
                    spread_to_touching, top_edge, with_cell)
 
-# the edge shrinks by 2**STEP_BITS from one size of cubes to the next
-STEP_BITS = 2
+# join the points of touching cubes directly while no cube holds more distinct positions than this
+CROWD = 512
+# otherwise halve the cubes until none holds more than this
+LEAF_CROWD = 32
 # radius added to every ball, on the unit sphere; rounding errors are below 1e-14
 BALL_PAD = 1e-12
-# depth is chosen so that no smallest cube holds more distinct positions than this
-LEAF_POINTS = 512
 
 
 def distinct_positions(points: DataFrame) -> DataFrame:
@@ -37,31 +39,55 @@ def distinct_positions(points: DataFrame) -> DataFrame:
             .groupBy("x", "y", "z").agg(F.sum("w").alias("w")))
 
 
-def choose_depth(positions: DataFrame, reach: float, leaf_points: int = LEAF_POINTS) -> int:
-    """Smallest number of cube sizes for which no smallest cube is crowded.
+def useful_halvings(binning: Binning) -> int:
+    """Halving the cubes pays until one fits below the smallest counted distance (its own pairs are
+    then dropped in bulk); the key has room for no more than the grid's finest."""
+    edge = top_edge(binning.max_chord)
+    most = finest_bits(edge)
+    if binning.min_chord > 0:
+        most = min(most, max(0, math.ceil(math.log2(edge * math.sqrt(3.0) / binning.min_chord))))
+    return most
+
 
-    Runs one counting job per tried depth (usually one); each brings one number to the driver.
+def choose_halvings(positions: DataFrame, binning: Binning) -> int:
+    """How often to halve the cubes, from the number of positions in the most crowded one.
+
+    A counting job for the largest cubes, and if they are crowded one per tried size (usually one or
+    two); each brings a single number to the driver.
     """
-    edge = top_edge(reach)
-    deepest = finest_bits(edge) // STEP_BITS
-    for depth in range(deepest + 1):
-        key = cell_key(F.col("x"), F.col("y"), F.col("z"), edge / 2 ** (STEP_BITS * depth))
-        crowd = positions.groupBy(key.alias("cell")).count().agg(F.max("count")).first()[0]
-        if crowd is None or crowd <= leaf_points:
-            return depth
-    return deepest
-
-
-def cell_summaries(points: DataFrame, depth: int) -> list[DataFrame]:
-    """Weight and bounding box per cube, largest cubes first. ``points`` carry their ``leaf`` key."""
-    box = [f(c).alias(f"{n}_{c}") for c in "xyz" for f, n in ((F.min, "lo"), (F.max, "hi"))]
+    edge, most = top_edge(binning.max_chord), useful_halvings(binning)
+
+    def crowd(halvings: int) -> int:
+        key = cell_key(F.col("x"), F.col("y"), F.col("z"), edge / 2 ** halvings)
+        return positions.groupBy(key.alias("cell")).count().agg(F.max("count")).first()[0] or 0
+
+    top = crowd(0)
+    if top <= CROWD:
+        return 0
+    # a cube on the sphere has about four occupied children
+    halvings = min(most, math.ceil(math.log(top / LEAF_CROWD, 4)))
+    while halvings < most and crowd(halvings) > LEAF_CROWD:
+        halvings += 1
+    return halvings
+
+
+def cube_sizes(halvings: int) -> list[int]:
+    """Halvings of each size of the pyramid, the largest cubes (0) first. The largest are never
+    decided as a whole, so one size is skipped after them."""
+    return [0, *range(min(halvings, 2), halvings + 1)] if halvings else [0]
+
+
+def cell_summaries(points: DataFrame, sizes: list[int]) -> list[DataFrame]:
+    """Weight and bounding box per cube, in the order of ``sizes``. ``points`` carry their ``leaf``
+    key, of the smallest cubes; every larger size is merged from the next smaller one."""
+    sides = [(f"{n}_{c}", c, f) for c in "xyz" for n, f in (("lo", F.min), ("hi", F.max))]
     level = points.groupBy(F.col("leaf").alias("cell")).agg(
-        F.sum("w").alias("n"), F.sum(F.col("w") * F.col("w")).alias("n2"), *box)
-    merged = [f(f"{n}_{c}").alias(f"{n}_{c}") for c in "xyz" for f, n in ((F.min, "lo"), (F.max, "hi"))]
+        F.sum("w").alias("n"), F.sum(F.col("w") * F.col("w")).alias("n2"),
+        *(f(c).alias(name) for name, c, f in sides))
     levels = [level]
-    for _ in range(depth):
-        level = level.groupBy(parent_key(F.col("cell"), STEP_BITS).alias("cell")).agg(
-            F.sum("n").alias("n"), F.sum("n2").alias("n2"), *merged)
+    for coarse, fine in zip(sizes[-2::-1], sizes[::-1]):
+        level = level.groupBy(parent_key(F.col("cell"), fine - coarse).alias("cell")).agg(
+            F.sum("n").alias("n"), F.sum("n2").alias("n2"), *(f(name).alias(name) for name, _, f in sides))
         levels.append(level)
     return levels[::-1]
 
@@ -96,23 +122,9 @@ def _judge(cell_pairs: DataFrame, binning: Binning) -> DataFrame:
             .withColumn("ibin", F.when((near >= floor) & (far < binning.max_chord) & (lo == hi), hi)))
 
 
-def fold_counts(judged: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(counts per bin of the decided pairs, open pairs).
-
-    Both come from one aggregation, so that its shuffle is made once and read twice: decided pairs
-    melt to a row per bin before the shuffle, and the open ones are spread evenly by it. The two
-    filters test aggregates (never grouping keys), which keeps the optimizer from making two plans.
-    """
-    within = F.expr("(n_a * n_a - n2_a) div 2")
-    product = F.when(F.col("cell_a") == F.col("cell_b"), within).otherwise(F.col("n_a") * F.col("n_b"))
-    is_open = F.col("ibin").isNull()
-    folded = (judged.groupBy(F.coalesce("ibin", F.lit(-1)).alias("slot"),
-                             F.when(is_open, F.col("cell_a")).alias("pa"),
-                             F.when(is_open, F.col("cell_b")).alias("pb"))
-              .agg(F.max("ibin").alias("ibin"), F.sum(product).alias("Nbin")))
-    some = F.col("Nbin") >= 0
-    return (folded.where(F.col("ibin").isNotNull() & some).select("ibin", "Nbin"),
-            folded.where(F.col("ibin").isNull() & some).select("pa", "pb"))
+def _open(judged: DataFrame) -> DataFrame:
+    return judged.where(F.col("ibin").isNull()).select(F.col("cell_a").alias("pa"),
+                                                       F.col("cell_b").alias("pb"))
 
 
 def _ordered(a: str, b: str) -> Column:
@@ -146,60 +158,64 @@ def direct_pairs(points: DataFrame, binning: Binning, num_partitions: int | None
             .withColumn("r2", _r2()))
 
 
-def descend(points: DataFrame, binning: Binning, depth: int, fold,
-            num_partitions: int | None = None) -> tuple[list[DataFrame], DataFrame]:
+def descend(points: DataFrame, binning: Binning, halvings: int,
+            num_partitions: int | None = None) -> tuple[list[tuple[int, DataFrame]], DataFrame]:
     """Walk down the pyramid of ``points`` (distinct positions x, y, z with weight w).
 
-    ``fold(judged)`` takes the judged pairs of cubes of one size and returns what it makes of the
-    decided ones, and the open ones as (pa, pb). Returned are all the former, largest cubes first,
-    and the point pairs (suffixes _a, _b and ``r2``) that no cube could decide.
+    Returns, per size of cubes, (halvings, decided pairs: cell_a, cell_b, n_a, n_b, n2_a, ibin), and
+    the point pairs (suffixes _a, _b and ``r2``) that no cube could decide.
+
+    The open pairs of a size are two longs each; they are shuffled once, by both keys, and both the
+    decided and the open pairs of the next size read that shuffle.
     """
-    if depth == 0:
+    if halvings == 0:
         return [], direct_pairs(points, binning, num_partitions)
     edge = top_edge(binning.max_chord)
-    leaf_bits = STEP_BITS * depth
-    if leaf_bits > finest_bits(edge):
-        raise ValueError(f"depth {depth} is too deep for a radius of {binning.max_chord}")
-    keyed = with_cell(points, edge / 2 ** leaf_bits, "leaf")
-    levels = cell_summaries(keyed, depth)
+    if halvings > finest_bits(edge):
+        raise ValueError(f"cubes of radius {binning.max_chord} cannot be halved {halvings} times")
+    keyed = with_cell(points, edge / 2 ** halvings, "leaf")
+    sizes = cube_sizes(halvings)
+    levels = cell_summaries(keyed, sizes)
 
     n = num_partitions or join_partitions(points)
     steps = F.array(F.lit(0).cast("long"), *(F.lit(key_step(d)).cast("long") for d in HALF_OFFSETS))
     right = (_balls(levels[0], "b").withColumn("step", F.explode(steps))
              .withColumn("at", F.col("cell_b") + F.col("step")).drop("step"))
     left = _balls(levels[0], "a").repartition(n, "cell_a").hint("merge")
-    cell_pairs = left.join(right.repartition(n, "at"), F.col("cell_a") == F.col("at"))
-    decided, open_pairs = fold(_judge(cell_pairs, binning))
-    found = [decided]
-    for level in levels[1:]:
-        a, b = (_balls(level, side).withColumn(f"up_{side}", parent_key(F.col(f"cell_{side}"), STEP_BITS))
-                for side in "ab")
-        parents = open_pairs.repartition(n, "pa", "pb")
-        cell_pairs = (parents.join(a, F.col("pa") == F.col("up_a"))
-                      .join(b, (F.col("pb") == F.col("up_b"))
-                            & ((F.col("pa") != F.col("pb")) | (F.col("cell_a") <= F.col("cell_b")))))
-        decided, open_pairs = fold(_judge(cell_pairs, binning))
-        found.append(decided)
+    judged = _judge(left.join(right.repartition(n, "at"), F.col("cell_a") == F.col("at")), binning)
+    found = []
+    for k, size in enumerate(sizes):
+        if k:
+            a, b = (_balls(levels[k], s).withColumn(
+                f"up_{s}", parent_key(F.col(f"cell_{s}"), size - sizes[k - 1])) for s in "ab")
+            judged = _judge(
+                _open(judged).repartition(n, "pa", "pb").join(a, F.col("pa") == F.col("up_a"))
+                .join(b, (F.col("pb") == F.col("up_b"))
+                      & ((F.col("pa") != F.col("pb")) | (F.col("cell_a") <= F.col("cell_b")))), binning)
+        found.append((size, judged.where(F.col("ibin").isNotNull())
+                      .select("cell_a", "cell_b", "n_a", "n_b", "n2_a", "ibin")))
 
     once = (F.col("pa") != F.col("pb")) | _ordered("a", "b")
-    pairs = (open_pairs.repartition(n, "pa", "pb")
+    pairs = (_open(judged).repartition(n, "pa", "pb")
              .join(_side(keyed, "a"), F.col("pa") == F.col("leaf_a"))
              .join(_side(keyed, "b"), (F.col("pb") == F.col("leaf_b")) & once & binning.inside(_r2()))
              .withColumn("r2", _r2()))
     return found, pairs
 
 
-def count_by_bin(points: DataFrame, binning: Binning, depth: int | str = "auto",
+def count_by_bin(points: DataFrame, binning: Binning, halvings: int | str = "auto",
                  num_partitions: int | None = None) -> DataFrame:
     """(ibin, Nbin): sum of w_a * w_b over the unordered pairs of distinct positions, per bin.
 
-    ``depth="auto"`` sizes the pyramid from the most crowded cube; a number skips that job.
+    ``halvings="auto"`` sizes the pyramid from the most crowded cube; a number skips that job.
     """
-    if depth == "auto":
-        depth = choose_depth(points, binning.max_chord)
-    found, pairs = descend(points, binning, depth, fold_counts, num_partitions)
+    if halvings == "auto":
+        halvings = choose_halvings(points, binning)
+    found, pairs = descend(points, binning, halvings, num_partitions)
     total = pairs.groupBy(binning.index(F.col("r2")).alias("ibin")).agg(
         F.sum(F.col("w_a") * F.col("w_b")).alias("Nbin"))
-    for decided in found:
-        total = total.unionByName(decided)
+    within = F.expr("(n_a * n_a - n2_a) div 2")
+    product = F.when(F.col("cell_a") == F.col("cell_b"), within).otherwise(F.col("n_a") * F.col("n_b"))
+    for _, decided in found:
+        total = total.unionByName(decided.groupBy("ibin").agg(F.sum(product).alias("Nbin")))
     return total if not found else total.groupBy("ibin").agg(F.sum("Nbin").alias("Nbin"))
