@@ -27,7 +27,7 @@ def degrees(catalogue: DataFrame, reach_arcmin: float, ra: str = "ra", dec: str
     points = catalogue_vectors(catalogue.withColumnRenamed(id_col, "id"), ra, dec, keep=("id",))
     positions = distinct_positions(points.withColumn("w", F.lit(1).cast("long")))
     if halvings == "auto":
-        halvings = choose_halvings(positions, within)
+        halvings = choose_halvings(points, positions, within)
     found, pairs = descend(positions, within, halvings, num_partitions)
 
     near = pairs.select(F.explode(F.array(

@@ -33,7 +33,8 @@ def finest_bits(edge: float) -> int:
 
 
 def axis_index(c: Column, edge: float) -> Column:
-    return F.floor((c + 1.0) / edge)
+    # coalesce: coordinates are not null, and a key that may be null gets a null test in every join
+    return F.coalesce(F.floor((c + 1.0) / edge), F.lit(0).cast("long"))
 
 
 def pack(ix: Column, iy: Column, iz: Column) -> Column:

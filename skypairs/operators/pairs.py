@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from ..functions.binning import Binning, attach_bins
 from ..functions.geometry import chord2, with_angles, with_unit_vector
 from .grid import spread_to_touching, top_edge, with_cell
-from .pyramid import count_by_bin, distinct_positions, join_partitions
+from .pyramid import (choose_halvings, count_by_bin, distinct_positions,
+                      join_partitions)
 from .resolution import join_base
 from .tiles import assign_pixel, explode_neighbours, neighbours
 
@@ -31,8 +32,13 @@ def _coincident(positions: DataFrame, binning: Binning) -> DataFrame:
 
 def count_pairs(vectors: DataFrame, binning: Binning, halvings: int | str = "auto",
                 num_partitions: int | None = None) -> DataFrame:
-    """(ibin, Nbin) of all unordered pairs of rows of ``vectors`` (x, y, z)."""
+    """(ibin, Nbin) of all unordered pairs of rows of ``vectors`` (x, y, z, without nulls).
+
+    ``halvings="auto"`` looks for crowded cubes first, to size the pyramid; a number skips that job.
+    """
     positions = distinct_positions(vectors.withColumn("w", F.lit(1).cast("long")))
+    if halvings == "auto":
+        halvings = choose_halvings(vectors, positions, binning)
     counts = count_by_bin(positions, binning, halvings, num_partitions)
     if binning.rmin == 0.0:
         counts = (counts.unionByName(_coincident(positions, binning))
@@ -51,7 +57,10 @@ def weighted_pair_counts(cells: DataFrame, binning: Binning, halvings: int | str
                          num_partitions: int | None = None) -> DataFrame:
     """Sum of w * w2 per bin over pairs of weighted cells (x, y, z, w). Pairs inside one cell have
     no known separation and are not counted."""
-    counts = count_by_bin(cells.select("x", "y", "z", "w"), binning, halvings, num_partitions)
+    cells = cells.select("x", "y", "z", "w")
+    if halvings == "auto":
+        halvings = choose_halvings(cells, cells, binning)
+    counts = count_by_bin(cells, binning, halvings, num_partitions)
     return attach_bins(counts, binning).orderBy("ibin")
 
 

@@ -28,15 +28,21 @@ from .grid import (HALF_OFFSETS, cell_key, finest_bits, key_step, parent_key,
 CROWD = 512
 # otherwise halve the cubes until none holds more than this
 LEAF_CROWD = 32
+POINT_PAIR = [f"{c}_{s}" for s in "ab" for c in "xyzw"] + ["r2"]
 # radius added to every ball, on the unit sphere; rounding errors are below 1e-14
 BALL_PAD = 1e-12
 
 
 def distinct_positions(points: DataFrame) -> DataFrame:
     """Merge copies at the same position into one row; partial sums run before the shuffle, so any
-    number of copies of one position costs one row per input partition."""
-    return (points.where(F.col("x").isNotNull() & F.col("y").isNotNull() & F.col("z").isNotNull())
-            .groupBy("x", "y", "z").agg(F.sum("w").alias("w")))
+    number of copies of one position costs one row per input partition.
+
+    ``points`` hold no nulls (``catalogue_vectors`` sees to that); coalesce tells Spark. Otherwise
+    each join on them would push a null test of its own below this aggregation, and the shuffle
+    could not be shared by its readers.
+    """
+    sure = points.select(*(F.coalesce(c, F.lit(0.0)).alias(c) for c in "xyz"), "w")
+    return sure.groupBy("x", "y", "z").agg(F.sum("w").alias("w"))
 
 
 def useful_halvings(binning: Binning) -> int:
@@ -49,24 +55,26 @@ def useful_halvings(binning: Binning) -> int:
     return most
 
 
-def choose_halvings(positions: DataFrame, binning: Binning) -> int:
+def choose_halvings(points: DataFrame, positions: DataFrame, binning: Binning) -> int:
     """How often to halve the cubes, from the number of positions in the most crowded one.
 
-    A counting job for the largest cubes, and if they are crowded one per tried size (usually one or
-    two); each brings a single number to the driver.
+    Each tried size is a counting job, combined before its shuffle, that brings one number to the
+    driver. The first counts rows, copies included; only if they crowd are positions counted.
     """
     edge, most = top_edge(binning.max_chord), useful_halvings(binning)
 
-    def crowd(halvings: int) -> int:
+    def crowd(df: DataFrame, halvings: int) -> int:
         key = cell_key(F.col("x"), F.col("y"), F.col("z"), edge / 2 ** halvings)
-        return positions.groupBy(key.alias("cell")).count().agg(F.max("count")).first()[0] or 0
+        return df.groupBy(key.alias("cell")).count().agg(F.max("count")).first()[0] or 0
 
-    top = crowd(0)
+    if crowd(points, 0) <= CROWD:
+        return 0
+    top = crowd(positions, 0)
     if top <= CROWD:
         return 0
     # a cube on the sphere has about four occupied children
     halvings = min(most, math.ceil(math.log(top / LEAF_CROWD, 4)))
-    while halvings < most and crowd(halvings) > LEAF_CROWD:
+    while halvings < most and crowd(positions, halvings) > LEAF_CROWD:
         halvings += 1
     return halvings
 
@@ -82,12 +90,12 @@ def cell_summaries(points: DataFrame, sizes: list[int]) -> list[DataFrame]:
     key, of the smallest cubes; every larger size is merged from the next smaller one."""
     sides = [(f"{n}_{c}", c, f) for c in "xyz" for n, f in (("lo", F.min), ("hi", F.max))]
     level = points.groupBy(F.col("leaf").alias("cell")).agg(
-        F.sum("w").alias("n"), F.sum(F.col("w") * F.col("w")).alias("n2"),
+        F.count(F.lit(1)).alias("m"), F.sum("w").alias("n"), F.sum(F.col("w") * F.col("w")).alias("n2"),
         *(f(c).alias(name) for name, c, f in sides))
     levels = [level]
     for coarse, fine in zip(sizes[-2::-1], sizes[::-1]):
         level = level.groupBy(parent_key(F.col("cell"), fine - coarse).alias("cell")).agg(
-            F.sum("n").alias("n"), F.sum("n2").alias("n2"), *(f(name).alias(name) for name, _, f in sides))
+            F.sum("m").alias("m"), F.sum("n").alias("n"), F.sum("n2").alias("n2"), *(f(name).alias(name) for name, _, f in sides))
         levels.append(level)
     return levels[::-1]
 
@@ -108,7 +116,7 @@ def _balls(cells: DataFrame, s: str) -> DataFrame:
     half = F.sqrt(wide[0] * wide[0] + wide[1] * wide[1] + wide[2] * wide[2]) / 2.0
     sure = {c: (F.col(f"lo_{c}") + F.col(f"hi_{c}")) / 2.0 for c in "xyz"}
     sure["ball"] = half + BALL_PAD
-    longs = [F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in ("cell", "n", "n2")]
+    longs = [F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in ("cell", "m", "n", "n2")]
     return _side(cells.select(*longs, *(F.coalesce(v, F.lit(0.0)).alias(k) for k, v in sure.items())), s)
 
 
@@ -165,7 +173,8 @@ def descend(points: DataFrame, binning: Binning, halvings: int,
     Returns, per size of cubes, (halvings, decided pairs: cell_a, cell_b, n_a, n_b, n2_a, ibin), and
     the point pairs (suffixes _a, _b and ``r2``) that no cube could decide.
 
-    The open pairs of a size are two longs each; they are shuffled once, by both keys, and both the
+    Only pairs with a crowded cube go through the pyramid; points of all other cubes are joined
+    directly. The open pairs of a size are two longs each; they are shuffled once, by both keys, and both the
     decided and the open pairs of the next size read that shuffle.
     """
     if halvings == 0:
@@ -182,7 +191,9 @@ def descend(points: DataFrame, binning: Binning, halvings: int,
     right = (_balls(levels[0], "b").withColumn("step", F.explode(steps))
              .withColumn("at", F.col("cell_b") + F.col("step")).drop("step"))
     left = _balls(levels[0], "a").repartition(n, "cell_a").hint("merge")
-    judged = _judge(left.join(right.repartition(n, "at"), F.col("cell_a") == F.col("at")), binning)
+    crowded = (F.col("m_a") > CROWD) | (F.col("m_b") > CROWD)
+    judged = _judge(left.join(right.repartition(n, "at"), (F.col("cell_a") == F.col("at")) & crowded),
+                    binning)
     found = []
     for k, size in enumerate(sizes):
         if k:
@@ -200,17 +211,16 @@ def descend(points: DataFrame, binning: Binning, halvings: int,
              .join(_side(keyed, "a"), F.col("pa") == F.col("leaf_a"))
              .join(_side(keyed, "b"), (F.col("pb") == F.col("leaf_b")) & once & binning.inside(_r2()))
              .withColumn("r2", _r2()))
-    return found, pairs
+    # cubes without a crowd, among themselves
+    full = levels[0].where(F.col("m") > CROWD).select("cell")
+    thin = with_cell(points, edge).join(full, "cell", "left_anti").select(*points.columns)
+    sparse = direct_pairs(thin, binning, num_partitions)
+    return found, pairs.select(*POINT_PAIR).unionByName(sparse.select(*POINT_PAIR))
 
 
-def count_by_bin(points: DataFrame, binning: Binning, halvings: int | str = "auto",
+def count_by_bin(points: DataFrame, binning: Binning, halvings: int,
                  num_partitions: int | None = None) -> DataFrame:
-    """(ibin, Nbin): sum of w_a * w_b over the unordered pairs of distinct positions, per bin.
-
-    ``halvings="auto"`` sizes the pyramid from the most crowded cube; a number skips that job.
-    """
-    if halvings == "auto":
-        halvings = choose_halvings(points, binning)
+    """(ibin, Nbin): sum of w_a * w_b over the unordered pairs of distinct positions, per bin."""
     found, pairs = descend(points, binning, halvings, num_partitions)
     total = pairs.groupBy(binning.index(F.col("r2")).alias("ibin")).agg(
         F.sum(F.col("w_a") * F.col("w_b")).alias("Nbin"))
