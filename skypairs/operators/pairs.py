@@ -8,10 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.binning import Binning, attach_bins
-from ..functions.geometry import chord2, with_angles, with_unit_vector
+from ..functions.geometry import chord2, unit_vector_angles, with_angles, with_unit_vector
 from .grid import spread_to_touching, top_edge, with_cell
-from .pyramid import (choose_halvings, count_by_bin, distinct_positions,
-                      join_partitions)
+from .pyramid import choose_halvings, count_by_bin, distinct_positions, join_partitions, ordered
 from .resolution import join_base
 from .tiles import assign_pixel, explode_neighbours, neighbours
 
@@ -68,35 +67,67 @@ def total_pairs(counts: DataFrame, column: str = "Nbin") -> DataFrame:
     return counts.agg(F.sum(column).alias("n_pairs"))
 
 
-def tiling_candidates(vectors: DataFrame, tiling: str, nbase: int,
+def _meet(left: DataFrame, right: DataFrame, spread_by: list[str], chunk_rows: int,
+          num_partitions: int | None) -> DataFrame:
+    """Equi-join of ``left`` (key cell_a) and ``right`` (key cell_b) that no crowded key can clog.
+
+    The left rows of a key with more than ``chunk_rows`` rows are spread over chunks by a hash of
+    ``spread_by``, and the right rows of that key are repeated for each chunk, so the work on one key
+    is shared by many tasks and each task buffers one chunk.
+    """
+    crowded = (left.groupBy("cell_a").agg(F.ceil(F.count(F.lit(1)) / chunk_rows).cast("long").alias("chunks"))
+               .where(F.col("chunks") > 1))
+    first = F.lit(0).cast("long")
+    left = (left.join(crowded, "cell_a", "left")
+            .withColumn("chunk", F.coalesce(F.pmod(F.xxhash64(*spread_by), F.col("chunks")), first))
+            .drop("chunks"))
+    right = (right.join(crowded.withColumnRenamed("cell_a", "cell_b"), "cell_b", "left")
+             .withColumn("to", F.explode(F.sequence(first, F.coalesce("chunks", F.lit(1).cast("long")) - 1)))
+             .drop("chunks"))
+    n = num_partitions or join_partitions(left)
+    left = left.repartition(n, "cell_a", "chunk").hint("merge")
+    return left.join(right.repartition(n, "cell_b", "to"),
+                     (F.col("cell_a") == F.col("cell_b")) & (F.col("chunk") == F.col("to")))
+
+
+def tiling_candidates(vectors: DataFrame, tiling: str, nbase: int, chunk_rows: int = 100_000,
                       num_partitions: int | None = None) -> DataFrame:
     """Candidate pairs from a pixel join: each row with the rows of its own and of the neighbouring
-    pixels. ``vectors`` carry a unique ``id``, x, y, z and ``ipix`` (and a weight ``w``, if any).
+    pixels, columns suffixed _a and _b. ``vectors`` carry ipix, x, y, z and a unique ``id``; without
+    an id their positions must be distinct.
 
     A row is sent to the neighbours with a lower pixel number only, and to its own pixel, so each
     pair of pixels meets once (five rows per input row instead of nine). Neighbouring pixels reach
     all partners only as far as the tiling's shape allows; see the README.
     """
-    left = vectors.select(*(F.col(c).alias(f"{c}_a") for c in vectors.columns))
+    left = vectors.select(F.col("ipix").alias("cell_a"), *(F.col(c).alias(f"{c}_a") for c in vectors.columns))
     around = explode_neighbours(vectors, tiling, nbase, out="at", with_self=True)
     right = (around.where(F.col("at") <= F.col("ipix"))
-             .select("at", *(F.col(c).alias(f"{c}_b") for c in vectors.columns)))
-    n = num_partitions or join_partitions(vectors)
-    left, right = left.repartition(n, "ipix_a").hint("merge"), right.repartition(n, "at")
-    once = (F.col("ipix_b") != F.col("at")) | (F.col("id_a") < F.col("id_b"))
-    return left.join(right, (F.col("ipix_a") == F.col("at")) & once)
+             .select(F.col("at").alias("cell_b"), *(F.col(c).alias(f"{c}_b") for c in vectors.columns)))
+    by_id = "id" in vectors.columns
+    order = F.col("id_a") < F.col("id_b") if by_id else ordered("a", "b")
+    spread_by = ["id_a"] if by_id else ["x_a", "y_a", "z_a"]
+    return (_meet(left, right, spread_by, chunk_rows, num_partitions)
+            .where((F.col("ipix_b") != F.col("cell_b")) | order))
 
 
 def pair_counts_on_tiling(catalogue: DataFrame, binning: Binning, tiling: str = "cubedsphere",
-                          ra: str = "ra", dec: str = "dec", id_col: str = "id",
-                          nbase: int | None = None, num_partitions: int | None = None) -> DataFrame:
-    """Exact pair count joined on the pixels of a tiling, for those who want that join key."""
+                          ra: str = "ra", dec: str = "dec", nbase: int | None = None,
+                          num_partitions: int | None = None) -> DataFrame:
+    """Exact pair count joined on the pixels of a tiling, for those who want that join key. Copies
+    of a position are merged first; a crowded sky is better served by ``pair_counts``."""
     nbase = nbase or join_base(tiling, binning)
-    angles = with_angles(catalogue.select(F.col(id_col).alias("id"), ra, dec)
-                         .where(F.col(ra).isNotNull() & F.col(dec).isNotNull()), ra, dec)
-    vectors = with_unit_vector(assign_pixel(angles, tiling, nbase)).select("id", "ipix", "x", "y", "z")
-    pairs = tiling_candidates(vectors, tiling, nbase, num_partitions).where(binning.inside(pair_r2()))
-    counts = pairs.groupBy(binning.index(pair_r2()).alias("ibin")).agg(F.count(F.lit(1)).alias("Nbin"))
+    vectors = catalogue_vectors(catalogue, ra, dec).withColumn("w", F.lit(1).cast("long"))
+    positions = distinct_positions(vectors)
+    theta, phi = unit_vector_angles(*map(F.col, "xyz"))
+    placed = assign_pixel(positions.withColumns({"theta": theta, "phi": phi}), tiling, nbase)
+    pairs = (tiling_candidates(placed.drop("theta", "phi"), tiling, nbase, num_partitions=num_partitions)
+             .where(binning.inside(pair_r2())))
+    counts = pairs.groupBy(binning.index(pair_r2()).alias("ibin")).agg(
+        F.sum(F.col("w_a") * F.col("w_b")).alias("Nbin"))
+    if binning.rmin == 0.0:
+        counts = (counts.unionByName(_coincident(positions, binning))
+                  .groupBy("ibin").agg(F.sum("Nbin").alias("Nbin")))
     return attach_bins(counts, binning).orderBy("ibin")
 
 
@@ -123,25 +154,12 @@ def pair_list(catalogue: DataFrame, reach_arcmin: float, ra: str = "ra", dec: st
     rmax = math.radians(reach_arcmin / 60.0)
     edge = top_edge(rmax)
     rows = catalogue_vectors(catalogue.withColumnRenamed(id_col, "id"), ra, dec, keep=("id",))
-    keyed = with_cell(rows, edge)
-    chunks = keyed.groupBy("cell").agg(
-        F.ceil(F.count(F.lit(1)) / chunk_rows).cast("long").alias("chunks"))
-    crowded = chunks.where(F.col("chunks") > 1)
-    n = num_partitions or join_partitions(rows)
-    left = (keyed.join(crowded, "cell", "left")
-            .withColumn("chunk", F.coalesce(F.pmod(F.xxhash64("id"), F.col("chunks")), F.lit(0).cast("long")))
-            .select(F.col("cell").alias("cell_a"), "chunk",
-                    *(F.col(c).alias(f"{c}_a") for c in ("id", "x", "y", "z"))))
-    last = F.coalesce(F.col("chunks"), F.lit(1).cast("long")) - 1
-    right = (spread_to_touching(rows, edge, rmax).join(crowded, "cell", "left")
-             .withColumn("to", F.explode(F.sequence(F.lit(0).cast("long"), last)))
-             .select(F.col("cell").alias("cell_b"), "to",
-                     *(F.col(c).alias(f"{c}_b") for c in ("own", "id", "x", "y", "z"))))
-    left = left.repartition(n, "cell_a", "chunk").hint("merge")
-    right = right.repartition(n, "cell_b", "to")
+    left = with_cell(rows, edge).select(F.col("cell").alias("cell_a"),
+                                        *(F.col(c).alias(f"{c}_a") for c in ("id", "x", "y", "z")))
+    right = spread_to_touching(rows, edge, rmax).select(
+        F.col("cell").alias("cell_b"), *(F.col(c).alias(f"{c}_b") for c in ("own", "id", "x", "y", "z")))
     once = (F.col("own_b") != F.col("cell_b")) | (F.col("id_a") < F.col("id_b"))
-    return (left.join(right, (F.col("cell_a") == F.col("cell_b")) & (F.col("chunk") == F.col("to"))
-                      & once & (pair_r2() < rmax * rmax))
+    return (_meet(left, right, ["id_a"], chunk_rows, num_partitions).where(once & (pair_r2() < rmax * rmax))
             .select(F.least("id_a", "id_b").alias("id"), F.greatest("id_a", "id_b").alias("id2")))
 
 

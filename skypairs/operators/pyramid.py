@@ -135,7 +135,7 @@ def _open(judged: DataFrame) -> DataFrame:
                                                        F.col("cell_b").alias("pb"))
 
 
-def _ordered(a: str, b: str) -> Column:
+def ordered(a: str, b: str) -> Column:
     """Strict order of two positions: visits each unordered pair once, without a row id."""
     x, y, z = ((F.col(f"{c}_{a}"), F.col(f"{c}_{b}")) for c in "xyz")
     return (x[0] < x[1]) | ((x[0] == x[1]) & ((y[0] < y[1]) | ((y[0] == y[1]) & (z[0] < z[1]))))
@@ -161,7 +161,7 @@ def direct_pairs(points: DataFrame, binning: Binning, num_partitions: int | None
     n = num_partitions or join_partitions(points)
     # sort-merge: both sides may spill, whatever the size of a partition
     left, right = left.repartition(n, "cell_a").hint("merge"), right.repartition(n, "cell_b")
-    once = (F.col("own_b") != F.col("cell_b")) | _ordered("a", "b")
+    once = (F.col("own_b") != F.col("cell_b")) | ordered("a", "b")
     return (left.join(right, (F.col("cell_a") == F.col("cell_b")) & once & binning.inside(_r2()))
             .withColumn("r2", _r2()))
 
@@ -206,7 +206,7 @@ def descend(points: DataFrame, binning: Binning, halvings: int,
         found.append((size, judged.where(F.col("ibin").isNotNull())
                       .select("cell_a", "cell_b", "n_a", "n_b", "n2_a", "ibin")))
 
-    once = (F.col("pa") != F.col("pb")) | _ordered("a", "b")
+    once = (F.col("pa") != F.col("pb")) | ordered("a", "b")
     pairs = (_open(judged).repartition(n, "pa", "pb")
              .join(_side(keyed, "a"), F.col("pa") == F.col("leaf_a"))
              .join(_side(keyed, "b"), (F.col("pb") == F.col("leaf_b")) & once & binning.inside(_r2()))

@@ -289,6 +289,14 @@ def speed_cube(corners: str, n: int) -> str:
 SQL["til20_speed_cubed_sphere"] = speed_cube(corners_cubed(40), 40)
 SQL["til20_speed_similar_radius"] = speed_cube(corners_similar(40), 40)
 
+SQL["til20_speed_healpix"] = f"""WITH {corners_healpix(32, base='occ AS (SELECT range AS ipix FROM range(12288))')},
+  rc AS (SELECT ipix, round(x, 7) + 0e0 AS x, round(y, 7) + 0e0 AS y, round(z, 7) + 0e0 AS z FROM cor),
+  nb AS (SELECT DISTINCT a.ipix, b.ipix AS other FROM rc a JOIN rc b ON a.x = b.x AND a.y = b.y AND a.z = b.z AND a.ipix <> b.ipix),
+  nn AS (SELECT ipix, count(*) AS k FROM nb GROUP BY ipix), {SKY}, {healpix(32)},
+  oc AS (SELECT DISTINCT ipix, 0.5e0 AS px, 0.5e0 AS py FROM num), {hp_place(32, 'oc').replace('hd AS', 'gd AS').replace('hx AS', 'gx AS').replace('hj AS (', 'gj AS (').replace('hn AS', 'gn AS').replace('ht AS', 'gt AS').replace('hpl AS', 'gpl AS').replace('FROM hd', 'FROM gd').replace('FROM hx', 'FROM gx').replace('FROM hj', 'FROM gj').replace('FROM hn', 'FROM gn').replace('FROM ht', 'FROM gt')}
+  SELECT min(gpl.ipix) AS min_ipix, max(gpl.ipix) AS max_ipix, {r8('min(acos(hz))')} AS min_theta_c, {r8('min(hphi)')} AS min_phi_c,
+    CAST(min(k) AS INTEGER) AS min_neighbours FROM gpl JOIN nn ON gpl.ipix = nn.ipix"""
+
 # ---- pairs ----
 
 

@@ -106,7 +106,7 @@ def test_job(spark, tmp_path):
         (90 - F.degrees("theta")).alias("DEC"))
     catalogue.write_table(sky, str(tmp_path / "sky"))
     settings = dict(data=str(tmp_path / "sky"), n_bins=20, bin_min=2.5, bin_max=250.0, imin=10, imax=19,
-                    ra_name="RA", dec_name="DEC", id_name="key")
+                    ra_name="RA", dec_name="DEC")
     cells = PairCountJob(**settings).exact(spark).collect()
     assert cells == PairCountJob(cover="cubedsphere", **settings).exact(spark).collect()
     assert [r["ibin"] for r in PairCountJob(**settings | {"imin": 15}).reduced(spark).collect()] == [15, 16, 17, 18, 19]
