@@ -8,12 +8,12 @@ from pyspark.sql import functions as F
 from ..functions.binning import Binning
 from .grid import cell_key, parent_key, top_edge
 from .pairs import catalogue_vectors, pair_list
-from .pyramid import choose_halvings, descend, distinct_positions
+from .pyramid import CROWD, choose_halvings, descend, distinct_positions
 
 
 def degrees(catalogue: DataFrame, reach_arcmin: float, ra: str = "ra", dec: str = "dec",
             id_col: str = "id", directed: bool = False, halvings: int | str = "auto",
-            num_partitions: int | None = None) -> DataFrame:
+            num_partitions: int | None = None, crowd: int = CROWD) -> DataFrame:
     """(id, degree) of every point with a neighbour closer than ``reach_arcmin`` (chord).
 
     ``directed`` counts each edge at its smaller id only, which needs the edges themselves. Otherwise
@@ -27,8 +27,8 @@ def degrees(catalogue: DataFrame, reach_arcmin: float, ra: str = "ra", dec: str
     points = catalogue_vectors(catalogue.withColumnRenamed(id_col, "id"), ra, dec, keep=("id",))
     positions = distinct_positions(points.withColumn("w", F.lit(1).cast("long")))
     if halvings == "auto":
-        halvings = choose_halvings(points, positions, within)
-    found, pairs = descend(positions, within, halvings, num_partitions)
+        halvings = choose_halvings(points, positions, within, crowd)
+    found, pairs = descend(positions, within, halvings, num_partitions, crowd)
 
     near = pairs.select(F.explode(F.array(
         F.struct(*(F.col(f"{c}_a").alias(c) for c in "xyz"), F.col("w_b").alias("add")),

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from ..functions.binning import Binning, attach_bins
 from ..functions.geometry import chord2, unit_vector_angles, with_angles, with_unit_vector
 from .grid import spread_to_touching, top_edge, with_cell
-from .pyramid import choose_halvings, count_by_bin, distinct_positions, join_partitions, ordered
+from .pyramid import (CROWD, choose_halvings, count_by_bin, distinct_positions, join_partitions,
+                      ordered)
 from .resolution import join_base
 from .tiles import assign_pixel, explode_neighbours, neighbours
 
@@ -30,15 +31,16 @@ def _coincident(positions: DataFrame, binning: Binning) -> DataFrame:
 
 
 def count_pairs(vectors: DataFrame, binning: Binning, halvings: int | str = "auto",
-                num_partitions: int | None = None) -> DataFrame:
+                num_partitions: int | None = None, crowd: int = CROWD) -> DataFrame:
     """(ibin, Nbin) of all unordered pairs of rows of ``vectors`` (x, y, z, without nulls).
 
     ``halvings="auto"`` looks for crowded cubes first, to size the pyramid; a number skips that job.
+    A cube is crowded with more than ``crowd`` positions.
     """
     positions = distinct_positions(vectors.withColumn("w", F.lit(1).cast("long")))
     if halvings == "auto":
-        halvings = choose_halvings(vectors, positions, binning)
-    counts = count_by_bin(positions, binning, halvings, num_partitions)
+        halvings = choose_halvings(vectors, positions, binning, crowd)
+    counts = count_by_bin(positions, binning, halvings, num_partitions, crowd)
     if binning.rmin == 0.0:
         counts = (counts.unionByName(_coincident(positions, binning))
                   .groupBy("ibin").agg(F.sum("Nbin").alias("Nbin")))
@@ -46,9 +48,10 @@ def count_pairs(vectors: DataFrame, binning: Binning, halvings: int | str = "aut
 
 
 def pair_counts(catalogue: DataFrame, binning: Binning, ra: str = "ra", dec: str = "dec",
-                halvings: int | str = "auto", num_partitions: int | None = None) -> DataFrame:
+                halvings: int | str = "auto", num_partitions: int | None = None,
+                crowd: int = CROWD) -> DataFrame:
     """Exact pair count per bin: (ibin, lo, hi, width, Nbin), ordered by bin."""
-    counts = count_pairs(catalogue_vectors(catalogue, ra, dec), binning, halvings, num_partitions)
+    counts = count_pairs(catalogue_vectors(catalogue, ra, dec), binning, halvings, num_partitions, crowd)
     return attach_bins(counts, binning).orderBy("ibin")
 
 

@@ -55,7 +55,8 @@ def useful_halvings(binning: Binning) -> int:
     return most
 
 
-def choose_halvings(points: DataFrame, positions: DataFrame, binning: Binning) -> int:
+def choose_halvings(points: DataFrame, positions: DataFrame, binning: Binning,
+                    crowd: int = CROWD) -> int:
     """How often to halve the cubes, from the number of positions in the most crowded one.
 
     Each tried size is a counting job, combined before its shuffle, that brings one number to the
@@ -63,18 +64,18 @@ def choose_halvings(points: DataFrame, positions: DataFrame, binning: Binning) -
     """
     edge, most = top_edge(binning.max_chord), useful_halvings(binning)
 
-    def crowd(df: DataFrame, halvings: int) -> int:
+    def fullest(df: DataFrame, halvings: int) -> int:
         key = cell_key(F.col("x"), F.col("y"), F.col("z"), edge / 2 ** halvings)
         return df.groupBy(key.alias("cell")).count().agg(F.max("count")).first()[0] or 0
 
-    if crowd(points, 0) <= CROWD:
+    if fullest(points, 0) <= crowd:
         return 0
-    top = crowd(positions, 0)
-    if top <= CROWD:
+    top = fullest(positions, 0)
+    if top <= crowd:
         return 0
     # a cube on the sphere has about four occupied children
     halvings = min(most, math.ceil(math.log(top / LEAF_CROWD, 4)))
-    while halvings < most and crowd(positions, halvings) > LEAF_CROWD:
+    while halvings < most and fullest(positions, halvings) > LEAF_CROWD:
         halvings += 1
     return halvings
 
@@ -166,14 +167,14 @@ def direct_pairs(points: DataFrame, binning: Binning, num_partitions: int | None
             .withColumn("r2", _r2()))
 
 
-def descend(points: DataFrame, binning: Binning, halvings: int,
-            num_partitions: int | None = None) -> tuple[list[tuple[int, DataFrame]], DataFrame]:
+def descend(points: DataFrame, binning: Binning, halvings: int, num_partitions: int | None = None,
+            crowd: int = CROWD) -> tuple[list[tuple[int, DataFrame]], DataFrame]:
     """Walk down the pyramid of ``points`` (distinct positions x, y, z with weight w).
 
     Returns, per size of cubes, (halvings, decided pairs: cell_a, cell_b, n_a, n_b, n2_a, ibin), and
     the point pairs (suffixes _a, _b and ``r2``) that no cube could decide.
 
-    Only pairs with a crowded cube go through the pyramid; points of all other cubes are joined
+    Only pairs with a crowded cube (more than ``crowd`` positions) go through the pyramid; points of all other cubes are joined
     directly. The open pairs of a size are two longs each; they are shuffled once, by both keys, and both the
     decided and the open pairs of the next size read that shuffle.
     """
@@ -191,7 +192,7 @@ def descend(points: DataFrame, binning: Binning, halvings: int,
     right = (_balls(levels[0], "b").withColumn("step", F.explode(steps))
              .withColumn("at", F.col("cell_b") + F.col("step")).drop("step"))
     left = _balls(levels[0], "a").repartition(n, "cell_a").hint("merge")
-    crowded = (F.col("m_a") > CROWD) | (F.col("m_b") > CROWD)
+    crowded = (F.col("m_a") > crowd) | (F.col("m_b") > crowd)
     judged = _judge(left.join(right.repartition(n, "at"), (F.col("cell_a") == F.col("at")) & crowded),
                     binning)
     found = []
@@ -212,16 +213,16 @@ def descend(points: DataFrame, binning: Binning, halvings: int,
              .join(_side(keyed, "b"), (F.col("pb") == F.col("leaf_b")) & once & binning.inside(_r2()))
              .withColumn("r2", _r2()))
     # cubes without a crowd, among themselves
-    full = levels[0].where(F.col("m") > CROWD).select("cell")
+    full = levels[0].where(F.col("m") > crowd).select("cell")
     thin = with_cell(points, edge).join(full, "cell", "left_anti").select(*points.columns)
     sparse = direct_pairs(thin, binning, num_partitions)
     return found, pairs.select(*POINT_PAIR).unionByName(sparse.select(*POINT_PAIR))
 
 
 def count_by_bin(points: DataFrame, binning: Binning, halvings: int,
-                 num_partitions: int | None = None) -> DataFrame:
+                 num_partitions: int | None = None, crowd: int = CROWD) -> DataFrame:
     """(ibin, Nbin): sum of w_a * w_b over the unordered pairs of distinct positions, per bin."""
-    found, pairs = descend(points, binning, halvings, num_partitions)
+    found, pairs = descend(points, binning, halvings, num_partitions, crowd)
     total = pairs.groupBy(binning.index(F.col("r2")).alias("ibin")).agg(
         F.sum(F.col("w_a") * F.col("w_b")).alias("Nbin"))
     within = F.expr("(n_a * n_a - n2_a) div 2")

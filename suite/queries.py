@@ -382,8 +382,8 @@ def agg1_pair_counts_log_arc(spark, d):
 
 @query
 def agg1_pair_counts_bulk(spark, d):
-    """The same counts with the cubes halved three times, so that bulk counting is at work."""
-    return _counts(pairs.pair_counts(sky(spark, d), BINS, halvings=3))
+    """The same counts with bulk counting at work: cubes of more than four points are halved."""
+    return _counts(pairs.pair_counts(sky(spark, d), BINS, halvings=3, crowd=4))
 
 
 @query
@@ -423,7 +423,7 @@ def agg7_degrees(spark, d):
 
 @query
 def agg7_degrees_bulk(spark, d):
-    return graph.degrees(sky(spark, d), 100.0, halvings=2)
+    return graph.degrees(sky(spark, d), 100.0, halvings=2, crowd=1)
 
 
 @query

@@ -56,29 +56,25 @@ def as_dict(df):
 
 @pytest.mark.parametrize("halvings", [0, 1, 4, "auto"])
 def test_counts_match_brute_force(spark, crowded, halvings, monkeypatch):
-    if halvings != 0:
-        monkeypatch.setattr(pyramid, "CROWD", 40)
-        monkeypatch.setattr(pyramid, "LEAF_CROWD", 8)
-    got = as_dict(pairs.pair_counts(frame(spark, crowded), BINS, halvings=halvings))
+    monkeypatch.setattr(pyramid, "LEAF_CROWD", 8)
+    got = as_dict(pairs.pair_counts(frame(spark, crowded), BINS, halvings=halvings, crowd=40))
     assert got == brute_counts(crowded, BINS)
 
 
 @pytest.mark.parametrize("halvings", [0, 3])
-def test_linear_bins_from_zero_count_copies(spark, crowded, halvings, monkeypatch):
-    monkeypatch.setattr(pyramid, "CROWD", 40)
+def test_linear_bins_from_zero_count_copies(spark, crowded, halvings):
     bins = Binning.linear(0.0, 200.0, 8)
-    got = as_dict(pairs.pair_counts(frame(spark, crowded), bins, halvings=halvings))
+    got = as_dict(pairs.pair_counts(frame(spark, crowded), bins, halvings=halvings, crowd=40))
     assert got == brute_counts(crowded, bins)
 
 
 @pytest.mark.parametrize("halvings", [0, 2])
-def test_degrees_match_brute_force(spark, crowded, halvings, monkeypatch):
-    monkeypatch.setattr(pyramid, "CROWD", 40)
+def test_degrees_match_brute_force(spark, crowded, halvings):
     i, j, r2 = brute_r2(crowded)
     near = r2 < math.radians(30 / 60) ** 2
     want = np.bincount(np.concatenate([i[near], j[near]]), minlength=len(crowded))
     got = {r["id"]: r["degree"] for r in
-           graph.degrees(frame(spark, crowded), 30.0, halvings=halvings).collect()}
+           graph.degrees(frame(spark, crowded), 30.0, halvings=halvings, crowd=40).collect()}
     assert got == {k: int(n) for k, n in enumerate(want) if n}
 
 
@@ -119,7 +115,7 @@ def test_arc_metric_at_wide_angles(spark):
     arc = np.degrees(2 * np.arcsin(np.minimum(np.sqrt(r2) / 2, 1))) * 60
     want = np.histogram(arc, bins=np.linspace(600, 9600, 10))[0]
     for halvings in (0, 2):
-        got = as_dict(pairs.pair_counts(frame(spark, rows), bins, halvings=halvings))
+        got = as_dict(pairs.pair_counts(frame(spark, rows), bins, halvings=halvings, crowd=10))
         assert got == {k: int(n) for k, n in enumerate(want) if n}
 
 
