@@ -66,7 +66,12 @@ def choose_halvings(points: DataFrame, positions: DataFrame, binning: Binning,
 
     def fullest(df: DataFrame, halvings: int) -> int:
         key = cell_key(F.col("x"), F.col("y"), F.col("z"), edge / 2 ** halvings)
-        return df.groupBy(key.alias("cell")).count().agg(F.max("count")).first()[0] or 0
+        sides = [F.max(c) - F.min(c) for c in "xyz"]
+        cells = df.groupBy(key.alias("cell")).agg(
+            F.count(F.lit(1)).alias("m"), (sides[0] * sides[0] + sides[1] * sides[1] + sides[2] * sides[2]).alias("d2"))
+        # points closer together than the least counted distance are dropped in bulk, however many
+        wide = cells.where(F.col("d2") >= binning.min_chord ** 2)
+        return wide.agg(F.max("m")).first()[0] or 0
 
     if fullest(points, 0) <= crowd:
         return 0
@@ -110,6 +115,13 @@ def _r2() -> Column:
     return dx * dx + dy * dy + dz * dz
 
 
+def _whole(cells: DataFrame) -> DataFrame:
+    """The cubes unchanged. The tests are always true and read every column: otherwise a reader that
+    needs only some of them would get an aggregation of its own, down to the scan."""
+    box = [F.col(f"lo_{c}") <= F.col(f"hi_{c}") for c in "xyz"]
+    return cells.where((F.col("m") > 0) & (F.col("n") > 0) & (F.col("n2") > 0) & box[0] & box[1] & box[2])
+
+
 def _balls(cells: DataFrame, s: str) -> DataFrame:
     """Cubes as balls around the centre of their bounding box. Every cube has points, so nothing is
     null here; saying so (coalesce) spares the joins below the null checks."""
@@ -118,7 +130,7 @@ def _balls(cells: DataFrame, s: str) -> DataFrame:
     sure = {c: (F.col(f"lo_{c}") + F.col(f"hi_{c}")) / 2.0 for c in "xyz"}
     sure["ball"] = half + BALL_PAD
     longs = [F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in ("cell", "m", "n", "n2")]
-    return _side(cells.select(*longs, *(F.coalesce(v, F.lit(0.0)).alias(k) for k, v in sure.items())), s)
+    return _side(_whole(cells).select(*longs, *(F.coalesce(v, F.lit(0.0)).alias(k) for k, v in sure.items())), s)
 
 
 def _judge(cell_pairs: DataFrame, binning: Binning) -> DataFrame:
@@ -213,7 +225,7 @@ def descend(points: DataFrame, binning: Binning, halvings: int, num_partitions:
              .join(_side(keyed, "b"), (F.col("pb") == F.col("leaf_b")) & once & binning.inside(_r2()))
              .withColumn("r2", _r2()))
     # cubes without a crowd, among themselves
-    full = levels[0].where(F.col("m") > crowd).select("cell")
+    full = _whole(levels[0]).where(F.col("m") > crowd).select("cell")
     thin = with_cell(points, edge).join(full, "cell", "left_anti").select(*points.columns)
     sparse = direct_pairs(thin, binning, num_partitions)
     return found, pairs.select(*POINT_PAIR).unionByName(sparse.select(*POINT_PAIR))
