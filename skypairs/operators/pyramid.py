@@ -69,9 +69,10 @@ def choose_halvings(points: DataFrame, positions: DataFrame, binning: Binning,
         sides = [F.max(c) - F.min(c) for c in "xyz"]
         cells = df.groupBy(key.alias("cell")).agg(
             F.count(F.lit(1)).alias("m"), (sides[0] * sides[0] + sides[1] * sides[1] + sides[2] * sides[2]).alias("d2"))
-        # points closer together than the least counted distance are dropped in bulk, however many
-        wide = cells.where(F.col("d2") >= binning.min_chord ** 2)
-        return wide.agg(F.max("m")).first()[0] or 0
+        if halvings:
+            # the pyramid drops a cube whose points are all closer than the least counted distance
+            cells = cells.where(F.col("d2") >= binning.min_chord ** 2)
+        return cells.agg(F.max("m")).first()[0] or 0
 
     if fullest(points, 0) <= crowd:
         return 0

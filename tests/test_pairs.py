@@ -135,6 +135,16 @@ def test_rows_without_a_position_are_left_out(spark, crowded):
         pairs.pair_counts(frame(spark, crowded), BINS.slice(10, 19)))
 
 
+def test_a_lone_tight_crowd_is_dropped_in_bulk(spark):
+    g = np.random.default_rng(5)
+    rows = [(k, float(a), float(d)) for k, (a, d) in enumerate(zip(g.uniform(0, 0.01, 800), g.uniform(0, 0.01, 800)))]
+    vectors = pairs.catalogue_vectors(frame(spark, rows))
+    positions = pyramid.distinct_positions(vectors.withColumn("w", F.lit(1).cast("long")))
+    halvings = pyramid.choose_halvings(vectors, positions, BINS)
+    assert halvings > 0
+    assert pairs.pair_counts(frame(spark, rows), BINS, halvings=halvings).count() == 0
+
+
 def test_plan_has_no_cartesian_product(spark, crowded):
     plan = pairs.pair_counts(frame(spark, crowded), BINS, halvings=0)._jdf.queryExecution().toString()
     assert "Cartesian" not in plan and "BroadcastNestedLoop" not in plan
