@@ -6,9 +6,12 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skypairs.llm import bpe
+from skypairs.llm import bpe, records, viterbi
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
+WORD_TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
+PIECES = public_tokenizers.path("piece_bpe_32k.model")
+END = 2
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,8 +26,20 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
                        F.sha2("row.ids", 256).alias("ids_sha256"), F.sha2("bytes", 256).alias("decoded_sha256"))
 
 
+def op7_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = records.packed(table(spark, sf_dir, "documents"), WORD_TOKENIZER, END)
+    key = F.when(F.col("key") != records.NULL_KEY, F.col("key"))
+    return index.select(key.alias("doc_id"), "start", "n_tokens", "ids_crc32")
+
+
+def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return viterbi.token_counts(table(spark, sf_dir, "documents"), PIECES)
+
+
 QUERIES = {
     "op1_byte_bpe": op1_byte_bpe,
+    "op7_token_records": op7_token_records,
+    "op9_token_counts": op9_token_counts,
 }
 
 SQL: dict[str, str] = {}
