@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skypairs.llm.columns import binary_column, binary_rows, flat, ranges
-from skypairs.llm.words import Remembered, row_totals, slices
+from skypairs.llm.words import WORDS, Remembered, row_totals, slices
 
 NO_RANK = 2**31 - 1
 _BUCKETS = 1 << 16
@@ -173,7 +173,7 @@ class _Encoder:
 
     def _ids(self, chunks: list[str]) -> list[np.ndarray]:
         found = [self.pattern.findall(c) for c in chunks]
-        if len(self.pieces) > 1 << 20:
+        if len(self.pieces) > WORDS:
             self.pieces = {}
         if new := list({p for f in found for p in f if p not in self.pieces}):
             self.pieces.update(zip(new, self.merges.fold([p.encode() for p in new]), strict=True))

@@ -32,7 +32,7 @@ from pyspark.sql.window import Window
 from tokenizers import Tokenizer
 
 from skypairs.llm.columns import flat, shared_folder
-from skypairs.llm.words import Remembered, slices
+from skypairs.llm.words import WORDS, Remembered, slices
 
 NULL_KEY = -2**63
 SHARD_BYTES = 32 << 20
@@ -77,7 +77,7 @@ class _Words:
 
     def __call__(self, words: list[str]) -> list[np.ndarray]:
         found = [[(a.lower(), b) for a, b in _UNITS.findall(w)] for w in words]
-        if len(self.units) > 1 << 20:
+        if len(self.units) > WORDS:
             self.units = {}
         new = {u for units in found for u in units if u[0] + u[1] not in self.units}
         if letters := list({a for a, _ in new if a}):

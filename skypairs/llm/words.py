@@ -16,8 +16,8 @@ import pyarrow.compute as pc
 
 from skypairs.llm.columns import ranges
 
-SLICE = 4 << 20
-WORDS = 1 << 20
+SLICE = 2 << 20
+WORDS = 1 << 18
 
 
 def slices(batches: Iterator[pa.RecordBatch], text: str) -> Iterator[pa.RecordBatch]:
