@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skypairs.llm import bpe, records, viterbi
+from skypairs.llm import bpe, neardup, records, viterbi
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 WORD_TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -36,10 +36,15 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return viterbi.token_counts(table(spark, sf_dir, "documents"), PIECES)
 
 
+def op10_near_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_copies(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_byte_bpe": op1_byte_bpe,
     "op7_token_records": op7_token_records,
     "op9_token_counts": op9_token_counts,
+    "op10_near_copies": op10_near_copies,
 }
 
 SQL: dict[str, str] = {}
