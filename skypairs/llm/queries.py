@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skypairs.llm import bpe, neardup, records, viterbi
+from skypairs.llm import bpe, decontaminate, neardup, records, viterbi
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 WORD_TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -26,6 +26,15 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
                        F.sha2("row.ids", 256).alias("ids_sha256"), F.sha2("bytes", 256).alias("decoded_sha256"))
 
 
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    n_hit = decontaminate.hit_words(F.col("hits")).cast("long")
+    return found.select("doc_id", F.col("n_words").cast("long").alias("n_words"), n_hit.alias("n_hit"),
+                        F.size("items").cast("long").alias("n_items"),
+                        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+                        (F.size("hits") > 0).alias("contaminated"))
+
+
 def op7_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     index = records.packed(table(spark, sf_dir, "documents"), WORD_TOKENIZER, END)
     key = F.when(F.col("key") != records.NULL_KEY, F.col("key"))
@@ -42,6 +51,7 @@ def op10_near_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_byte_bpe": op1_byte_bpe,
+    "op5_decontamination": op5_decontamination,
     "op7_token_records": op7_token_records,
     "op9_token_counts": op9_token_counts,
     "op10_near_copies": op10_near_copies,
