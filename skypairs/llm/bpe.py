@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skypairs.llm.columns import binary_column, binary_rows, flat, ranges
-from skypairs.llm.words import WORDS, Remembered, row_totals, slices
+from skypairs.llm.words import WORDS, Remembered, joined, row_totals, slices
 
 NO_RANK = 2**31 - 1
 _BUCKETS = 1 << 16
@@ -169,7 +169,7 @@ class _Encoder:
     def __init__(self, path: str, pattern: str):
         self.merges, self.pattern = _merges(path), regex.compile(pattern)
         self.pieces: dict[str, np.ndarray] = {}
-        self.inner = Remembered(lambda words: self._ids([" " + w for w in words]))
+        self.inner = Remembered(lambda words: joined(self._ids([" " + w for w in words])))
 
     def _ids(self, chunks: list[str]) -> list[np.ndarray]:
         found = [self.pattern.findall(c) for c in chunks]

@@ -31,15 +31,17 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 from tokenizers import Tokenizer
 
-from skypairs.llm.columns import flat, shared_folder
-from skypairs.llm.words import WORDS, Remembered, slices
+from skypairs.llm.columns import flat, ranges, shared_folder
+from skypairs.llm.words import Remembered, joined, slices
 
 NULL_KEY = -2**63
 SHARD_BYTES = 32 << 20
 INDEX = "shard int, record long, key long, offset long, length long, n_tokens long, ids_crc32 long"
-#: A run of precomposed Latin letters that ends before ASCII punctuation, a digit or the end is one piece of the
-#: tokenizer's pattern whatever follows; anything else up to white space is left to the library as it stands.
-_UNITS = re.compile(r"""([A-Za-zÀ-ÖØ-öø-ÿ]+)(?=[\t-\r !-&(-/:-@\[-`{-~0-9]|\Z)|([^\t-\r ]+)""")
+#: Between a precomposed Latin letter and ASCII punctuation or a digit the tokenizer's pattern always parts, so a blank
+#: put there changes no id. The apostrophe is left alone, since it begins the contractions.
+_PART = r"([A-Za-zÀ-ÖØ-öø-ÿ])([!-&(-/:-@\[-`{-~0-9])"
+#: Words that are one piece of the pattern whatever stands around them.
+_LETTERS = re.compile(r"[a-zà-öø-ÿ]+")
 
 
 def masked(data: bytes) -> int:
@@ -67,28 +69,36 @@ def frames(data: bytes) -> Iterator[tuple[int, int, bytes]]:
 
 
 class _Words:
-    """Ids of words without blanks by the tokenizers library, letters-only units of a batch in one call."""
+    """Ids of words without blanks by the tokenizers library; words of letters only go there in one call."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.units: dict[str, np.ndarray] = {}
-
-    def __call__(self, words: list[str]) -> list[np.ndarray]:
-        found = [[(a.lower(), b) for a, b in _UNITS.findall(w)] for w in words]
-        if len(self.units) > WORDS:
-            self.units = {}
-        new = {u for units in found for u in units if u[0] + u[1] not in self.units}
-        if letters := list({a for a, _ in new if a}):
-            got = self.tokenizer.encode(" ".join(letters), add_special_tokens=False)
-            counts = np.bincount(np.array(got.word_ids, np.int64), minlength=len(letters))
-            self.units.update(zip(letters, np.split(np.array(got.ids, np.int32), np.cumsum(counts)[:-1]), strict=True))
-        if others := list({b for a, b in new if not a}):
-            got = self.tokenizer.encode_batch_fast(others, add_special_tokens=False)
-            self.units.update((u, np.array(e.ids, np.int32)) for u, e in zip(others, got, strict=True))
-        get, none = self.units.__getitem__, np.empty(0, np.int32)
-        return [np.concatenate([none, *(get(a + b) for a, b in units)]) for units in found]
+
+    def __call__(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        plain = [k for k, w in enumerate(words) if _LETTERS.fullmatch(w)]
+        others = sorted(set(range(len(words))).difference(plain))
+        lengths = np.empty(len(words), np.int64)
+        values = []
+        if plain:
+            got = self.tokenizer.encode(" ".join([words[k] for k in plain]), add_special_tokens=False)
+            lengths[plain] = np.bincount(np.array(got.word_ids, np.int64), minlength=len(plain))
+            values.append(np.array(got.ids, np.int32))
+        if others:
+            got = self.tokenizer.encode_batch_fast([words[k] for k in others], add_special_tokens=False)
+            some, lengths[others] = joined([np.array(e.ids, np.int32) for e in got])
+            values.append(some)
+        order = np.array(plain + others, np.int64)
+        starts = np.empty(len(words), np.int64)
+        starts[order] = np.cumsum(lengths[order]) - lengths[order]
+        return np.concatenate([np.empty(0, np.int32), *values])[ranges(starts, lengths)], lengths
+
+
+def _units(texts: pa.Array) -> pa.Array:
+    """Lists of words, A-Z lower-cased as the tokenizer does, with letters parted from punctuation; many are empty."""
+    texts = pc.replace_substring(pc.ascii_lower(texts), "\n", " ")
+    return pc.split_pattern(pc.replace_substring_regex(texts, _PART, r"\1 \2"), " ")
 
 
 @lru_cache(maxsize=2)
@@ -119,7 +129,7 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end: int, key: str = "do
         remembered, dtype = _remembered(tokenizer)
         for batch in slices(batches, "text"):
             keys = batch.column(0).to_numpy()
-            words, offsets = flat(pc.split_pattern(batch.column(1), " "))
+            words, offsets = flat(_units(batch.column(1)))
             values, lengths = remembered(words)
             at = np.concatenate([[0], np.cumsum(lengths)])[offsets]
             values, tail = values.astype(dtype), np.array([end], dtype).tobytes()

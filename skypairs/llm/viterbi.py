@@ -79,7 +79,11 @@ class Counter:
 @lru_cache(maxsize=2)
 def _remembered(path: str) -> Remembered:
     counter = Counter(vocabulary(path))
-    return Remembered(lambda words: [np.array(counter(BLANK + w)) for w in words], np.float64)
+
+    def work(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        return np.array([counter(BLANK + w) for w in words]).reshape(-1), np.full(len(words), 2)
+
+    return Remembered(work, np.float64)
 
 
 def _chunks(texts: pa.Array) -> pa.Array:

@@ -35,12 +35,19 @@ def slices(batches: Iterator[pa.RecordBatch], text: str) -> Iterator[pa.RecordBa
             end = max(begin + 1, int(np.searchsorted(total, done + SLICE, "right")))
             yield batch.slice(begin, end - begin)
             begin = end
+        pa.default_memory_pool().release_unused()
+
+
+def joined(arrays: list[np.ndarray], dtype=np.int32) -> tuple[np.ndarray, np.ndarray]:
+    """The arrays one after another, and their lengths."""
+    lengths = np.fromiter(map(len, arrays), np.int64, len(arrays))
+    return np.concatenate([np.empty(0, dtype), *arrays]), lengths
 
 
 class Remembered:
-    """Arrays of integers by word; `work` makes them for a list of new words."""
+    """Arrays of numbers by word; `work` makes them for a list of new words: all values, and how many each word has."""
 
-    def __init__(self, work: Callable[[list[str]], list[np.ndarray]], dtype=np.int32):
+    def __init__(self, work: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], dtype=np.int32):
         self.work, self.dtype = work, dtype
         self.forget()
 
@@ -52,16 +59,14 @@ class Remembered:
         self.lengths = np.empty(1 << 12, np.int64)
 
     def _add(self, words: list[str]) -> None:
-        arrays = self.work(words)
-        lengths = np.fromiter(map(len, arrays), np.int64, len(arrays))
+        values, lengths = self.work(words)
         size, have = int(lengths.sum()), len(self.known)
         while self.used + size > len(self.values):
             self.values = np.concatenate([self.values, np.empty_like(self.values)])
         while have + len(words) > len(self.starts):
             self.starts = np.concatenate([self.starts, np.empty_like(self.starts)])
             self.lengths = np.concatenate([self.lengths, np.empty_like(self.lengths)])
-        if size:
-            self.values[self.used:self.used + size] = np.concatenate(arrays)
+        self.values[self.used:self.used + size] = values
         self.starts[have:have + len(words)] = self.used + np.cumsum(lengths) - lengths
         self.lengths[have:have + len(words)] = lengths
         self.used += size
