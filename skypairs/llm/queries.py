@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skypairs.llm import bpe, decontaminate, neardup, records, viterbi
+from skypairs.llm import bpe, decontaminate, neardup, quality, records, viterbi
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 WORD_TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -35,6 +35,14 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
                         (F.size("hits") > 0).alias("contaminated"))
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    trees = quality.train(docs, table(spark, sf_dir, "labels"))
+    return quality.scored(docs, trees).select(
+        "doc_id", quality.held_out(F.col("doc_id")).alias("held_out"), "score",
+        (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op7_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     index = records.packed(table(spark, sf_dir, "documents"), WORD_TOKENIZER, END)
     key = F.when(F.col("key") != records.NULL_KEY, F.col("key"))
@@ -52,6 +60,7 @@ def op10_near_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_byte_bpe": op1_byte_bpe,
     "op5_decontamination": op5_decontamination,
+    "op6_quality": op6_quality,
     "op7_token_records": op7_token_records,
     "op9_token_counts": op9_token_counts,
     "op10_near_copies": op10_near_copies,
