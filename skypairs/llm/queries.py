@@ -6,7 +6,8 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skypairs.llm import bpe, decontaminate, neardup, pii, quality, records, viterbi
+from skypairs.llm import bpe, decontaminate, licenses, neardup, pii, quality, records, viterbi
+from skypairs.llm.license_texts import NOTICES
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 WORD_TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -39,6 +40,10 @@ def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
                         _span_text("spans").alias("spans"))
 
 
+def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"), NOTICES)
+
+
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     n_hit = decontaminate.hit_words(F.col("hits")).cast("long")
@@ -73,6 +78,7 @@ def op10_near_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_byte_bpe": op1_byte_bpe,
     "op2_pii": op2_pii,
+    "op3_licenses": op3_licenses,
     "op5_decontamination": op5_decontamination,
     "op6_quality": op6_quality,
     "op7_token_records": op7_token_records,
