@@ -124,6 +124,19 @@ def overlaps(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str =
         F.sort_array(F.array_distinct(F.flatten(F.transform("found", lambda c: c["items"])))).alias("items"))
 
 
+def clean(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows without an exact phrase match, as they are."""
+    names = ["__doc", "__mark"]
+    found = (phrase_candidates(docs, written(windows(items)), key, text).groupBy(*_KEY)
+             .agg(F.collect_list(F.struct("start", "words")).alias("__found")))
+    found = found.select(F.col("doc").alias(names[0]), F.col("mark").alias(names[1]), "__found")
+    rows = docs.withColumn(names[1], F.xxhash64(text))
+    both = rows.join(found, rows[key].eqNullSafe(found[names[0]]) & (rows[names[1]] == found[names[1]]), "left")
+    tokens = words(F.col(text))
+    hit = F.exists("__found", lambda c: F.slice(tokens, c["start"] + 1, F.size(c["words"])) == c["words"])
+    return both.filter(F.col("__found").isNull() | ~hit).select(*[rows[c] for c in docs.columns])
+
+
 def hit_words(hits: Column) -> Column:
     """Number of words inside any of the hits."""
     places = F.transform(hits, lambda h: F.sequence(h["start"], h["start"] + h["length"] - 1))

@@ -83,7 +83,7 @@ def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
              binary_column(short.reshape(-1), np.arange(len(some) + 1) * BANDS * ROWS),
              pa.ListArray.from_arrays(pa.array(np.arange(len(some) + 1, dtype=np.int32) * BANDS),
                                       pa.array(bands.reshape(-1).view(np.int64)))],
-            ["key", "same", "signature", "bands"])
+            ["row", "same", "signature", "bands"])
 
 
 def _bins(values: np.ndarray, row: np.ndarray, rows: int) -> np.ndarray:
@@ -178,12 +178,14 @@ def _enough(common: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return common >= SIMILARITY * (sizes - common) * (1 - 1e-12)
 
 
-def near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row for each document: its key and class_id, the smallest key of its class (long)."""
+def _classes(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """All rows with words (key, mark, same, id), those without (key, mark), and of each multiset (same) its smallest key
+    (least), the key of its class (class_id), and whether it stands for the class (chosen)."""
     texts = docs.select(F.coalesce(F.col(key).cast("long"), F.lit(NO_KEY)).alias("key"), F.col(text).alias("text"))
-    rows = texts.select("key", word_hashes(F.col("text")).alias("words"))
-    sketches = written(rows.mapInArrow(_sketches, "key long, same binary, signature binary, bands array<long>")
-                       .withColumn("id", F.monotonically_increasing_id()))
+    rows = texts.select("key", F.xxhash64("text").alias("mark"), word_hashes(F.col("text")).alias("words"))
+    sketches = written(rows.select(F.struct("key", "mark").alias("row"), "words")
+                       .mapInArrow(_sketches, "row struct<key:long,mark:long>, same binary, signature binary, bands array<long>")
+                       .select("row.*", "same", "signature", "bands", F.monotonically_increasing_id().alias("id")))
     # one row of each multiset stands for it; ids are used within, since keys can repeat
     first = written(sketches.groupBy("same").agg(F.min("id").alias("id"), F.min("key").alias("least")))
     reps = sketches.join(first.select("id"), "id").select("id", "signature", "bands")
@@ -215,12 +217,31 @@ def near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
     labels = components(links)
 
     label = first.join(labels.withColumnRenamed("node", "id"), "id", "left").withColumn("label", F.coalesce("label", "id"))
-    names = label.groupBy("label").agg(F.min("least").alias("class_id"))
-    of_text = label.join(names, "label").select("same", "class_id")
-    classes = sketches.select("key", "same").join(of_text, "same").select("key", "class_id")
-    without = rows.filter(F.size("words") == 0).select("key", F.col("key").alias("class_id"))
+    names = label.groupBy("label").agg(F.min(F.struct("least", "id")).alias("name"))
+    multisets = label.join(names, "label").select("same", "least", F.col("name.least").alias("class_id"),
+                                                  (F.col("id") == F.col("name.id")).alias("chosen"))
+    without = rows.filter(F.size("words") == 0).select("key", "mark")
+    return sketches.select("key", "mark", "same", "id"), without, multisets
+
+
+def near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row for each document: its key and class_id (long), the smallest key of its class."""
+    rows, without, multisets = _classes(docs, key, text)
+    classes = rows.join(multisets, "same").select("key", "class_id").union(without.select("key", F.col("key").alias("class_id")))
     known = lambda c: F.when(F.col(c) != NO_KEY, F.col(c))
-    return classes.union(without).select(known("key").alias(key), known("class_id").alias("class_id"))
+    return classes.select(known("key").alias(key), known("class_id").alias("class_id"))
+
+
+def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows that stand for their classes, as they are; of rows with equal key and text, one."""
+    names = ["__key", "__mark"]
+    all_rows, without, multisets = _classes(docs, key, text)
+    chosen = multisets.filter("chosen").select("same", F.col("least").alias("key"))
+    # rows of one key and multiset can still differ in letter case or punctuation; one of them stays
+    one = all_rows.join(chosen.hint("merge"), ["same", "key"]).groupBy("same").agg(F.min(F.struct("key", "mark")).alias("row"))
+    stay = one.select("row.*").union(without).toDF(*names)
+    rows = docs.withColumn(names[0], F.coalesce(F.col(key).cast("long"), F.lit(NO_KEY))).withColumn(names[1], F.xxhash64(text))
+    return rows.join(stay.hint("merge"), names, "left_semi").dropDuplicates(names).drop(*names)
 
 
 def _stray_links(members: DataFrame, elements: DataFrame, labels: DataFrame, every: bool) -> DataFrame:

@@ -169,3 +169,15 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
 def scored(docs: DataFrame, trees: Trees, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key and score (0 to 1, higher: likelier good) of each text."""
     return _with(docs, key, text, lambda texts: [pa.array(trees.score(statistics(texts)))], ["score"], "score double")
+
+
+def kept(docs: DataFrame, trees: Trees, text: str = "text", least: float = 0.5) -> DataFrame:
+    """The rows whose text scores at least that much, as they are."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = batch.schema.get_field_index(text)
+            for part in slices(iter([pa.RecordBatch.from_arrays([batch.column(at), pa.array(np.arange(batch.num_rows))], ["text", "row"])]), "text"):
+                good = trees.score(statistics(part.column(0))) >= least
+                yield batch.take(part.column(1).filter(pa.array(good)))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -77,7 +77,7 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_near_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return neardup.near_copies(table(spark, sf_dir, "documents"))
+    return neardup.near_copies(table(spark, sf_dir, "documents")).select("doc_id", "class_id")
 
 
 QUERIES = {
