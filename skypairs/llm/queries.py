@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skypairs.llm import bpe, decontaminate, licenses, neardup, neighbours, pii, quality, records, viterbi
+from skypairs.llm import bpe, decontaminate, licenses, neardup, neighbours, pii, quality, records, repeats, viterbi
 from skypairs.llm.license_texts import NOTICES
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -72,6 +72,11 @@ def op7_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return index.select(key.alias("doc_id"), "start", "n_tokens", "ids_crc32")
 
 
+def op8_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = repeats.without_repeats(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return viterbi.token_counts(table(spark, sf_dir, "documents"), PIECES)
 
@@ -88,6 +93,7 @@ QUERIES = {
     "op5_decontamination": op5_decontamination,
     "op6_quality": op6_quality,
     "op7_token_records": op7_token_records,
+    "op8_repeats": op8_repeats,
     "op9_token_counts": op9_token_counts,
     "op10_near_copies": op10_near_copies,
 }
