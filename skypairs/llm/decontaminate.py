@@ -58,12 +58,8 @@ def term_counts(docs: DataFrame, terms: DataFrame, text: str = "text") -> DataFr
 
 def postings(docs: DataFrame, terms: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The index: term, doc, mark, pos (from 0) of every occurrence of the terms."""
-    rows = _rows(docs, key, text)
-    tokens = _tokens(F.col("text"))
-    # a text that begins with a separator splits into an empty string first, which is no word
-    lead = F.when(F.get(tokens, F.lit(0)) == "", 1).otherwise(0)
-    found = rows.select(*_KEY, lead.alias("lead"), F.posexplode(tokens).alias("pos", "term"))
-    return found.join(terms, "term").select("term", *_KEY, (F.col("pos") - F.col("lead")).alias("pos"))
+    found = _rows(docs, key, text).select(*_KEY, F.posexplode(words(F.col("text"))).alias("pos", "term"))
+    return found.join(terms, "term").select("term", *_KEY, "pos")
 
 
 def proximity_matches(index: DataFrame, queries: DataFrame, span: int) -> DataFrame:
