@@ -128,7 +128,8 @@ class Binning:
 
     def _number(self, offset: Column) -> Column:
         span = math.log(self.hi) - math.log(self.lo) if self.kind == "log" else (self.hi - self.lo) * ARCMIN
-        return (offset / (span / self.n)).cast("int") + self.imin
+        # rounding can put a separation just below the last edge one bin too far
+        return F.least((offset / (span / self.n)).cast("int") + self.imin, F.lit(self.imax))
 
 
 def log_bins(spark: SparkSession, lo: float, hi: float, n: int) -> DataFrame:

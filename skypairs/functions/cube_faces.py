@@ -65,8 +65,11 @@ def encode(face: Column, i: Column, j: Column, nbase: int) -> Column:
 
 
 def decode(ipix: Column, nbase: int) -> tuple[Column, Column, Column]:
-    ij = F.floor(ipix / 10)
-    return (ipix % 10).cast("int"), F.floor(ij / nbase).cast("int"), (ij % nbase).cast("int")
+    # whole division of longs: as doubles, numbers above 2^53 would be rounded
+    ipix = ipix.cast("long")
+    ij = F.call_function("div", ipix, F.lit(10).cast("long"))
+    i = F.call_function("div", ij, F.lit(nbase).cast("long"))
+    return (ipix % 10).cast("int"), i.cast("int"), (ij % nbase).cast("int")
 
 
 def is_valid(ipix: Column, nbase: int) -> Column:

@@ -95,3 +95,10 @@ def redshift_slice(df: DataFrame, zmin: float, zmax: float, z: str = "z",
     """Rows whose redshift (plus the velocity term ``rsd`` when given) lies in [zmin, zmax]."""
     value = F.col(z) if rsd is None else F.col(z) + F.col(rsd)
     return df.where(value.between(zmin, zmax))
+
+
+def has_position(ra: str, dec: str) -> Column:
+    """True where both angles are numbers: neither null nor NaN nor infinite."""
+    def number(c: str) -> Column:
+        return F.abs(F.col(c).cast("double")) < F.lit(float("inf"))
+    return number(ra) & number(dec)

@@ -30,15 +30,15 @@ def _acos(c: Column) -> Column:
 
 def _diagonal(g: Column) -> Column:
     """Latitude at which the line of angle g meets the diagonal."""
-    return _acos(1.0 / (F.sin(g) * SQRT2))
+    return _acos(F.try_divide(F.lit(1.0), F.sin(g) * SQRT2))
 
 
 def _below_diagonal(n: Column, u: Column, v: Column, half: int, let: Let, tag: str):
     """(i, j) of a folded direction, taking it to be below the diagonal."""
-    g = let(f"g{tag}", _acos(n / F.sqrt(n * n + u * u) / SQRT2))
+    g = let(f"g{tag}", _acos(F.try_divide(n, F.sqrt(n * n + u * u)) / SQRT2))
     row = let(f"row{tag}", F.sqrt(F.greatest(g - math.pi / 4, F.lit(0.0)) * (12.0 / math.pi)) * half)
     top = let(f"top{tag}", _diagonal(g))
-    ratio = F.when(top > 0, row * F.asin(clamp(v, -1.0, 1.0)) / top).otherwise(0.0)
+    ratio = F.when(top > 0, F.try_divide(row * F.asin(clamp(v, -1.0, 1.0)), top)).otherwise(0.0)
     return F.floor(row), F.floor(F.least(ratio, F.lit(4.0 * half)))
 
 

@@ -21,7 +21,9 @@ HALF_OFFSETS = tuple(d for d in product((-1, 0, 1), repeat=3) if d > (0, 0, 0))
 
 
 def top_edge(reach: float) -> float:
-    return reach * (1.0 + SLACK)
+    """Edge of the cubes for a reach. Below a reach of 2**-19 it stays there: an axis has no room for more cubes, and
+    larger ones still cover."""
+    return max(reach * (1.0 + SLACK), 2.0 / 2 ** (AXIS_BITS - 1))
 
 
 def finest_bits(edge: float) -> int:

@@ -8,18 +8,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.binning import Binning, attach_bins
-from ..functions.geometry import chord2, unit_vector_angles, with_angles, with_unit_vector
+from ..functions.geometry import chord2, has_position, unit_vector_angles, with_angles, with_unit_vector
 from .grid import spread_to_touching, top_edge, with_cell
 from .pyramid import (CROWD, choose_halvings, count_by_bin, distinct_positions, join_partitions,
                       ordered)
-from .resolution import join_base
+from .resolution import MARGIN, join_base
 from .tiles import assign_pixel, explode_neighbours, neighbours
 
 
 def catalogue_vectors(catalogue: DataFrame, ra: str = "ra", dec: str = "dec",
                       keep: tuple[str, ...] = ()) -> DataFrame:
     """Unit vectors (x, y, z) of a catalogue in degrees; rows without a position are left out."""
-    placed = catalogue.where(F.col(ra).isNotNull() & F.col(dec).isNotNull())
+    placed = catalogue.where(has_position(ra, dec))
     return (with_unit_vector(with_angles(placed.select(ra, dec, *keep), ra, dec))
             .select(*keep, "x", "y", "z"))
 
@@ -118,8 +118,11 @@ def pair_counts_on_tiling(catalogue: DataFrame, binning: Binning, tiling: str =
                           ra: str = "ra", dec: str = "dec", nbase: int | None = None,
                           num_partitions: int | None = None) -> DataFrame:
     """Exact pair count joined on the pixels of a tiling, for those who want that join key. Copies
-    of a position are merged first; a crowded sky is better served by ``pair_counts``."""
-    nbase = nbase or join_base(tiling, binning)
+    of a position are merged first; a crowded sky is better served by ``pair_counts``, which also
+    takes over where no pixel of the tiling is large enough for the last bin."""
+    nbase = nbase or join_base(tiling, binning, MARGIN.get(tiling, 1.0))
+    if not nbase:
+        return pair_counts(catalogue, binning, ra, dec, num_partitions=num_partitions)
     vectors = catalogue_vectors(catalogue, ra, dec).withColumn("w", F.lit(1).cast("long"))
     positions = distinct_positions(vectors)
     theta, phi = unit_vector_angles(*map(F.col, "xyz"))
@@ -171,7 +174,9 @@ def stage_counts(catalogue: DataFrame, binning: Binning, tiling: str = "cubedsph
     """One row with what each stage handles: Ndata, Ndup (rows after neighbour expansion, own pixel
     included) and nedges (counted pairs)."""
     nbase = join_base(tiling, binning)
-    placed = catalogue.where(F.col(ra).isNotNull() & F.col(dec).isNotNull())
+    if not nbase:
+        raise ValueError(f"{tiling} has no pixels that reach {binning.upper} arcmin")
+    placed = catalogue.where(has_position(ra, dec))
     pixels = assign_pixel(with_angles(placed.select(ra, dec), ra, dec), tiling, nbase).groupBy("ipix").count()
     sizes = neighbours(pixels, tiling, nbase).agg(
         F.sum("count").alias("Ndata"),

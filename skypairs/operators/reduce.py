@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.binning import Binning
-from ..functions.geometry import with_angles
+from ..functions.geometry import has_position, with_angles
 from .pairs import weighted_pair_counts
 from .resolution import reduce_base
 from .tiles import assign_pixel, pixel_centre_vectors
@@ -16,7 +16,7 @@ def weighted_cells(catalogue: DataFrame, tiling: str, nbase: int, ra: str = "ra"
                    dec: str = "dec") -> DataFrame:
     """(ipix, w, x, y, z): rows per pixel, placed at the pixel centre. The counts are combined before
     the shuffle, so a crowded pixel costs one row per input partition."""
-    placed = catalogue.where(F.col(ra).isNotNull() & F.col(dec).isNotNull()).select(ra, dec)
+    placed = catalogue.where(has_position(ra, dec)).select(ra, dec)
     pixels = assign_pixel(with_angles(placed, ra, dec), tiling, nbase)
     return pixel_centre_vectors(pixels.groupBy("ipix").agg(F.count(F.lit(1)).alias("w")), tiling, nbase)
 

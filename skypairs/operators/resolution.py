@@ -13,6 +13,11 @@ from ..functions.binning import Binning
 RADII = {t: (m.INNER_RADIUS, m.OUTER_RADIUS) for t, m in (
     ("cubedsphere", cubed_sphere), ("similar_radius", similar_radius), ("healpix", healpix))}
 
+# The least distance between opposite sides of a pixel, over all pixels, is the reach of `join_base` over 1.003 on the
+# cubed sphere and over 0.994 on the similar-radius tiling, whose pixels also don't meet corner to corner where
+# quadrants touch. Joins that must be complete take pixels that are larger by these factors.
+MARGIN = {"cubedsphere": 1.01, "similar_radius": 1.25}
+
 
 def _side(tiling: str, sphere_share: float, radius: Column) -> Column:
     faces = 12.0 if tiling == "healpix" else 6.0
@@ -59,13 +64,15 @@ def _even(n: int, up: bool) -> int:
     return n + n % 2 if up else n - n % 2
 
 
-def join_base(tiling: str, binning: Binning) -> int:
-    """Resolution of the join grid: from half the upper edge of the last bin."""
-    radius = binning.upper / 2.0
+def join_base(tiling: str, binning: Binning, margin: float = 1.0) -> int:
+    """Resolution of the join grid: from half the upper edge of the last bin. Zero, as from ``coarse_base``, if the
+    coarsest pixels are too small for it. ``margin`` asks for pixels larger by that factor."""
+    radius = binning.upper / 2.0 * margin
     faces = 12.0 if tiling == "healpix" else 6.0
     side = math.degrees(math.sqrt(math.pi / faces) / radius) * 60.0 * RADII[tiling][0]
-    n = 1 << max(0, math.floor(math.log2(side))) if tiling == "healpix" else _even(math.floor(side), False)
-    return max(n, 1 if tiling == "healpix" else 2)
+    if tiling == "healpix":
+        return 1 << math.floor(math.log2(side)) if side >= 1.0 else 0
+    return _even(math.floor(side), False)
 
 
 def reduce_base(tiling: str, binning: Binning) -> int:

@@ -89,8 +89,12 @@ def with_face(df: DataFrame, theta: str = "theta", phi: str = "phi", out: str =
     return let.finish(**{out: cube_faces.face_of(x, y, z)})
 
 
-def with_decoded(df: DataFrame, nbase: int, ipix: str = "ipix") -> DataFrame:
-    face, i, j = cube_faces.decode(F.col(ipix), nbase)
+def with_decoded(df: DataFrame, nbase: int, ipix: str = "ipix", tiling: str = "cubedsphere") -> DataFrame:
+    """Add face, i and j of a pixel number; all cube tilings share theirs, HEALPix has its own."""
+    if tiling == "healpix":
+        face, i, j = (c.cast("int") for c in healpix.decode(F.col(ipix), nbase, inline))
+    else:
+        face, i, j = cube_faces.decode(F.col(ipix), nbase)
     return df.withColumns({"face": face, "i": i, "j": j})
 
 

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import cube_faces
 from ..operators.tiles import explode_neighbours, pixel_centre_vectors, pixel_table, with_decoded
 
 
@@ -23,8 +24,12 @@ def read_without(spark: SparkSession, path: str, *unwanted: str, fmt: str = "par
 
 def read_columns(spark: SparkSession, path: str, schema: str, sep: str = " ") -> DataFrame:
     """A text table with a header line and columns parted by runs of ``sep``."""
-    return (spark.read.schema(schema).option("sep", sep).option("header", True)
-            .option("ignoreLeadingWhiteSpace", True).csv(path))
+    # each line as one column, so that the reader drops the header of every file
+    lines = spark.read.schema("line string").option("sep", "\u0001").option("quote", "").option("header", True).csv(path)
+    runs = f"(?:{re.escape(sep)})+"
+    squeezed = F.regexp_replace(F.regexp_replace("line", f"^{runs}|{runs}$", ""), runs, sep.replace("\\", "\\\\").replace("$", "\\$"))
+    return (lines.where(F.length("line") > 0)
+            .select(F.from_csv(squeezed, schema, {"sep": sep}).alias("row")).select("row.*"))
 
 
 def write_table(df: DataFrame, path: str, fmt: str = "parquet") -> None:
@@ -32,13 +37,13 @@ def write_table(df: DataFrame, path: str, fmt: str = "parquet") -> None:
 
 
 def centre_table(spark: SparkSession, tiling: str, nbase: int) -> DataFrame:
-    """(face, x, y, z) of every pixel centre of a cube tiling."""
+    """(face, x, y, z) of every pixel centre of a tiling; HEALPix has twelve base faces."""
     df = pixel_centre_vectors(pixel_table(spark, tiling, nbase), tiling, nbase)
-    return df.withColumn("face", cube_faces.decode(F.col("ipix"), nbase)[0]).select("face", "x", "y", "z")
+    return with_decoded(df, nbase, tiling=tiling).select("face", "x", "y", "z")
 
 
 def neighbour_table(pixels: DataFrame, tiling: str, nbase: int, ipix: str = "ipix") -> DataFrame:
     """(face, i, j, x, y, z) of the given pixels and of their neighbours."""
     df = explode_neighbours(pixels.select(ipix), tiling, nbase, ipix, "at", with_self=True)
-    df = with_decoded(pixel_centre_vectors(df, tiling, nbase, "at"), nbase, "at")
+    df = with_decoded(pixel_centre_vectors(df, tiling, nbase, "at"), nbase, "at", tiling)
     return df.select("face", "i", "j", "x", "y", "z")

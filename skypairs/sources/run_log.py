@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,8 +18,9 @@ PHASES = {"x@@": ("ts", "td", "tj", "tb"), "r@@": ("tr", "ts", "td", "tj", "tb")
 def parse_run_log(lines: DataFrame, tag: str, column: str = "value") -> DataFrame:
     """Typed rows of the lines that start with ``tag``; other lines are left out. A value that is
     not a number becomes null."""
-    parts = F.split(F.trim(F.col(column)), r"\s+")
-    rows = lines.select(parts.alias("p")).where(F.get("p", 0) == tag)
+    # the tag is looked for in the line itself, so that only its lines are cut, and each once
+    mine = lines.where(F.col(column).rlike(rf"^\s*{re.escape(tag)}(\s|$)"))
+    rows = mine.select(F.split(F.trim(F.col(column)), r"\s+").alias("p"))
     wide = {"nedges", "t"}
     return rows.select(*(F.get("p", k + 1).try_cast("double" if f in wide else "long").alias(f)
                          for k, f in enumerate(FIELDS[tag].split())))

@@ -466,7 +466,7 @@ SQL["agg17_residual_map"] = f"""WITH {residuals(20)}, c AS (SELECT CAST(trunc((d
     CAST(trunc((dy + 1.5e0) / 0.015e0) AS INTEGER) AS bin2, count(*) AS count FROM res
     WHERE dx BETWEEN -1.5 AND 1.5 AND dy BETWEEN -1.5 AND 1.5 GROUP BY ALL)
   SELECT bin1, bin2, count, {r8('log10(1e0 + count)')} AS log_count FROM c WHERE bin1 <> 200 AND bin2 <> 200"""
-SQL["agg18_occupancy"] = f"WITH {cubed(20)}, occ AS (SELECT count(*) AS k FROM num GROUP BY ipix), " + hist("occ", "k", 10, "0e0", "50e0")
+SQL["agg18_occupancy"] = f"WITH {cubed(20)}, occ AS (SELECT count(*) AS k FROM num GROUP BY ipix), " + hist("occ", "k", 10, "0e0", "(SELECT max(k) + 1e0 FROM occ)")
 
 
 def geometry(corners: str, npix: int, centres: str = CENTRES) -> str:

@@ -516,7 +516,7 @@ def agg17_residual_map(spark, d):
 @query
 def agg18_occupancy(spark, d):
     occ = quality.occupancy(_pixels(spark, d, "cubedsphere", 20))
-    return rounded(stats.histogram(occ, "count", 10, (0.0, 50.0)), "loc")
+    return rounded(stats.histogram(occ, "count", 10, (0.0, occ.agg(F.max("count")).first()[0] + 1.0)), "loc")
 
 
 def _geometry(spark, d, tiling, nbase, like=None):
