@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
 import uuid
 
 import numpy as np
@@ -52,10 +54,13 @@ def ascii_lower(text: Column) -> Column:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A new folder, seen by all executors, under the one that the session names in spark.checkpoint.dir."""
-    base = spark.conf.get("spark.checkpoint.dir", "")
+    """A new folder, seen by all executors, under the one that the session names in spark.checkpoint.dir. Where none is
+    named and all runs in one process, a temporary folder."""
+    base = spark.conf.get("spark.checkpoint.dir", "") or spark.sparkContext.getCheckpointDir() or ""
     if not base:
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        base = tempfile.mkdtemp(prefix="skypairs-")
     return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
 
 

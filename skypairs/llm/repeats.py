@@ -62,19 +62,19 @@ def _standing(words: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.n
     return first, at, best
 
 
-def _batched(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[pa.Table]:
-    """Runs of whole rows with about GATHER list values."""
+def _batched(batches: Iterator[pa.RecordBatch], column: int, gather: int) -> Iterator[pa.Table]:
+    """Runs of whole rows with about `gather` list values."""
     held: list[pa.RecordBatch] = []
     total = 0
     for batch in batches:
         begin, ends = 0, flat(batch.column(column))[1][1:]
         while begin < batch.num_rows:
             done = ends[begin - 1] if begin else 0
-            end = max(begin + 1, int(np.searchsorted(ends, done + GATHER - total, "right")))
+            end = max(begin + 1, int(np.searchsorted(ends, done + gather - total, "right")))
             held.append(batch.slice(begin, end - begin))
             total += int(ends[end - 1] - done)
             begin = end
-            if total >= GATHER:
+            if total >= gather:
                 yield pa.Table.from_batches(held).combine_chunks()
                 held, total = [], 0
     if held:
@@ -95,10 +95,10 @@ def _halves(place: np.ndarray) -> list[np.ndarray]:
     return [(place & 0xFFFF).astype(np.uint16), (place >> 16).astype(np.uint16)]
 
 
-def _short_groups(buckets: int, length: int):
+def _short_groups(buckets: int, length: int, gather: int):
     """Entries of the short prefixes: packed by bucket, or, where a prefix is already shared, the places themselves."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in _batched(batches, 1):
+        for table in _batched(batches, 1, gather):
             words, offsets = _words(table.column(1))
             doc = table.column(0).to_numpy()
             _, at, key = _standing(words, offsets, length)
@@ -207,10 +207,10 @@ def _shared_prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
         yield pa.RecordBatch.from_arrays([pa.array(doc[keep]), pa.array(place[keep].astype(np.int32))], ["doc", "place"])
 
 
-def _window_groups(buckets: int, length: int):
+def _window_groups(buckets: int, length: int, gather: int):
     """Entries of the windows whose suffix is left: packed by bucket, or repeats of documents of the same run."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in _batched(batches, 2):
+        for table in _batched(batches, 2, gather):
             words, offsets = _words(table.column(2))
             left, bounds = flat(table.column(3).combine_chunks())
             doc, mark = table.column(0).to_numpy(), table.column(1).to_numpy()
@@ -250,7 +250,7 @@ def _places(doc: np.ndarray, mark: np.ndarray, place: np.ndarray) -> pa.RecordBa
     order = np.lexsort((place, mark, doc))
     doc, mark, place = doc[order], mark[order], place[order]
     start = np.flatnonzero(_first_of(doc, mark))
-    ends = np.append(start[1:], len(doc))
+    ends = np.append(start[1:], len(doc))[:len(start)]
     packed = [mark[a].tobytes() + place[a:b].astype("<u4").tobytes() for a, b in zip(start, ends, strict=True)]
     return pa.RecordBatch.from_arrays(
         [pa.array((doc[start] % 1024).astype(np.int32)), pa.array(doc[start]), pa.nulls(len(start), pa.int32()),
@@ -329,22 +329,24 @@ def _kept(length: int):
     return run
 
 
-def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH) -> DataFrame:
+def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH,
+                    gather: int = GATHER) -> DataFrame:
     """key (long), n_words, n_removed and kept (UTF-8 bytes: the words left, joined by single blanks) of each row. A word goes
-    if it is in a window of `length` words that also starts in a document with a smaller key."""
+    if it is in a window of `length` words that also starts in a document with a smaller key. gather: words that a task
+    merges at a time."""
     spark = docs.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.coalesce(F.col(key).cast("long"), F.lit(LAST)).alias("doc"), F.col(text).alias("text"))
     tokens = F.filter(F.split(F.coalesce("text", F.lit("")), _BLANKS), lambda w: w != "")
     hashes = F.transform(tokens, lambda w: F.xxhash64(w))
 
-    short = (rows.select("doc", hashes.alias("words")).mapInArrow(_short_groups(n, length), _PACKED)
+    short = (rows.select("doc", hashes.alias("words")).mapInArrow(_short_groups(n, length, gather), _PACKED)
              .repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(_shared_prefixes, "doc long, place int"))
     places = short.groupBy("doc").agg(F.collect_list("place").alias("places"))
     # dealt by key once; both joins read the same exchange
     dealt = rows.repartition(n, "doc")
     windows = (dealt.join(places.hint("merge"), "doc").select("doc", _marks("text").alias("mark"), hashes.alias("words"), "places")
-               .mapInArrow(_window_groups(n, length), _PACKED))
+               .mapInArrow(_window_groups(n, length, gather), _PACKED))
     found = (windows.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(_repeats, "doc long, packed binary")
              .groupBy("doc").agg(F.collect_list("packed").alias("found")))
     both = (dealt.join(found.hint("merge"), "doc", "left").select(F.when(F.col("doc") != LAST, F.col("doc")).alias("key"), "text",
