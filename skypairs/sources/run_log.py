@@ -30,12 +30,17 @@ def read_run_log(spark: SparkSession, path: str, tag: str) -> DataFrame:
     return parse_run_log(spark.read.text(path), tag)
 
 
+SETTINGS = ("Ndata", "imin", "imax", "NpixJ", "NpixD")
+
+
 def time_by_nodes(log: DataFrame) -> DataFrame:
-    """Runs, mean and population stdev of the run time, and mean of each phase, per cluster size."""
+    """Runs, mean and population stdev of the run time, mean of each phase, and the least of each setting, per cluster
+    size. Runs of one log share their settings."""
     phases = [c for c in ("tr", "ts", "td", "tj", "tb") if c in log.columns]
     return (log.groupBy("nodes").agg(
         F.count(F.lit(1)).alias("runs"), F.avg("t").alias("t"), F.stddev_pop("t").alias("sig"),
-        *(F.avg(c).alias(c) for c in phases)).orderBy("nodes"))
+        *(F.avg(c).alias(c) for c in phases),
+        *(F.min(c).alias(c) for c in SETTINGS if c in log.columns)).orderBy("nodes"))
 
 
 def phase_shares(times: DataFrame) -> DataFrame:

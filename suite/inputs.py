@@ -48,6 +48,42 @@ def embedding_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select("vec_id", *(F.get("embedding", k).cast("double").alias(c) for k, c in enumerate("xyz")))
 
 
+def customer_sky(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A smaller sky: a position for every customer, from its key as in ``sky``."""
+    k = F.col("c_custkey")
+    p, q = 999983, 1000003
+    a, b = k % p, k % q
+    return table(spark, sf_dir, "customer").select(
+        k.alias("id"),
+        (F.lit(360.0) * ((a * a * 7919 + a * 104729) % p) / float(p)).alias("ra"),
+        F.degrees(F.asin(F.lit(2.0) * ((b * b * 15485 + b * 32452843) % q) / float(q) - 1.0)).alias("dec"))
+
+
+def twin_sky(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every customer twice, 0.001 arcmin apart."""
+    twin = F.explode(F.sequence(F.lit(0), F.lit(1)))
+    return customer_sky(spark, sf_dir).select("id", "ra", "dec", twin.alias("twin")).select(
+        (F.col("id") * 2 + F.col("twin")).alias("id"), "ra",
+        (F.col("dec") + F.when(F.col("dec") > 0, -1.0).otherwise(1.0) * F.col("twin") / 60000.0).alias("dec"))
+
+
+def crowded_sky(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All orders in three patches of half a degree, by customer; some share a position."""
+    k = F.col("o_orderkey")
+    return table(spark, sf_dir, "orders").select(
+        k.alias("id"),
+        (F.lit(40.0) + F.col("o_custkey") % 3 * 30 + (k * 7919) % 199 / 398.0).alias("ra"),
+        (F.lit(10.0) + (k * 104729) % 211 / 422.0).alias("dec"))
+
+
+def sky_with_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sky with right ascensions and declinations that are NaN, infinite or null."""
+    k, nan = F.col("id"), F.lit(float("nan"))
+    return sky(spark, sf_dir).select(
+        "id", F.when(k % 7 == 0, nan).when(k % 7 == 1, F.lit(float("inf"))).otherwise(F.col("ra")).alias("ra"),
+        F.when(k % 5 == 0, nan).when(k % 5 != 1, F.col("dec")).alias("dec"))
+
+
 def log_lines(spark: SparkSession, sf_dir: str, reduced: bool) -> DataFrame:
     """A run-log line per line item: its numbers stand in for those of a job."""
     li = table(spark, sf_dir, "lineitem")

@@ -352,8 +352,8 @@ SQL["jon4_attach_bins"] = f"""WITH {log_table(1000.0, 1000000.0, 30, 0, 29)},
 CELLS_CS = f"""{corners_cubed(400)}, {CENTRES},
 wgt AS (SELECT ipix, count(*) AS w FROM num GROUP BY ipix),
 cells AS (SELECT cen.ipix AS id, w, cx AS x, cy AS y, cz AS z FROM cen JOIN wgt ON cen.ipix = wgt.ipix)"""
-_exact = log_counts(12, 19)
-SQL["agg3_reduced_counts_log"] = f"{log_counts(12, 19, CELLS_CS, 'cells', 'w')} {COUNTS}"
+_exact = log_counts()
+SQL["agg3_reduced_counts_log"] = f"{log_counts(0, 19, CELLS_CS, 'cells', 'w')} {COUNTS}"
 SQL["jon5_agg23_exact_vs_reduced"] = f"""WITH ex AS ({_exact} {COUNTS}), re AS ({SQL['agg3_reduced_counts_log']})
   SELECT ex.ibin, ex."Nbin" AS "N", re."Nbin" AS "N1", {r8('1 - re."Nbin" / CAST(ex."Nbin" AS DOUBLE)')} AS rel
   FROM ex JOIN re ON ex.ibin = re.ibin"""
@@ -507,7 +507,8 @@ SQL["agg20_geometry_summary"] = f"""WITH {geometry(corners_similar(40), 9600)}
   SELECT min(inner_r) AS min_inner, max(outer_r) AS max_outer FROM geo"""
 SQL["agg20_radius_histogram"] = f"WITH {geometry(corners_cubed(40), 9600)}, " + hist("geo", "outer_r", 80, "0.6e0", "1.5e0")
 SQL["agg21_time_by_nodes"] = f"""WITH l AS ({LOG_R}) SELECT nodes, count(*) AS runs, round(avg(t), 6) AS t, round(stddev_pop(t), 6) AS sig,
-  round(avg(tr), 6) AS tr, round(avg(ts), 6) AS ts, round(avg(td), 6) AS td, round(avg(tj), 6) AS tj, round(avg(tb), 6) AS tb FROM l GROUP BY nodes"""
+  round(avg(tr), 6) AS tr, round(avg(ts), 6) AS ts, round(avg(td), 6) AS td, round(avg(tj), 6) AS tj, round(avg(tb), 6) AS tb,
+  min("Ndata") AS "Ndata", min(imin) AS imin, min(imax) AS imax, min("NpixJ") AS "NpixJ", min("NpixD") AS "NpixD" FROM l GROUP BY nodes"""
 SQL["agg22_phase_shares"] = f"""WITH l AS ({LOG_X}), m AS (SELECT nodes, avg(ts) AS a, avg(td) AS b, avg(tj) + avg(tb) AS c FROM l GROUP BY nodes)
   SELECT nodes, round(a * 100 / (a + b + c), 6) AS source, round(b * 100 / (a + b + c), 6) AS duplicate,
   round(c * 100 / (a + b + c), 6) AS "join" FROM m"""
@@ -526,3 +527,43 @@ SQL["srt1_lim1_first_bins"] = f"{log_counts()} {COUNTS} ORDER BY bins.ibin LIMIT
 SQL["set1_union_of_counts"] = f"({log_counts(10, 14)} {COUNTS}) UNION ALL ({log_counts(15, 19)} {COUNTS})"
 SQL["ary1_2_3_set2_neighbour_arrays"] = f"""WITH {cube_neighbours(40)} SELECT ipix, CAST(count(*) AS INTEGER) AS n, CAST(NULL AS BIGINT) AS none,
   CAST(count(*) AS INTEGER) AS n_distinct FROM nb WHERE ipix IN (SELECT ipix FROM occ) GROUP BY ipix"""
+
+# ---- wide and tiny reaches, crowds, gaps, defaults ----
+CUSTOMER_SKY = SKY.replace("o_orderkey", "c_custkey").replace("FROM orders", "FROM customer")
+_AFTER = SKY[SKY.index("ang AS"):]
+TWINS = f"""one AS (SELECT * FROM ({CUSTOMER_SKY[CUSTOMER_SKY.index('SELECT'):CUSTOMER_SKY.index('),')]}) AS s),
+sky AS (SELECT id * 2 + t AS id, ra, dec + (CASE WHEN dec > 0 THEN -1e0 ELSE 1e0 END) * t / 60000e0 AS dec FROM one, range(2) AS r(t)),
+{_AFTER}"""
+CROWD = f"""sky AS (SELECT o_orderkey AS id, 40e0 + o_custkey % 3 * 30 + ((o_orderkey * 7919) % 199) / 398e0 AS ra,
+  10e0 + ((o_orderkey * 104729) % 211) / 422e0 AS dec FROM orders), {_AFTER}"""
+GAPS = f"{SKY}, ok AS (SELECT * FROM vec WHERE id % 7 > 1 AND id % 5 > 1)"
+SQL["agg1_pair_counts_crowded"] = f"{lin_counts(0.0, 30.0, 6, CROWD)} {COUNTS}"
+SQL["agg1_pair_counts_twins"] = f"{lin_counts(0.0, 0.002, 1, TWINS)} {COUNTS}"
+SQL["jon3_pair_list_twins"] = f"WITH {TWINS}, e AS ({brute('a.id AS id, b.id AS id2', 0.0, rad(0.002))}) SELECT id, id2 FROM e"
+SQL["jon3_pair_list_crowded"] = f"WITH {CROWD}, e AS ({brute('a.id AS id, b.id AS id2', 0.0, rad(0.5))}) SELECT id, id2 FROM e"
+SQL["agg1_pair_counts_with_gaps"] = f"{lin_counts(2.5, 252.5, 5, GAPS, 'ok')} {COUNTS}"
+SQL["agg5_weighted_cells_with_gaps"] = SQL["agg5_weighted_cells"].replace(
+    "FROM num GROUP BY ipix)\n", "FROM num WHERE id % 7 > 1 AND id % 5 > 1 GROUP BY ipix)\n")
+for _name, _head, _source, _reach in (("agg7_degrees_with_gaps", GAPS, "ok", 100.0), ("agg7_degrees_crowded", CROWD, "vec", 10.0)):
+    SQL[_name] = f"""WITH {_head}, e AS ({brute('a.id AS id, b.id AS id2', 0.0, rad(_reach), _source)})
+  SELECT id, count(*) AS degree FROM (SELECT id FROM e UNION ALL SELECT id2 FROM e) AS u GROUP BY id"""
+for _name in ("cubedsphere", "similar_radius", "healpix"):
+    SQL[f"agg1_wide_counts_{_name}"] = f"{lin_counts(0.0, 6000.0, 6, CUSTOMER_SKY)} {COUNTS}"
+SQL["agg1_pair_counts_on_similar_radius"] = SQL["agg1_pair_counts_log"]
+# the coarsest even resolution whose pixels have an outer radius (1.1 ideal ones) below half the first bin's width
+_width = log_edge(2.5, 250.0, 20, 16) - log_edge(2.5, 250.0, 20, 15)
+_n = math.ceil(math.degrees(math.sqrt(math.pi / 3) / (_width / 2)) * 60 * 1.1)
+_n += _n % 2
+CELLS_SR = f"""{corners_similar(_n)}, {CENTRES}, wgt AS (SELECT ipix, count(*) AS w FROM num GROUP BY ipix),
+cells AS (SELECT cen.ipix AS id, w, cx AS x, cy AS y, cz AS z FROM cen JOIN wgt ON cen.ipix = wgt.ipix)"""
+SQL["agg3_reduced_counts_default_cells"] = f"{log_counts(15, 19, CELLS_SR, 'cells', 'w')} {COUNTS}"
+_E = "exp(ln(2.5e0) + {} * (ln(top) - ln(2.5e0)) / 20)"
+SQL["bin4_bin_setup"] = f"""WITH t AS (SELECT max(o_totalprice) / 1000e0 AS top FROM orders),
+  b AS (SELECT CAST(i AS INTEGER) AS ibin, {_E.format('i')} AS lo, {_E.format('(i + 1)')} AS hi FROM t, range(20) AS r(i)),
+  w AS (SELECT *, hi - lo AS width FROM b), n AS (SELECT *, {fine('sr')} AS d, {coarse('cs')} AS j FROM w)
+  SELECT ibin, {r8('lo')} AS lo, {r8('hi')} AS hi, {r8('width')} AS width, d AS "nbaseD", 6 * d * d AS "NpixD",
+    j AS "nbaseJ", 6 * j * j AS "NpixJ" FROM n"""
+SQL["udf1_column_forms"] = f"""WITH {corners_cubed(40)}, {CENTRES}, {ALL_CUBE.replace('{n}', '40')},
+  nn AS (SELECT ipix, count(*) AS n, min(neighbour) AS least FROM nb GROUP BY ipix)
+  SELECT num.id, num.ipix, {r8('cx')} AS x, {r8('cy')} AS y, {r8('cz')} AS z, CAST(n AS INTEGER) AS n, least
+  FROM num JOIN cen ON num.ipix = cen.ipix JOIN nn ON num.ipix = nn.ipix"""

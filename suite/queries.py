@@ -14,8 +14,12 @@ from skypairs.functions.binning import Binning
 from skypairs.operators import graph, pairs, quality, reduce, resolution, stats, tiles
 from skypairs.sources import catalogue, run_log
 
-from .inputs import (BINS, LINEAR, angles, embedding_points, log_lines, next_pairs, sky, table, vectors)
+from .inputs import (BINS, LINEAR, angles, crowded_sky, customer_sky, embedding_points, log_lines, next_pairs, sky,
+                     sky_with_gaps, table, twin_sky, vectors)
 
+CROWD_BINS = Binning.linear(0.0, 30.0, 6)
+TWIN_BINS = Binning.linear(0.0, 0.002, 1)
+WIDE_BINS = Binning.linear(0.0, 6000.0, 6)
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 
@@ -344,7 +348,7 @@ def jon4_attach_bins(spark, d):
 @query
 def jon5_agg23_exact_vs_reduced(spark, d):
     s = sky(spark, d)
-    bins = BINS.slice(12, 19)
+    bins = BINS
     df = reduce.compare_counts(pairs.pair_counts(s, bins), reduce.reduced_pair_counts(s, bins, "cubedsphere", 400))
     return rounded(df, "rel")
 
@@ -386,6 +390,64 @@ def agg1_pair_counts_bulk(spark, d):
     return _counts(pairs.pair_counts(sky(spark, d), BINS, halvings=3, crowd=4))
 
 
+@query
+def agg1_pair_counts_crowded(spark, d):
+    """Patches crowded enough that the operator takes the pyramid by itself."""
+    return _counts(pairs.pair_counts(crowded_sky(spark, d), CROWD_BINS))
+
+
+@query
+def agg1_pair_counts_twins(spark, d):
+    """A reach below the finest cubes."""
+    return _counts(pairs.pair_counts(twin_sky(spark, d), TWIN_BINS))
+
+
+@query
+def jon3_pair_list_twins(spark, d):
+    return pairs.pair_list(twin_sky(spark, d), 0.002)
+
+
+@query
+def agg1_pair_counts_with_gaps(spark, d):
+    return _counts(pairs.pair_counts(sky_with_gaps(spark, d), LINEAR))
+
+
+@query
+def agg5_weighted_cells_with_gaps(spark, d):
+    return rounded(reduce.weighted_cells(sky_with_gaps(spark, d), "similar_radius", 40), "x", "y", "z")
+
+
+@query
+def agg7_degrees_with_gaps(spark, d):
+    return graph.degrees(sky_with_gaps(spark, d), 100.0)
+
+
+@query
+def agg7_degrees_crowded(spark, d):
+    return graph.degrees(crowded_sky(spark, d), 10.0)
+
+
+@query
+def jon3_pair_list_crowded(spark, d):
+    return pairs.pair_list(crowded_sky(spark, d), 0.5)
+
+
+def _wide(tiling):
+    def run(spark, d):
+        return _counts(pairs.pair_counts_on_tiling(customer_sky(spark, d), WIDE_BINS, tiling))
+    run.__name__ = f"agg1_wide_counts_{tiling}"
+    return query(run)
+
+
+for _tiling in tiles.TILINGS:
+    _wide(_tiling)
+
+
+@query
+def agg1_pair_counts_on_similar_radius(spark, d):
+    return _counts(pairs.pair_counts_on_tiling(sky(spark, d), BINS, "similar_radius"))
+
+
 @query
 def agg1_pair_counts_on_cubed_sphere(spark, d):
     return _counts(pairs.pair_counts_on_tiling(sky(spark, d), BINS, "cubedsphere"))
@@ -398,7 +460,13 @@ def agg2_pair_counts_linear(spark, d):
 
 @query
 def agg3_reduced_counts_log(spark, d):
-    return _counts(reduce.reduced_pair_counts(sky(spark, d), BINS.slice(12, 19), "cubedsphere", 400))
+    return _counts(reduce.reduced_pair_counts(sky(spark, d), BINS, "cubedsphere", 400))
+
+
+@query
+def agg3_reduced_counts_default_cells(spark, d):
+    """Tiling and resolution of the cells are those that the operator derives from the bins."""
+    return _counts(reduce.reduced_pair_counts(sky(spark, d), BINS.slice(15, 19)))
 
 
 @query
@@ -561,7 +629,7 @@ def agg20_radius_histogram(spark, d):
 def agg21_time_by_nodes(spark, d):
     log = run_log.parse_run_log(log_lines(spark, d, True), "r@@")
     df = run_log.time_by_nodes(log)
-    return df.withColumns({c: F.round(c, 6) for c in df.columns if c not in ("nodes", "runs")})
+    return df.withColumns({c: F.round(c, 6) for c in df.columns if c not in ("nodes", "runs", *run_log.SETTINGS)})
 
 
 @query
@@ -607,6 +675,25 @@ def bin4_5_resolutions_cube(spark, d):
         "o_custkey", "nbaseD", "NpixD", "nbaseJ", "NpixJ")
 
 
+@query
+def bin4_bin_setup(spark, d):
+    """Bins over the range of the data's prices, as a job sets them up."""
+    top = table(spark, d, "orders").agg(F.max("o_totalprice")).first()[0]
+    df = resolution.bin_setup(spark, Binning.log(2.5, float(top) / 1000.0, 20))
+    return rounded(df, "lo", "hi", "width")
+
+
+@query
+def udf1_column_forms(spark, d):
+    """Pixel, its centre and its neighbours as columns of one select."""
+    ipix = tiles.pixel_of("cubedsphere", 40, F.col("theta"), F.col("phi"))
+    df = angles(spark, d).select("id", ipix.alias("ipix")).select(
+        "id", "ipix", tiles.pixel_centre_of("cubedsphere", 40, F.col("ipix")).alias("c"),
+        tiles.neighbours_of("cubedsphere", 40, F.col("ipix")).alias("around"))
+    return rounded(df.select("id", "ipix", F.col("c.x").alias("x"), F.col("c.y").alias("y"), F.col("c.z").alias("z"),
+                             F.size("around").alias("n"), F.array_min("around").alias("least")), "x", "y", "z")
+
+
 @query
 def bin6_resolutions_healpix(spark, d):
     return resolution.with_resolutions(_bins_of_prices(spark, d), "healpix", "healpix").select(

@@ -88,3 +88,13 @@ def test_large_pixel_numbers(spark):
     cube = ((n - 1) * n + n - 2) * 10 + 3
     row = tiles.with_decoded(spark.createDataFrame([(cube,)], "ipix long"), n).first()
     assert (row["face"], row["i"], row["j"]) == (3, n - 1, n - 2)
+
+
+def test_the_crowded_query_takes_the_pyramid(spark):
+    from skypairs.operators.pyramid import choose_halvings, distinct_positions
+    from suite.inputs import crowded_sky
+    from suite.queries import CROWD_BINS
+
+    points = pairs.catalogue_vectors(crowded_sky(spark, "/root/testdata/sf0.01"))
+    positions = distinct_positions(points.withColumn("w", F.lit(1).cast("long")))
+    assert choose_halvings(points, positions, CROWD_BINS) > 0
