@@ -34,32 +34,42 @@ def degrees(catalogue: DataFrame, reach_arcmin: float, ra: str = "ra", dec: str
         F.struct(*(F.col(f"{c}_a").alias(c) for c in "xyz"), F.col("w_b").alias("add")),
         F.struct(*(F.col(f"{c}_b").alias(c) for c in "xyz"), F.col("w_a").alias("add")))).alias("p"))
     sums = (near.select("p.*").groupBy("x", "y", "z").agg(F.sum("add").alias("add")))
-    edge = top_edge(within.max_chord) / 2 ** halvings
-    placed = positions.withColumn("leaf", cell_key(F.col("x"), F.col("y"), F.col("z"), edge))
+    edge = top_edge(within.max_chord)
+    placed = positions.withColumn("leaf", cell_key(F.col("x"), F.col("y"), F.col("z"), edge / 2 ** halvings))
+    zero = F.lit(0).cast("long")
     # copies of a position are neighbours of each other
-    total = F.col("w") - 1
+    total = F.col("w") - 1 + F.coalesce("add", zero)
+    if found:
+        # what the cubes gain goes down to the smallest ones, of which there are few; positions are joined with those once
+        gains = _gains(found)
+        above = F.array(*(F.struct(F.lit(size).alias("size"), parent_key(F.col("leaf"), halvings - size).alias("cell"))
+                          for size, _ in found))
+        leaves = (placed.select("leaf").distinct().select("leaf", F.inline(above)).join(gains, ["size", "cell"])
+                  .groupBy("leaf").agg(F.sum("gain").alias("gain"), F.sum("own").alias("own")))
+        placed = placed.join(leaves, "leaf", "left")
+        total = total + F.coalesce("gain", zero) - F.coalesce("own", zero) * F.col("w")
     placed = placed.join(sums, ["x", "y", "z"], "left")
-    total = total + F.coalesce("add", F.lit(0).cast("long"))
-    for size, decided in found:
-        # a pair of two cubes adds to both; a cube paired with itself adds its own weight, and each
-        # position is taken off again below
-        other = F.when(F.col("cell_a") != F.col("cell_b"),
-                       F.struct(F.col("cell_b").alias("cell"), F.col("n_a").alias("gain"),
-                                F.lit(0).alias("own")))
-        both = F.array(F.struct(F.col("cell_a").alias("cell"), F.col("n_b").alias("gain"),
-                                F.when(F.col("cell_a") == F.col("cell_b"), 1).otherwise(0).alias("own")),
-                       other)
-        cells = (decided.select(F.explode(both).alias("c")).where(F.col("c").isNotNull())
-                 .groupBy(F.col("c.cell").alias(f"up{size}"))
-                 .agg(F.sum("c.gain").alias(f"gain{size}"), F.max("c.own").alias(f"own{size}")))
-        placed = (placed.withColumn(f"up{size}", parent_key(F.col("leaf"), halvings - size))
-                  .join(cells, f"up{size}", "left"))
-        total = (total + F.coalesce(f"gain{size}", F.lit(0).cast("long"))
-                 - F.coalesce(f"own{size}", F.lit(0)) * F.col("w"))
     placed = placed.withColumn("degree", total).where("degree > 0").select("x", "y", "z", "degree")
     return points.join(placed, ["x", "y", "z"]).select("id", "degree")
 
 
+def _gains(found: list[tuple[int, DataFrame]]) -> DataFrame:
+    """(size, cell, gain, own): the weight each cube gains from the decided pairs of its size. A pair of two cubes adds to
+    both; a cube paired with itself adds its own weight, and each of its positions is taken off again (own)."""
+    alone = F.col("cell_a") == F.col("cell_b")
+
+    def side(cell: str, n: str, own):
+        return F.struct(F.col(cell).alias("cell"), F.col(n).alias("gain"), own.cast("long").alias("own"))
+
+    both = F.array(side("cell_a", "n_b", F.when(alone, 1).otherwise(0)),
+                   F.when(~alone, side("cell_b", "n_a", F.lit(0))))
+    rows = None
+    for size, decided in found:
+        part = decided.select(F.lit(size).alias("size"), F.explode(F.array_compact(both)).alias("c"))
+        rows = part if rows is None else rows.unionByName(part)
+    return rows.groupBy("size", "c.cell").agg(F.sum("c.gain").alias("gain"), F.max("c.own").alias("own"))
+
+
 def degree_summary(degree: DataFrame, column: str = "degree") -> DataFrame:
     """Count, mean, sample stddev, min, max and sum of the degrees."""
     c = F.col(column)
