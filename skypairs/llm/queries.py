@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skypairs.llm import bpe, decontaminate, licenses, neardup, neighbours, pii, quality, records, repeats, viterbi
+from skypairs.llm import bpe, decontaminate, licenses, neardup, neighbours, oracles, pii, quality, records, repeats, viterbi
 from skypairs.llm.license_texts import NOTICES
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -98,4 +98,5 @@ QUERIES = {
     "op10_near_copies": op10_near_copies,
 }
 
-SQL: dict[str, str] = {}
+#: The other queries need a tokenizer, a fitted model or signatures; they are tested against brute force.
+SQL = {"op5_decontamination": oracles.DECONTAMINATION, "op8_repeats": oracles.REPEATS}
