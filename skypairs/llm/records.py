@@ -81,13 +81,13 @@ class _Words:
         others = sorted(set(range(len(words))).difference(plain))
         lengths = np.empty(len(words), np.int64)
         values = []
-        if plain:
-            got = self.tokenizer.encode(" ".join([words[k] for k in plain]), add_special_tokens=False)
-            lengths[plain] = np.bincount(np.array(got.word_ids, np.int64), minlength=len(plain))
+        for part in _chunks(plain):
+            got = self.tokenizer.encode(" ".join([words[k] for k in part]), add_special_tokens=False)
+            lengths[part] = np.bincount(np.array(got.word_ids, np.int64), minlength=len(part))
             values.append(np.array(got.ids, np.int32))
-        if others:
-            got = self.tokenizer.encode_batch_fast([words[k] for k in others], add_special_tokens=False)
-            some, lengths[others] = joined([np.array(e.ids, np.int32) for e in got])
+        for part in _chunks(others):
+            got = self.tokenizer.encode_batch_fast([words[k] for k in part], add_special_tokens=False)
+            some, lengths[part] = joined([np.array(e.ids, np.int32) for e in got])
             values.append(some)
         order = np.array(plain + others, np.int64)
         starts = np.empty(len(words), np.int64)
@@ -95,6 +95,11 @@ class _Words:
         return np.concatenate([np.empty(0, np.int32), *values])[ranges(starts, lengths)], lengths
 
 
+def _chunks(places: list[int], size: int = 8192) -> Iterator[list[int]]:
+    """So many at a time: what the library keeps of a call is many times its text."""
+    return (places[k:k + size] for k in range(0, len(places), size))
+
+
 def _units(texts: pa.Array) -> pa.Array:
     """Lists of words, A-Z lower-cased as the tokenizer does, with letters parted from punctuation; many are empty."""
     texts = pc.replace_substring(pc.ascii_lower(texts), "\n", " ")
