@@ -36,7 +36,7 @@ from skypairs.llm.words import slices
 
 LENGTH, SHORT = 13, 7
 LAST = 2**63 - 1
-GATHER = 3_000_000
+GATHER = 2_000_000
 _BLANKS = r"[\x20\x09-\x0D]+"
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
