@@ -31,7 +31,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+from pyspark.sql.window import Window as Over
 
 from skypairs.llm.words import slices
 
@@ -302,7 +302,7 @@ def train(docs: DataFrame, key: str = "doc_id", text: str = "text", windows: int
 
     found = _with(docs, key, text, make, "example string, kind string").distinct()
     # the same share for each kind, so that a rare one is learnt as well
-    lowest = Window.partitionBy("kind").orderBy(F.xxhash64("example"), "example")
+    lowest = Over.partitionBy("kind").orderBy(F.xxhash64("example"), "example")
     rows = found.withColumn("n", F.row_number().over(lowest)).filter(F.col("n") <= windows // len(KINDS)).collect()
     return fit(sorted((r["example"], r["kind"]) for r in rows))
 
