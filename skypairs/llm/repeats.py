@@ -117,14 +117,14 @@ def _short_groups(buckets: int, length: int, gather: int):
             sent = np.concatenate([np.flatnonzero(~shared), start[least != most]])
             place = np.where(shared[sent], -1, (at - offsets[row])[sent])
             key, row = key[sent], row[sent]
-            yield from _dealt(key, row, place, [doc], buckets, [])
+            yield from _dealt(key, row, place, [doc], buckets, [key])
 
     return run
 
 
 def _dealt(key: np.ndarray, row: np.ndarray, place: np.ndarray, names: list[np.ndarray], buckets: int,
            more: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-    """One packed record for each bucket of the keys."""
+    """One packed record for each bucket of the keys: more, index of the row, place in two halves, names by index."""
     bucket = (key % np.uint64(buckets)).astype(np.int64)
     order = np.argsort(bucket, kind="stable")
     cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
@@ -133,7 +133,7 @@ def _dealt(key: np.ndarray, row: np.ndarray, place: np.ndarray, names: list[np.n
         if not len(part):
             continue
         who, index = np.unique(row[part], return_inverse=True)
-        arrays = [key[part], *(m[part] for m in more), index.astype(np.uint32), *_halves(place[part]), *(n[who] for n in names)]
+        arrays = [*(m[part] for m in more), index.astype(np.uint32), *_halves(place[part]), *(n[who] for n in names)]
         yield _rows(bucket=np.array([b]), packed=arrays)
 
 
@@ -234,7 +234,7 @@ def _window_groups(buckets: int, length: int, gather: int):
             yield _places(doc[row[again]], mark[row[again]], place[again])
             # all rows with the least key are sent, once for each row and window: another task may have a smaller one
             sent = ~again
-            yield from _dealt(key[sent], row[sent], place[sent], [doc, mark], buckets, [check[sent]])
+            yield from _dealt(key[sent], row[sent], place[sent], [doc, mark], buckets, [key[sent], check[sent]])
 
     return run
 
@@ -257,31 +257,54 @@ def _places(doc: np.ndarray, mark: np.ndarray, place: np.ndarray) -> pa.RecordBa
          pa.array(packed, pa.binary())], ["bucket", "doc", "place", "packed"])
 
 
-def _repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """doc and places (after the mark) of the windows that a document with a smaller key has too."""
-    def split() -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            through = batch.column(1).is_valid()
-            if through.true_count:
-                out.append(batch.filter(through).select(["doc", "packed"]))
-            yield batch.filter(batch.column(1).is_null())
+def _through(batches: Iterator[pa.RecordBatch], kept: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The packed records; rows that already name their document are put aside."""
+    for batch in batches:
+        done = batch.column(1).is_valid()
+        if done.true_count:
+            kept.append(batch.filter(done))
+        yield batch.filter(batch.column(1).is_null())
 
-    out: list[pa.RecordBatch] = []
-    for held in _by_bucket(split()):
-        yield from out
-        out.clear()
-        if isinstance(held, pa.RecordBatch):
-            continue
-        key, check = (np.concatenate([h[k] for h in held]) for k in (0, 1))
-        doc, mark = (np.concatenate([h[k][h[2]] for h in held]) for k in (5, 6))
-        place = np.concatenate([_place(h[3], h[4]) for h in held])
-        order = np.lexsort((doc, check, key))
-        key, check, doc, mark, place = key[order], check[order], doc[order], mark[order], place[order]
-        start = np.flatnonzero(_first_of(key, check))
-        again = doc > np.repeat(doc[start], np.diff(np.append(start, len(key))))
-        if again.any():
-            yield _places(doc[again], mark[again], place[again]).select(["doc", "packed"])
-    yield from out
+
+def _repeats(buckets: int):
+    """The windows that a document with a smaller key has too: packed by bucket of the document."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept: list[pa.RecordBatch] = []
+        for held in _by_bucket(_through(batches, kept)):
+            yield from kept
+            kept.clear()
+            if isinstance(held, pa.RecordBatch):
+                continue
+            key, check = (np.concatenate([h[k] for h in held]) for k in (0, 1))
+            doc, mark = (np.concatenate([h[k][h[2]] for h in held]) for k in (5, 6))
+            place = np.concatenate([_place(h[3], h[4]) for h in held])
+            order = np.lexsort((doc, check, key))
+            key, check, doc, mark, place = key[order], check[order], doc[order], mark[order], place[order]
+            start = np.flatnonzero(_first_of(key, check))
+            again = doc > np.repeat(doc[start], np.diff(np.append(start, len(key))))
+            doc, mark, place = doc[again], mark[again], place[again]
+            order = np.lexsort((mark, doc))
+            doc, mark, place = doc[order], mark[order], place[order]
+            fresh = _first_of(doc, mark)
+            row = np.cumsum(fresh) - 1
+            yield from _dealt(mix(doc.view(np.uint64)), row, place, [doc[fresh], mark[fresh]], buckets, [])
+        yield from kept
+    return run
+
+
+def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """doc and places (after the mark) of the repeats of each document."""
+    kept: list[pa.RecordBatch] = []
+    for held in _by_bucket(_through(batches, kept)):
+        for batch in kept:
+            yield batch.select(["doc", "packed"])
+        kept.clear()
+        if not isinstance(held, pa.RecordBatch):
+            doc, mark = (np.concatenate([h[k][h[0]] for h in held]) for k in (3, 4))
+            place = np.concatenate([_place(h[1], h[2]) for h in held])
+            yield _places(doc, mark, place).select(["doc", "packed"])
+    for batch in kept:
+        yield batch.select(["doc", "packed"])
 
 
 def _marks(text: str) -> Column:
@@ -347,7 +370,8 @@ def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", le
     dealt = rows.repartition(n, "doc")
     windows = (dealt.join(places.hint("merge"), "doc").select("doc", _marks("text").alias("mark"), hashes.alias("words"), "places")
                .mapInArrow(_window_groups(n, length, gather), _PACKED))
-    found = (windows.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(_repeats, "doc long, packed binary")
+    again = windows.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(_repeats(n), _PACKED)
+    found = (again.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(_merged, "doc long, packed binary")
              .groupBy("doc").agg(F.collect_list("packed").alias("found")))
     both = (dealt.join(found.hint("merge"), "doc", "left").select(F.when(F.col("doc") != LAST, F.col("doc")).alias("key"), "text",
                                                     _marks("text").alias("mark"), "found"))
