@@ -6,6 +6,10 @@ subsequence of anchors that ascends in both is kept; and the gaps between them a
 the share of the template's words that are aligned. The key words of a template are its longest words, as many as it
 takes for a coverage of `least` to need one of them, so that nothing is missed by starting from them.
 
+A notice can list the words that name its licence and version. One of the places where the template has them all must be
+aligned in full, and no word that names another licence may stand unaligned among them ("GNU Lesser General Public
+License" isn't a find of the GPL). A version is the same with and without a v before it.
+
 Of overlapping finds the one with more aligned words stays, then the one that starts first, then the first template.
 
 Edge cases: a null or empty text has no finds; a notice that occurs several times is found each time. Texts of any
@@ -17,6 +21,7 @@ from __future__ import annotations
 
 import re
 from bisect import bisect_left
+from collections import Counter
 from collections.abc import Iterator, Sequence
 from functools import lru_cache
 
@@ -38,6 +43,11 @@ def _lower(text: str) -> str:
 
 
 _CAPITALS = {k: k + 32 for k in range(65, 91)}
+_VERSION = re.compile(r"v[0-9]+\Z")
+
+
+def _plain(word: str) -> str:
+    return word[1:] if _VERSION.match(word) else word
 
 
 def ascending(values: Sequence[int]) -> list[int]:
@@ -86,9 +96,14 @@ def _once(words: Sequence[str], begin: int, end: int) -> dict[str, int]:
 
 
 class Template:
-    def __init__(self, number: int, name: str, text: str, least: float):
+    def __init__(self, number: int, name: str, text: str, least: float, names: str = ""):
         self.number, self.name, self.least = number, name, least
-        self.words = _WORD.findall(_lower(text))
+        self.words = [_plain(w) for w in _WORD.findall(_lower(text))]
+        self.names = Counter(_plain(w) for w in _WORD.findall(_lower(names)))
+        self.mentions = self._mentions()
+        if self.names and not self.mentions:
+            raise ValueError(f"the text of {name} lacks some of its names: {names}")
+        self.others: frozenset[str] = frozenset()
         self.place: dict[str, int] = {}
         for k, w in enumerate(self.words):
             self.place.setdefault(w, k)
@@ -100,6 +115,30 @@ class Template:
             if covered > (1 - least) * len(self.words):
                 break
 
+    def _mentions(self) -> list[list[int]]:
+        """Places of the words that name the licence, for each time that the template has them all."""
+        out, places, left = [], [], Counter(self.names)
+        for k, w in enumerate(self.words):
+            if left[w]:
+                left[w] -= 1
+                places.append(k)
+                if not any(left.values()):
+                    out.append(places)
+                    places, left = [], Counter(self.names)
+        return out
+
+    def _named(self, part: list[str], pairs: list[tuple[int, int]]) -> bool:
+        """Whether the aligned words name this licence, and no other one."""
+        if not self.mentions:
+            return True
+        to, aligned = {q: p for p, q in pairs}, {p for p, _ in pairs}
+        for places in self.mentions:
+            if all(q in to for q in places):
+                among = range(to[places[0]], to[places[-1]])
+                if not any(part[p] in self.others and p not in aligned for p in among):
+                    return True
+        return False
+
     def finds(self, words: list[str], at: list[int]) -> Iterator[tuple[int, int, int]]:
         """First and last word and number of aligned words of each place; at: where the key words are."""
         done, size = 0, len(self.words)
@@ -108,16 +147,21 @@ class Template:
                 continue
             begin = max(done, p - self.place[words[p]] - SLACK)
             part = words[begin:begin + size + size // 4 + 2 * SLACK]
+            if not self.names.keys() <= set(part):
+                continue
             pairs = align(part, self.words)
-            if pairs and len(pairs) >= self.least * size:
+            if pairs and len(pairs) >= self.least * size and self._named(part, pairs):
                 first, last = begin + pairs[0][0], begin + pairs[-1][0]
                 yield first, last, len(pairs)
                 done = last + 1
 
 
 @lru_cache(maxsize=2)
-def _templates(notices: tuple[tuple[str, str], ...], least: float) -> tuple[list[Template], dict[str, list[Template]], str]:
-    made = [Template(k, name, text, least) for k, (name, text) in enumerate(notices)]
+def _templates(notices: tuple[tuple[str, ...], ...], least: float) -> tuple[list[Template], dict[str, list[Template]], str]:
+    made = [Template(k, name, text, least, *names) for k, (name, text, *names) in enumerate(notices)]
+    naming = {w for t in made for w in t.names}
+    for t in made:
+        t.others = frozenset(naming.difference(t.words))
     by_key: dict[str, list[Template]] = {}
     for t in made:
         for w in sorted(t.keys):
@@ -125,12 +169,12 @@ def _templates(notices: tuple[tuple[str, str], ...], least: float) -> tuple[list
     return made, by_key, "(?i)" + "|".join(map(re.escape, sorted(by_key)))
 
 
-def found_in(text: str, notices: tuple[tuple[str, str], ...], least: float = LEAST) -> list[tuple[str, int, int, int, float]]:
+def found_in(text: str, notices: tuple[tuple[str, ...], ...], least: float = LEAST) -> list[tuple[str, int, int, int, float]]:
     """Name, start and end in the text, aligned words and coverage of each find, by start."""
     _, by_key, _ = _templates(notices, least)
     lower = _lower(text)
     spans = [m.span() for m in _WORD.finditer(lower)]
-    words = [lower[a:b] for a, b in spans]
+    words = [_plain(lower[a:b]) for a, b in spans]
     at: dict[int, tuple[Template, list[int]]] = {}
     for k, w in enumerate(words):
         for t in by_key.get(w, ()):
@@ -148,9 +192,10 @@ def found_in(text: str, notices: tuple[tuple[str, str], ...], least: float = LEA
     return sorted(out, key=lambda x: x[1])
 
 
-def scan(docs: DataFrame, notices: list[tuple[str, str]], key: str = "doc_id", text: str = "text",
+def scan(docs: DataFrame, notices: list[tuple[str, ...]], key: str = "doc_id", text: str = "text",
          least: float = LEAST) -> DataFrame:
-    """A row for each find: key, license, start, end (code points), matched (words), coverage."""
+    """A row for each find: key, license, start, end (code points), matched (words), coverage. notices: name, text and,
+    where the words that name the licence are needed, these words."""
     fixed = tuple(map(tuple, notices))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

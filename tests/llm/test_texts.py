@@ -162,6 +162,22 @@ def test_licences(spark, documents):
     assert queries.op3_licenses(spark, documents([])).count() == 0
 
 
+def test_each_licence_is_told_from_its_neighbours():
+    fixed = tuple(map(tuple, NOTICES))
+    for name, text, *_ in fixed:
+        for t in (text, f"some words before. {text} And some of the words after."):
+            assert [(f[0], f[4]) for f in licenses.found_in(t, fixed)] == [(name, 1.0)], text
+    named = {"Licensed under the Mozilla Public License, Version 2.0.": "MPL-2.0", "Released under the BSD License.": "LicenseRef-BSD",
+             "This work is licensed under the GNU General Public License, version 2.": "GPL-2.0",
+             "This work is licensed under the GNU Lesser General Public License, version 3.": "LGPL-3.0",
+             "Licensed under CC BY 4.0.": "CC-BY-4.0", "Licensed under CC BY-SA 4.0.": "CC-BY-SA-4.0",
+             "Licensed under the Apache License, v2.0": "Apache-2.0", "Released under the MIT Licence": "MIT"}
+    for text, name in named.items():
+        assert [f[0] for f in licenses.found_in(f"see there: {text} or elsewhere", fixed)] == [name], text
+    for text in ("Released under the Foo License.", "Licensed under CC BY-NC 7.0.", "Licensed under the Foo License, Version 2.0."):
+        assert licenses.found_in(text, fixed) == [], text
+
+
 def test_alignment_ascends_in_both():
     g = random.Random(1)
     for _ in range(200):
