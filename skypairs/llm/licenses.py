@@ -6,6 +6,10 @@ subsequence of anchors that ascends in both is kept; and the gaps between them a
 the share of the template's words that are aligned. The key words of a template are its longest words, as many as it
 takes for a coverage of `least` to need one of them, so that nothing is missed by starting from them.
 
+The part of the document that is aligned goes as far to both sides as it brings words of the template that it lacks: at most
+as many other words as the template has may stand between two of them, and it ends where another copy begins. So inserted
+words (margins, comments, clauses) cost neither head nor tail, however many there are in all.
+
 A notice can list the words that name its licence and version. One of the places where the template has them all must be
 aligned in full, and no word that names another licence may stand unaligned among them ("GNU Lesser General Public
 License" isn't a find of the GPL). A version is the same with and without a v before it.
@@ -104,6 +108,7 @@ class Template:
         if self.names and not self.mentions:
             raise ValueError(f"the text of {name} lacks some of its names: {names}")
         self.others: frozenset[str] = frozenset()
+        self.counts = Counter(self.words)
         self.place: dict[str, int] = {}
         for k, w in enumerate(self.words):
             self.place.setdefault(w, k)
@@ -127,30 +132,73 @@ class Template:
                     places, left = [], Counter(self.names)
         return out
 
-    def _named(self, part: list[str], pairs: list[tuple[int, int]]) -> bool:
+    def _named(self, words: list[str], begin: int, pairs: list[tuple[int, int]]) -> bool:
         """Whether the aligned words name this licence, and no other one."""
         if not self.mentions:
             return True
-        to, aligned = {q: p for p, q in pairs}, {p for p, _ in pairs}
+        to, aligned = {q: begin + p for p, q in pairs}, {begin + p for p, _ in pairs}
         for places in self.mentions:
             if all(q in to for q in places):
                 among = range(to[places[0]], to[places[-1]])
-                if not any(part[p] in self.others and p not in aligned for p in among):
+                if not any(words[p] in self.others and p not in aligned for p in among):
                     return True
         return False
 
+    def _reach(self, words: list[str], part: range, places: range) -> int:
+        """The end (in the order of `places`, which go away from the part) of the words that the part lacks, and of as many
+        more as the template has beyond the last of them."""
+        lacks = self.counts.keys() - set(words[part.start:part.stop])
+        size, step = len(self.words), places.step
+        end, gap, new, again = places.start, 0, 0, 0
+        for p in places:
+            if not lacks or gap > size or again > new + max(SLACK, size // 8):
+                break
+            gap += 1
+            if words[p] in lacks:
+                lacks.remove(words[p])
+                at = self.place[words[p]]
+                end, gap, new = p + step * (1 + SLACK + (size - at if step > 0 else at)), 0, new + 1
+            elif self.counts.get(words[p]) == 1:
+                again += 1
+        return min(end, places.stop) if step > 0 else max(end, places.stop)
+
+    def _finished(self, words: list[str], begin: int, pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
+        """With the words that follow the last aligned one in the template and, SLACK words apart at most, in the text:
+        the part may end among them."""
+        if pairs:
+            p, q = begin + pairs[-1][0], pairs[-1][1]
+            while q + 1 < len(self.words) and self.words[q + 1] in (after := words[p + 1:p + 2 + SLACK]):
+                p, q = p + 1 + after.index(self.words[q + 1]), q + 1
+                pairs = [*pairs, (p - begin, q)]
+        return pairs
+
+    def _aligned(self, words: list[str], least: int, p: int) -> tuple[int, list[tuple[int, int]]]:
+        """The first word of the part around place p, not before `least`, and its alignment."""
+        size, start = len(self.words), p - self.place[words[p]]
+        if start >= least and words[start:start + size] == self.words:
+            return start, [(k, k) for k in range(size)]
+        begin = max(least, start - SLACK)
+        end = min(len(words), begin + size + size // 4 + 2 * SLACK)
+        last = self._reach(words, range(begin, end), range(end, len(words)))
+        first = self._reach(words, range(begin, last), range(begin - 1, least - 1, -1)) + 1
+        present = set(words[first:last])
+        if not self.names.keys() <= present or sum(self.counts[w] for w in present) < self.least * size:
+            return begin, []
+        near = align(words[begin:end], self.words)
+        if len(near) == size or (first, last) == (begin, end):
+            return begin, self._finished(words, begin, near)
+        far = align(words[first:last], self.words)
+        begin, pairs = (first, far) if len(far) > len(near) else (begin, near)
+        return begin, self._finished(words, begin, pairs)
+
     def finds(self, words: list[str], at: list[int]) -> Iterator[tuple[int, int, int]]:
         """First and last word and number of aligned words of each place; at: where the key words are."""
         done, size = 0, len(self.words)
         for p in at:
             if p < done:
                 continue
-            begin = max(done, p - self.place[words[p]] - SLACK)
-            part = words[begin:begin + size + size // 4 + 2 * SLACK]
-            if not self.names.keys() <= set(part):
-                continue
-            pairs = align(part, self.words)
-            if pairs and len(pairs) >= self.least * size and self._named(part, pairs):
+            begin, pairs = self._aligned(words, done, p)
+            if pairs and len(pairs) >= self.least * size and self._named(words, begin, pairs):
                 first, last = begin + pairs[0][0], begin + pairs[-1][0]
                 yield first, last, len(pairs)
                 done = last + 1

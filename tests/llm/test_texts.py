@@ -178,6 +178,26 @@ def test_each_licence_is_told_from_its_neighbours():
         assert licenses.found_in(text, fixed) == [], text
 
 
+@pytest.mark.parametrize("share", [0.3, 0.6])
+def test_a_notice_with_inserted_words_is_found_whole(share):
+    fixed, g = tuple(map(tuple, NOTICES)), random.Random(2)
+    for name, text, *_ in fixed:
+        w = text.split()
+        if len(w) < 20:
+            continue
+        more = [f"x{k}" for k in range(round(share * len(w)))]
+        spread = w[:]
+        for x in more:
+            spread.insert(g.randint(1, len(spread) - 1), x)
+        for v in (spread, *(w[:k] + more + w[k:] for k in (len(w) // 6, len(w) // 2, len(w) - 8))):
+            whole, before = " ".join(v), "before " * 9
+            (found,) = licenses.found_in(f"{before}{whole}" + " after" * 9, fixed)
+            # a word that the template repeats is no anchor where inserted words surround it
+            assert found[0] == name and found[4] > 0.9, v
+            assert v == spread or (found[1] == len(before) and len(before) + len(whole) - found[2] < 6), v
+    assert [f[0] for f in licenses.found_in("a b c d e f " + "All rights reserved. " * 2 + "g h", fixed)] == ["NOASSERTION"] * 2
+
+
 def test_alignment_ascends_in_both():
     g = random.Random(1)
     for _ in range(200):
