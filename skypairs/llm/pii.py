@@ -2,8 +2,8 @@
 
 The base spans are those of four patterns with their checks. The field adds spans of the same kinds in forms that the
 patterns don't have (a telephone number without its plus, a card number in other groups, an address with "(at)").
-It reads windows of tokens around digits and at signs. Each candidate segment of at most LONGEST tokens is scored as
-a whole, per kind, from features of its shape, its checks and its surroundings; dynamic programming over the ends of
+It reads windows of tokens around digits and at signs. Each candidate segment of at most LONGEST tokens (addresses: of any
+number within WIDE characters, and never with a part of a local part or host) is scored as a whole, per kind, from features of its shape, its checks and its surroundings; dynamic programming over the ends of
 segments, in which a token outside any segment scores nothing, chooses boundaries and kinds jointly.
 
 The weights are fitted by the driver, by stochastic gradients of the conditional likelihood (forward and backward
@@ -37,10 +37,13 @@ from skypairs.llm.words import slices
 
 KINDS = ("email", "ip", "card", "phone")
 WINDOWS, ROUNDS, RATE, DECAY = 1_200, 4, 0.3, 1e-4
-LONGEST, REACH, WIDTH = 14, 48, 72
+LONGEST, REACH, WIDTH, WIDE = 14, 48, 72, 254
 SLOTS = 1 << 14
 
 _LOCAL = re.compile(r"[A-Za-z0-9._%+-]+\Z")
+_IN_LOCAL = re.compile(r"[A-Za-z0-9._%+-]")
+_HOST_GOES_ON = re.compile(r"\.?[A-Za-z0-9-]")
+_ADDRESS = re.compile(r"[A-Za-z0-9._%+-]+\x20?(@|[\[(]at[\])])\x20?[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 _HOST = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 _IP = re.compile(r"(?<![0-9])[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 _CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
@@ -130,18 +133,33 @@ class Window:
         self.ends: list[list[tuple[int, tuple[int, ...]]]] = [[] for _ in range(len(self.tokens) + 1)]
         useful = [bool(_ANCHOR.match(text, a)) for a, _ in self.tokens]
         blank = [text[a].isspace() for a, _ in self.tokens]
+        at_end = {b: k for k, (_, b) in enumerate(self.tokens)}
         for i, (start, _) in enumerate(self.tokens):
-            if blank[i] or not (text[start].isalnum() or text[start] in "+("):
+            if blank[i] or not (text[start].isalnum() or text[start] in "+(._%-"):
                 continue
             some = at = False
+            inside = start > 0 and bool(_IN_LOCAL.match(text, start - 1))
             for j in range(i, min(i + LONGEST, len(self.tokens))):
                 a, stop = self.tokens[j]
                 if stop - start > WIDTH or blank[j] and (stop - a > 1 or text[a] != " "):
                     break
                 some, at = some or useful[j], at or text[a] in "@[(" and useful[j]
-                if some and text[a].isalnum() and (at or sum(map(str.isdigit, text[start:stop])) > 5):
-                    sides = _of_sides(text[start - 1:start], text[stop:stop + 1])
-                    self.ends[j + 1].append((i, _of_segment(text[start:stop]) + sides))
+                if at:
+                    good = not inside and not _HOST_GOES_ON.match(text, stop)
+                else:
+                    good = text[start] not in "._%-" and sum(map(str.isdigit, text[start:stop])) > 5
+                if some and good and text[a].isalnum():
+                    self._add(text, i, j)
+            # an address of more tokens is a candidate as a whole
+            whole = None if inside else _ADDRESS.match(text, start)
+            if whole and (j := at_end.get(whole.end())) is not None and whole.end() - start <= WIDE:
+                if j >= i + LONGEST or whole.end() - start > WIDTH:
+                    self._add(text, i, j)
+
+    def _add(self, text: str, i: int, j: int) -> None:
+        start, stop = self.tokens[i][0], self.tokens[j][1]
+        sides = _of_sides(text[start - 1:start], text[stop:stop + 1])
+        self.ends[j + 1].append((i, _of_segment(text[start:stop]) + sides))
 
 
 def _windows(text: str) -> Iterator[Window]:
@@ -150,9 +168,15 @@ def _windows(text: str) -> Iterator[Window]:
         if m.start() - REACH > end and end >= 0:
             yield Window(text, begin, end)
             begin = -1
+        floor = max(end, 0)
         if begin < 0:
             begin = max(0, m.start() - REACH)
         end = min(len(text), m.end() + REACH)
+        if not text[m.start()].isdigit():  # addresses are taken whole
+            while begin > floor and m.start() - begin < WIDE and _IN_LOCAL.match(text, begin - 1):
+                begin -= 1
+            while end < len(text) and end - m.end() < WIDE and _HOST_GOES_ON.match(text, end):
+                end += 1
     if end >= 0:
         yield Window(text, begin, end)
 

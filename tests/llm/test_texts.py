@@ -120,6 +120,18 @@ def test_the_field_finds_other_forms_and_leaves_numbers_alone(spark, private):
     assert left[500] is None and left[502] == "nothing private here" and not any("@" in (t or "") for t in left.values())
 
 
+@pytest.mark.parametrize("address", [
+    "first.last [at] mail.example.co.uk", "anna.b.smith(at)dept.mail.example.ac.uk", "x_y-z.w+tag [at] a.b-c.example.co.uk",
+    "joe [at] example.com", "anna." * 12 + "smith(at)" + "mail." * 12 + "example.com"])
+def test_addresses_of_many_tokens_are_found_whole(spark, private, documents, address):
+    examples = queries.table(spark, private, "documents")
+    field = pii.train(examples)
+    for text in (f"write to {address} now", f"ask {address}. Then", address):
+        assert [text[a:b] for _, a, b in pii.spans(text, field)[1]] == [address], text
+    masked = pii.masked(queries.table(spark, documents([(1, f"write to {address} now")]), "documents"), field)
+    assert masked.first().text == "write to [EMAIL] now"
+
+
 def test_without_examples_the_field_adds_nothing(spark, documents):
     docs = queries.table(spark, documents([(1, "no data"), (2, None)]), "documents")
     assert pii.spans("call (456) 555-2186 now", pii.train(docs)) == ([], [])
