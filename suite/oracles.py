@@ -567,3 +567,37 @@ SQL["udf1_column_forms"] = f"""WITH {corners_cubed(40)}, {CENTRES}, {ALL_CUBE.re
   nn AS (SELECT ipix, count(*) AS n, min(neighbour) AS least FROM nb GROUP BY ipix)
   SELECT num.id, num.ipix, {r8('cx')} AS x, {r8('cy')} AS y, {r8('cz')} AS z, CAST(n AS INTEGER) AS n, least
   FROM num JOIN cen ON num.ipix = cen.ipix JOIN nn ON num.ipix = nn.ipix"""
+
+# ---- whole tilings and whole bin ranges ----
+def all_pixels(name: str, n: int, points: str = "", hp: bool = False) -> str:
+    """The SQL of a query over occupied pixels, over all pixels of the tiling; points: WITH of the pixel of each point, to
+    add the number of points of each pixel."""
+    every = (f"SELECT range AS ipix FROM range({12 * n * n})" if hp else
+             f"SELECT (i * {n} + j) * 10 + f AS ipix FROM range(6) AS rf(f), range({n}) AS ri(i), range({n}) AS rj(j)")
+    old = SQL[name]
+    new = old.replace("(SELECT DISTINCT ipix FROM num)", f"({every})").replace("IN (SELECT ipix FROM num)", f"IN ({every})")
+    assert new != old, name
+    if not points:
+        return new
+    return f"""SELECT s.*, CAST(coalesce(c.k, 0) AS BIGINT) AS n FROM ({new}) AS s
+  LEFT JOIN (WITH {points} SELECT ipix, count(*) AS k FROM num GROUP BY ipix) AS c ON s.ipix = c.ipix"""
+
+
+for _name, _at, _k, _h in (
+        ("til9_cubed_sphere_centre", cubed, 120, False), ("til10_similar_radius_centre", similar, 128, False),
+        ("til11_healpix_centre", healpix, 64, True), ("til13_cube_neighbours", cubed, 40, False),
+        ("til14_healpix_neighbours", healpix, 16, True),
+        *((q, at, k, h) for t, at, k, h in (("cubed_sphere", cubed, 40, False), ("similar_radius", similar, 40, False),
+                                            ("quad_cube", cubed, 40, False), ("healpix", healpix, 32, True))
+          for q in (f"til12_{t}_corners", f"agg19_geometry_{t}"))):
+    SQL[f"{_name}_all_pixels"] = all_pixels(_name, _k, f"{SKY}, {healpix(_k)}" if _h else _at(_k), _h)
+for _name in ("agg20_geometry_summary", "agg20_radius_histogram"):
+    SQL[f"{_name}_all_pixels"] = all_pixels(_name, 40)
+SQL["set1_union_of_counts_all_bins"] = f"({log_counts(0, 9)} {COUNTS}) UNION ALL ({log_counts(10, 19)} {COUNTS})"
+# cells as fine as half the width of the first of all bins
+_width0 = log_edge(2.5, 250.0, 20, 1) - log_edge(2.5, 250.0, 20, 0)
+_n0 = math.ceil(math.degrees(math.sqrt(math.pi / 3) / (_width0 / 2)) * 60 * 1.1)
+_n0 += _n0 % 2
+CELLS_SR0 = f"""{corners_similar(_n0)}, {CENTRES}, wgt AS (SELECT ipix, count(*) AS w FROM num GROUP BY ipix),
+cells AS (SELECT cen.ipix AS id, w, cx AS x, cy AS y, cz AS z FROM cen JOIN wgt ON cen.ipix = wgt.ipix)"""
+SQL["agg3_reduced_counts_default_cells_all_bins"] = f"{log_counts(0, 19, CELLS_SR0, 'cells', 'w')} {COUNTS}"

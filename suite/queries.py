@@ -730,3 +730,57 @@ def ary1_2_3_set2_neighbour_arrays(spark, d):
 @query
 def plc1_partitioned_counts(spark, d):
     return _counts(pairs.pair_counts(sky(spark, d), BINS, num_partitions=16))
+
+
+# ---- whole tilings and whole bin ranges: the queries above of the same name count a part (occupied pixels, some bins) ----
+
+def _all_pixels(spark, d, tiling, nbase):
+    """Every pixel of a tiling, with its number of points."""
+    count = quality.occupancy(_pixels(spark, d, tiling, nbase))
+    return (tiles.pixel_table(spark, tiling, nbase).join(count, "ipix", "left")
+            .select("ipix", F.coalesce("count", F.lit(0).cast("long")).alias("n")))
+
+
+def _whole(name, run):
+    def whole(spark, d):
+        return run(lambda tiling, nbase: _all_pixels(spark, d, tiling, nbase))
+    whole.__name__ = f"{name}_all_pixels"
+    return query(whole)
+
+
+def _whole_geometry(pixels, tiling, nbase, like=None):
+    return quality.tile_geometry(pixels(like or tiling, nbase), tiling, nbase)
+
+
+for _name, _tiling, _nbase in (("til9_cubed_sphere", "cubedsphere", 120), ("til10_similar_radius", "similar_radius", 128),
+                               ("til11_healpix", "healpix", 64)):
+    _whole(f"{_name}_centre", lambda pixels, t=_tiling, n=_nbase: rounded(
+        tiles.pixel_centres(pixels(t, n), t, n), "theta_c", "phi_c"))
+
+for _name, _tiling, _nbase, _like in (("cubed_sphere", "cubedsphere", 40, None), ("similar_radius", "similar_radius", 40, None),
+                                      ("quad_cube", "quadcube", 40, "cubedsphere"), ("healpix", "healpix", 32, None)):
+    _whole(f"til12_{_name}_corners", lambda pixels, t=_tiling, n=_nbase, k=_like: rounded(
+        tiles.pixel_corners(pixels(k or t, n), t, n).select("ipix", "n", F.posexplode("corners").alias("corner", "p"))
+        .select("ipix", "n", "corner", "p.x", "p.y", "p.z"), "x", "y", "z"))
+    _whole(f"agg19_geometry_{_name}", lambda pixels, t=_tiling, n=_nbase, k=_like: _whole_geometry(pixels, t, n, k).withColumns(
+        {c: F.round(c, 6) for c in ("area", "ellipticity", "outer", "inner")}))
+
+for _name, _tiling, _nbase in (("til13_cube", "cubedsphere", 40), ("til14_healpix", "healpix", 16)):
+    _whole(f"{_name}_neighbours", lambda pixels, t=_tiling, n=_nbase: tiles.explode_neighbours(pixels(t, n), t, n))
+
+_whole("agg20_geometry_summary", lambda pixels: quality.geometry_summary(_whole_geometry(pixels, "similar_radius", 40)).select(
+    F.round("min_inner", 6).alias("min_inner"), F.round("max_outer", 6).alias("max_outer")))
+_whole("agg20_radius_histogram", lambda pixels: rounded(quality.radius_histogram(
+    _whole_geometry(pixels, "cubedsphere", 40).withColumn("outer", F.round("outer", 6)), "outer"), "loc"))
+
+
+@query
+def set1_union_of_counts_all_bins(spark, d):
+    s = sky(spark, d)
+    a, b = (pairs.pair_counts(s, BINS.slice(*r)) for r in ((0, 9), (10, 19)))
+    return _counts(a.unionByName(b))
+
+
+@query
+def agg3_reduced_counts_default_cells_all_bins(spark, d):
+    return _counts(reduce.reduced_pair_counts(sky(spark, d), BINS))

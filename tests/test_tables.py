@@ -110,3 +110,13 @@ def test_job(spark, tmp_path):
     cells = PairCountJob(**settings).exact(spark).collect()
     assert cells == PairCountJob(cover="cubedsphere", **settings).exact(spark).collect()
     assert [r["ibin"] for r in PairCountJob(**settings | {"imin": 15}).reduced(spark).collect()] == [15, 16, 17, 18, 19]
+
+
+def test_queries_over_whole_tilings_and_all_bins(spark):
+    from suite.queries import QUERIES
+    folder = "/root/testdata/sf0.001"
+    for name, n in (("til9_cubed_sphere_centre", 86_400), ("til11_healpix_centre", 49_152), ("agg19_geometry_cubed_sphere", 9_600)):
+        assert QUERIES[f"{name}_all_pixels"](spark, folder).select("ipix").distinct().count() == n
+    counts = {k: sorted(map(tuple, QUERIES[k](spark, folder).select("ibin", "Nbin").collect()))
+              for k in ("set1_union_of_counts_all_bins", "agg1_pair_counts_log")}
+    assert counts["set1_union_of_counts_all_bins"] == counts["agg1_pair_counts_log"]
