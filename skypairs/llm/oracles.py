@@ -32,3 +32,24 @@ kept AS (SELECT r, p, w[p] AS word FROM (SELECT r, w, unnest(range(1, len(w) + 1
 texts AS (SELECT r, count(*) AS n, string_agg(word, ' ' ORDER BY p) AS t FROM kept GROUP BY r)
 SELECT doc_id, len(w) AS n_words, len(w) - coalesce(n, 0) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
 FROM d LEFT JOIN texts USING (r)"""
+
+#: Every phrase of one to four words is listed and counted.
+COLLOCATIONS = rf"""
+WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang, 'und') AS lang,
+    regexp_split_to_array(translate(coalesce(text, ''), '{_CAPITALS}', '{_SMALL}'), '[.,;:!?\x0A-\x0D]') AS ps FROM documents),
+p AS (SELECT lang, regexp_extract_all(x, '[^\x20\x09]+') AS w FROM (SELECT lang, unnest(ps) AS x FROM d) AS q),
+totals AS (SELECT lang, sum(len(w)) AS n FROM p GROUP BY lang),
+ph AS MATERIALIZED (SELECT lang, ws, count(*) AS f FROM
+    (SELECT lang, list_slice(w, s, s + k - 1) AS ws FROM p, (VALUES (1), (2), (3), (4)) AS ks(k), unnest(range(1, len(w) - k + 2)) AS u(s)) AS x
+    GROUP BY lang, ws HAVING count(*) >= 30),
+cuts AS (SELECT c.lang, c.ws, c.f AS a, k, x.f AS l, y.f AS r, CAST(2000000::HUGEINT * c.f // (x.f + y.f) AS BIGINT) AS score
+    FROM (SELECT *, unnest(range(1, len(ws))) AS k FROM ph) AS c
+    JOIN ph AS x ON x.lang = c.lang AND x.ws = list_slice(c.ws, 1, k)
+    JOIN ph AS y ON y.lang = c.lang AND y.ws = list_slice(c.ws, k + 1, len(c.ws))),
+best AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, ws ORDER BY score, k) = 1),
+inner_of AS (SELECT lang, list_slice(ws, s, s + k - 1) AS ws, max(f) AS longer
+    FROM ph, (VALUES (2), (3)) AS ks(k), unnest(range(1, len(ws) - k + 2)) AS u(s) WHERE k < len(ws) GROUP BY ALL),
+kept AS (SELECT b.* FROM best AS b LEFT JOIN inner_of AS o ON o.lang = b.lang AND o.ws = b.ws
+    WHERE o.longer IS NULL OR 100::HUGEINT * o.longer < 80::HUGEINT * b.a)
+SELECT * FROM (SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r,
+    CAST(n AS BIGINT) AS n, score FROM (SELECT *, array_to_string(ws, ' ') AS phrase FROM kept) AS k JOIN totals USING (lang)) AS z WHERE rank <= 2000"""

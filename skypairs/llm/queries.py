@@ -6,7 +6,8 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skypairs.llm import bpe, decontaminate, licenses, neardup, neighbours, oracles, pii, quality, records, repeats, viterbi
+from skypairs.llm import (bpe, collocations, decontaminate, licenses, neardup, neighbours, oracles, pieces, pii, quality,
+                          records, repeats, viterbi)
 from skypairs.llm.license_texts import NOTICES
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -85,6 +86,19 @@ def op10_near_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_copies(table(spark, sf_dir, "documents")).select("doc_id", "class_id")
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
+def op13_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ids = pieces.encode(table(spark, sf_dir, "documents"), PIECES)
+    ids = ids.select(F.struct("doc_id", "ids", "agrees").alias("row"), "ids")
+    back = pieces.decode(ids, PIECES, key="row")
+    return back.select("row.doc_id", F.expr("octet_length(row.ids) div 4").cast("long").alias("n_tokens"),
+                       F.sha2("row.ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
+                       "row.agrees")
+
+
 QUERIES = {
     "op1_byte_bpe": op1_byte_bpe,
     "op2_pii": op2_pii,
@@ -96,7 +110,10 @@ QUERIES = {
     "op8_repeats": op8_repeats,
     "op9_token_counts": op9_token_counts,
     "op10_near_copies": op10_near_copies,
+    "op11_collocations": op11_collocations,
+    "op13_pieces": op13_pieces,
 }
 
 #: The other queries need a tokenizer, a fitted model or signatures; they are tested against brute force.
-SQL = {"op5_decontamination": oracles.DECONTAMINATION, "op8_repeats": oracles.REPEATS}
+SQL = {"op5_decontamination": oracles.DECONTAMINATION, "op8_repeats": oracles.REPEATS,
+       "op11_collocations": oracles.COLLOCATIONS}
