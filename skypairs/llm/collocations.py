@@ -5,9 +5,11 @@ four words) hold the words that follow in the same piece, and nothing past its e
 shorter prefixes, which are the counts of all shorter phrases; phrases of two and three words are never listed from the
 texts. Cuts and containment are joins between the phrases that are frequent enough.
 
-Words with fewer than `least` occurrences in every language are in no phrase that counts, so a window ends before them. Such words are known
-from a first count of the words, by a bit map of fixed size over their checksums: a bit that two words share only lets a
-needless word through. Windows are summed by chunks of texts before they leave a task, so a frequent one leaves it a few times.
+Words with fewer than `least` occurrences are in no phrase that counts, so a window ends before them. A first count of
+the words tells which. If the others are counted to be few enough (LISTED words, LISTED_BYTES), they are broadcast as a
+numbered list, and the lead columns hold numbers; if not, the lead columns hold the words themselves, and a bit map of fixed
+size over checksums tells which words are frequent (a bit that two words share only lets a needless word through). Both give
+the same. Windows are summed by chunks of texts before they leave a task, so a frequent one leaves it a few times.
 
 The arithmetic is exact: counts are longs, the score is a quotient of decimals of 38 digits.
 
@@ -19,10 +21,12 @@ scores and counts are ordered by the bytes of the phrase.
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -34,6 +38,8 @@ ENDS = ".,;:!?\n\x0b\f\r"
 BLANKS = " \t"
 #: Bytes of text summed at once.
 CHUNK = 8 << 20
+#: The longest list of frequent words that is broadcast: three numbers of a window make one long.
+LISTED, LISTED_BYTES = (1 << 21) - 2, 64 << 20
 #: Bits of the map of frequent words: 4 MB.
 BITS = 25
 _CODE = 31
@@ -135,37 +141,40 @@ def _bit_map(words: DataFrame, bits: int) -> np.ndarray:
     return out
 
 
+def _leads(first: np.ndarray, at: np.ndarray, words: Words, width: int) -> list[np.ndarray]:
+    """The lead columns of the windows that begin at the words `at`: their numbers, 0 past the end of the piece or before a word numbered 0."""
+    columns = [first[at]]
+    inside = np.ones(len(at), bool)
+    for k in range(1, width):
+        following = np.minimum(at + k, len(first) - 1)
+        inside &= (at + k < len(first)) & (words.piece[following] == words.piece[at]) & (first[following] > 0)
+        columns.append(np.where(inside, first[following], 0))
+    return columns
+
+
 def windows(docs: DataFrame, frequent: np.ndarray, width: int = 4, text: str = "text", lang: str = "lang") -> DataFrame:
-    """lang, w1 ... w<width>, f: padded windows (the empty string past the end) that begin at each frequent word."""
+    """lang, w1 ... w<width>, f: padded windows (the empty string past the end) that begin at each word whose bit is set."""
     names = [f"w{k + 1}" for k in range(width)]
     shared = docs.sparkSession.sparkContext.broadcast(frequent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = shared.value
-        mask = 64 * len(bits) - 1
+        mask, low = 64 * len(bits) - 1, (1 << _CODE) - 1
         for data, offsets, langs in _chunks(batches):
             words, langs = Words(data, offsets), langs.dictionary_encode()
             sums = np.fromiter(map(zlib.crc32, words.distinct.to_pylist()), np.int64, len(words.distinct)) & mask
             known = (bits[sums >> 6] >> (sums & 63) & 1).astype(bool)
-            code = np.where(known[words.code], words.code + 1, 0)  # 0: not a word of a phrase
-            at = np.flatnonzero(code)
+            number = np.where(known[words.code], words.code + 1, 0)
+            at = np.flatnonzero(number)
             language = langs.indices.to_numpy(zero_copy_only=False)[words.row[at]].astype(np.int64)
-            columns = [code[at]]
-            inside = np.ones(len(at), bool)
-            for k in range(1, width):
-                next_one = np.minimum(at + k, len(code) - 1)
-                inside &= (at + k < len(code)) & (words.piece[next_one] == words.piece[at]) & (code[next_one] > 0)
-                columns.append(np.where(inside, code[next_one], 0))
+            columns = _leads(number, at, words, width)
             packed = [language << _CODE | columns[0]]
             for k in range(1, width, 2):
                 packed.append(columns[k] << _CODE | (columns[k + 1] if k + 1 < width else 0))
             keys, counts = _summed(packed)
-            low = (1 << _CODE) - 1
             parts = [keys[0] & low, *(p for key in keys[1:] for p in (key >> _CODE, key & low))][:width]
-            strings = pa.concat_arrays([pa.array([b""], pa.large_binary()), words.distinct]).cast(pa.large_string()).cast(pa.string())
-            size = 1 << 16
-            for begin in range(0, len(counts), size):
-                some = slice(begin, begin + size)
+            strings = _strings(pa.concat_arrays([pa.array([b""], pa.large_binary()), words.distinct]))
+            for some in _slices(len(counts)):
                 yield pa.RecordBatch.from_arrays(
                     [langs.dictionary.take(pa.array(keys[0][some] >> _CODE)), *(strings.take(pa.array(p[some])) for p in parts), pa.array(counts[some])],
                     ["lang", *names, "f"])
@@ -176,17 +185,100 @@ def windows(docs: DataFrame, frequent: np.ndarray, width: int = 4, text: str = "
     return found.repartition("lang", *names).groupBy("lang", *names).agg(F.sum("f").alias("f"))
 
 
-def phrases(longest: DataFrame, least: int, width: int = 4) -> DataFrame:
-    """lang, words, phrase, f: phrases of one to `width` words with at least that many occurrences, from the counts of the longest windows."""
+def _strings(words: pa.Array) -> pa.Array:
+    return words.cast(pa.large_string()).cast(pa.string())
+
+
+def _slices(n: int, size: int = 1 << 16) -> Iterator[slice]:
+    return (slice(begin, begin + size) for begin in range(0, n, size))
+
+
+class Listed:
+    """The frequent words of all languages, numbered from 1 on."""
+
+    def __init__(self, langs: list[str], words: list[str]):
+        order = sorted(range(len(langs)), key=lambda k: langs[k])
+        self.langs = [langs[k] for k in order]
+        self.words = pa.array([words[k] for k in order], pa.string())
+        self.begin: dict[str, int] = {}
+        for k, lang in enumerate(self.langs):
+            self.begin.setdefault(lang, k)
+        ends = [*self.begin.values(), len(order)][1:]
+        self.of_lang = {lang: self.words.slice(begin, end - begin).cast(pa.large_string()).cast(pa.large_binary())
+                        for (lang, begin), end in zip(self.begin.items(), ends, strict=True)}
+
+    def numbers(self, words: Words, langs: pa.Array) -> np.ndarray:
+        """The number of each word of a chunk, 0 for those not listed."""
+        out = np.zeros(len(words.code), np.int64)
+        language = langs.indices.to_numpy(zero_copy_only=False)[words.row]
+        number = np.zeros(len(words.distinct), np.int64)
+        for k, lang in enumerate(langs.dictionary.to_pylist()):
+            if lang in self.of_lang:
+                mine = np.flatnonzero(language == k)
+                codes = np.unique(words.code[mine])
+                place = pc.index_in(words.distinct.take(pa.array(codes)), value_set=self.of_lang[lang]).fill_null(-1).to_numpy(zero_copy_only=False)
+                number[codes] = np.where(place < 0, 0, place + self.begin[lang] + 1)
+                out[mine] = number[words.code[mine]]
+        return out
+
+
+def numbered_windows(docs: DataFrame, listed: Broadcast, text: str = "text", lang: str = "lang") -> DataFrame:
+    """w1 ... w4, f: padded windows of four (0 past the end) by the numbers of listed words, which tell the language too."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for data, offsets, langs in _chunks(batches):
+            words = Words(data, offsets)
+            number = listed.value.numbers(words, langs.dictionary_encode())
+            w1, w2, w3, w4 = _leads(number, np.flatnonzero(number), words, 4)
+            (three, last), counts = _summed([w1 << 42 | w2 << 21 | w3, w4])
+            for some in _slices(len(counts)):
+                yield pa.RecordBatch.from_arrays([pa.array(three[some]), pa.array(last[some]), pa.array(counts[some])], ["three", "w4", "f"])
+
+    found = _rows(docs, text, lang).mapInArrow(run, "three long, w4 long, f long")
+    summed = found.repartition("three", "w4").groupBy("three", "w4").agg(F.sum("f").alias("f"))
+    low = (1 << 21) - 1
+    return summed.select(F.shiftright("three", 42).alias("w1"), F.shiftright("three", 21).bitwiseAND(F.lit(low)).alias("w2"),
+                         F.col("three").bitwiseAND(F.lit(low)).alias("w3"), "w4", "f")
+
+
+def phrases(longest: DataFrame, least: int, keys: Sequence[str], pad: str | int) -> DataFrame:
+    """The key columns and f: phrases with at least so many occurrences, from the counts of the longest windows. The keys are
+    rolled up from the last on; those past the end of a phrase are null."""
+    level = F.grouping_id()
+    shorter = longest.rollup(*keys[:-1]).agg(F.sum("f").alias("f"), level.alias("level")).filter(F.col("f") >= least)
+    # a prefix is a phrase where its last column is filled and those after it are rolled up
+    last = F.coalesce(*(F.when(F.col("level") == (1 << len(keys) - 2 - k) - 1, F.col(keys[k])) for k in range(len(keys) - 1)))
+    shorter = shorter.withColumn(keys[-1], F.lit(None).cast(longest.schema[keys[-1]].dataType)).withColumn("last", last)
+    # asking for the last column only after the union lets both branches read one exchange
+    both = shorter.select(*keys, "f", "last").unionByName(longest.filter(F.col("f") >= least).select(*keys, "f", F.col(keys[-1]).alias("last")))
+    return both.filter(F.col("last") != F.lit(pad)).select(*keys, "f")
+
+
+def _spelled(found: DataFrame, listed: Broadcast) -> DataFrame:
+    """lang, words, f for phrases of numbers."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            table = listed.value
+            rows = np.stack([c.fill_null(0).to_numpy(zero_copy_only=False) for c in batch.columns[:4]], axis=1)
+            sizes = (rows > 0).sum(axis=1)
+            words = table.words.take(pa.array(rows[rows > 0] - 1))
+            offsets = pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32))
+            langs = pa.array([table.langs[k - 1] for k in rows[:, 0].tolist()], pa.string())
+            yield pa.RecordBatch.from_arrays([langs, pa.ListArray.from_arrays(offsets, words), batch.column(4)], ["lang", "words", "f"])
+
+    return found.select("w1", "w2", "w3", "w4", "f").mapInArrow(run, "lang string, words array<string>, f long")
+
+
+def frequent_phrases(docs: DataFrame, words: DataFrame, least: int, width: int, text: str, lang: str, listed: int, bits: int) -> DataFrame:
+    """lang, words, f: phrases of one to `width` words with at least `least` occurrences. words: as word_counts gives them."""
+    frequent = words.filter(F.col("f") >= least)
+    count, size = frequent.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("word") + F.octet_length("lang")), F.lit(0))).first()
+    if width == 4 and count <= listed and size <= LISTED_BYTES:
+        rows = frequent.select("lang", "word").toPandas()
+        shared = docs.sparkSession.sparkContext.broadcast(Listed(rows["lang"].tolist(), rows["word"].tolist()))
+        return _spelled(phrases(numbered_windows(docs, shared, text, lang), least, ["w1", "w2", "w3", "w4"], 0), shared)
     names = [f"w{k + 1}" for k in range(width)]
-    shorter = longest.rollup("lang", *names[:-1]).agg(F.sum("f").alias("f"), F.grouping_id().alias("level"))
-    #: a prefix of k words is a phrase where its last column is filled and those after it are rolled up
-    is_phrase = F.coalesce(*(F.when(F.col("level") == (1 << (width - 1 - k)) - 1, F.col(names[k - 1]) != "")
-                             for k in range(1, width)), F.lit(False))
-    shorter = shorter.filter((F.col("f") >= least) & is_phrase).withColumn(names[-1], F.lit(None).cast("string")).drop("level")
-    whole = longest.filter((F.col("f") >= least) & (F.col(names[-1]) != ""))
-    words = F.array_compact(F.array(*names))
-    return shorter.unionByName(whole).select("lang", words.alias("words"), F.array_join(words, " ").alias("phrase"), "f")
+    found = phrases(windows(docs, _bit_map(frequent.select("word").distinct(), bits), width, text, lang), least, ["lang", *names], "")
+    return found.filter(F.col("w1").isNotNull()).select("lang", F.array_compact(F.array(*names)).alias("words"), "f")
 
 
 def _part(words: Column, begin: Column, size: Column) -> Column:
@@ -219,15 +311,16 @@ def contained(found: DataFrame, share: int) -> DataFrame:
 
 
 def collocations(docs: DataFrame, least: int = 30, share: int = 80, top: int = 2000, width: int = 4, text: str = "text",
-                 lang: str = "lang", bits: int = BITS) -> DataFrame:
+                 lang: str = "lang", listed: int = LISTED, bits: int = BITS) -> DataFrame:
     """lang, rank, phrase, a, l, r, n, score: the best phrases of each language.
 
     least: occurrences that a phrase needs. share: a phrase goes if a longer one has so many hundredths of its occurrences. top: phrases
-    of a language. width: longest phrase, in words. bits: the map of frequent words has 2^bits (tuning only).
+    of a language. width: longest phrase, in words. listed, bits: how many frequent words are broadcast by number, and beyond
+    that the map of frequent words has 2^bits (both for tuning only).
     """
     words = written(word_counts(docs, text, lang))
-    frequent = _bit_map(words.filter(F.col("f") >= least).select("word").distinct(), bits)
-    found = written(phrases(windows(docs, frequent, width, text, lang), least, width))
+    found = written(frequent_phrases(docs, words, least, width, text, lang, listed, bits)
+                    .withColumn("phrase", F.array_join("words", " ")))
     best = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
     ranked = (scored(found).join(contained(found, share), ["lang", "phrase"], "left_anti")
               .withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= top))
