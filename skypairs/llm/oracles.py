@@ -53,3 +53,46 @@ kept AS (SELECT b.* FROM best AS b LEFT JOIN inner_of AS o ON o.lang = b.lang AN
     WHERE o.longer IS NULL OR 100::HUGEINT * o.longer < 80::HUGEINT * b.a)
 SELECT * FROM (SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r,
     CAST(n AS BIGINT) AS n, score FROM (SELECT *, array_to_string(ws, ' ') AS phrase FROM kept) AS k JOIN totals USING (lang)) AS z WHERE rank <= 2000"""
+
+
+def _field(value: str) -> str:
+    return f"coalesce(CAST(strlen(CAST({value} AS VARCHAR)) AS VARCHAR) || ':' || CAST({value} AS VARCHAR), '-')"
+
+
+def _leaf(text: str) -> str:
+    return "sha256(" + " || ".join(map(_field, ["doc_id", "source", "lang", "n_chars", text])) + ")"
+
+
+#: Bit by bit, the reflected polynomial of CRC-32; the bits of a text's bytes, lowest first.
+_CRC = ("xor(list_reduce(list_prepend(4294967295::BIGINT, flatten([[(ord(c) >> b) & 1 FOR b IN range(8)] FOR c IN "
+        "string_split(CAST(doc_id AS VARCHAR), '')])), lambda a, b: xor(a >> 1, 3988292384 * (xor(a, b) & 1))), 4294967295)")
+
+#: All levels of all sources as one table of nodes, then all levels above the sources; each leaf joined to the runs on its way.
+MANIFEST = rf"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS r, doc_id, source, {_leaf('text')} AS leaf,
+    CASE WHEN doc_id IS NOT NULL AND {_CRC} % 5 = 0 THEN {_leaf(f"translate(text, '{_CAPITALS}', '{_SMALL}')")} END AS other FROM documents),
+l AS MATERIALIZED (SELECT *, coalesce(other, leaf) AS shown, dense_rank() OVER (ORDER BY source NULLS FIRST) - 1 AS s,
+    row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf, other) - 1 AS p FROM d),
+up(s, lev, p, node, n) AS (
+    SELECT s, 0, p, leaf, count(*) OVER (PARTITION BY s) FROM l
+    UNION ALL SELECT s, lev + 1, p // 16, sha256(string_agg(node, '' ORDER BY p)), (n + 15) // 16 FROM up WHERE n > 1 GROUP BY s, lev, p // 16, n),
+inner_nodes AS MATERIALIZED (SELECT * FROM up),
+subroots AS MATERIALIZED (SELECT s, lev AS height, node AS subroot FROM inner_nodes WHERE n = 1),
+top(lev, p, node, n) AS (
+    SELECT 0, s, subroot, count(*) OVER () FROM subroots
+    UNION ALL SELECT lev + 1, p // 16, sha256(string_agg(node, '' ORDER BY p)), (n + 15) // 16 FROM top WHERE n > 1 GROUP BY lev, p // 16, n),
+outer_nodes AS MATERIALIZED (SELECT * FROM top),
+sides AS MATERIALIZED (
+    SELECT s, 0 AS stage, lev, p, n, coalesce(string_agg(node, '' ORDER BY p) OVER (PARTITION BY s, lev, p // 16 ORDER BY p ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS a,
+      coalesce(string_agg(node, '' ORDER BY p) OVER (PARTITION BY s, lev, p // 16 ORDER BY p ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS b FROM inner_nodes
+    UNION ALL SELECT NULL, 1, lev, p, n, coalesce(string_agg(node, '' ORDER BY p) OVER (PARTITION BY lev, p // 16 ORDER BY p ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), ''),
+      coalesce(string_agg(node, '' ORDER BY p) OVER (PARTITION BY lev, p // 16 ORDER BY p ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') FROM outer_nodes),
+way AS MATERIALIZED (
+    SELECT r, lev AS step, a, b FROM l JOIN sides ON sides.s = l.s AND stage = 0 AND sides.p = l.p // CAST(pow(16, lev) AS BIGINT) WHERE n > 1
+    UNION ALL SELECT r, height + lev, a, b FROM l JOIN subroots USING (s) JOIN sides ON stage = 1 AND sides.p = l.s // CAST(pow(16, lev) AS BIGINT) WHERE n > 1),
+proofs AS (SELECT r, sha256(string_agg(a || b, '' ORDER BY step)) AS proof FROM way GROUP BY r),
+fold(r, step, node) AS (SELECT r, 0, shown FROM l UNION ALL
+    SELECT f.r, f.step + 1, sha256(w.a || f.node || w.b) FROM fold AS f JOIN way AS w ON w.r = f.r AND w.step = f.step),
+folded AS (SELECT r, arg_max(node, step) AS folded_root FROM fold GROUP BY r)
+SELECT doc_id, leaf, subroot, root, coalesce(proof, sha256('')) AS proof_sha256, folded_root, folded_root = root AS verified
+FROM l JOIN subroots USING (s) JOIN folded USING (r) LEFT JOIN proofs USING (r), (SELECT node AS root FROM outer_nodes WHERE n = 1)"""

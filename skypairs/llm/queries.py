@@ -6,8 +6,9 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skypairs.llm import (bpe, collocations, decontaminate, licenses, neardup, neighbours, oracles, pieces, pii, quality,
-                          records, repeats, viterbi)
+from skypairs.llm import (bpe, collocations, decontaminate, licenses, merkle, neardup, neighbours, oracles, pieces, pii,
+                          quality, records, repeats, viterbi)
+from skypairs.llm.columns import ascii_lower
 from skypairs.llm.license_texts import NOTICES
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -90,6 +91,14 @@ def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.collocations(table(spark, sf_dir, "documents"))
 
 
+def op12_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    columns = ["doc_id", "source", "lang", "n_chars", "text"]
+    leaf = merkle.leaf([F.col(c) for c in columns])
+    tampered = merkle.leaf([ascii_lower(F.col(c)) if c == "text" else F.col(c) for c in columns])
+    shown = F.when(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, tampered)
+    return merkle.manifest(table(spark, sf_dir, "documents"), "doc_id", "source", leaf, shown)
+
+
 def op13_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     ids = pieces.encode(table(spark, sf_dir, "documents"), PIECES)
     ids = ids.select(F.struct("doc_id", "ids", "agrees").alias("row"), "ids")
@@ -111,9 +120,10 @@ QUERIES = {
     "op9_token_counts": op9_token_counts,
     "op10_near_copies": op10_near_copies,
     "op11_collocations": op11_collocations,
+    "op12_manifest": op12_manifest,
     "op13_pieces": op13_pieces,
 }
 
 #: The other queries need a tokenizer, a fitted model or signatures; they are tested against brute force.
 SQL = {"op5_decontamination": oracles.DECONTAMINATION, "op8_repeats": oracles.REPEATS,
-       "op11_collocations": oracles.COLLOCATIONS}
+       "op11_collocations": oracles.COLLOCATIONS, "op12_manifest": oracles.MANIFEST}
