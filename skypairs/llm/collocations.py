@@ -182,7 +182,7 @@ def windows(docs: DataFrame, frequent: np.ndarray, width: int = 4, text: str = "
     schema = ", ".join(f"{c} string" for c in ["lang", *names]) + ", f long"
     found = _rows(docs, text, lang).mapInArrow(run, schema)
     # summed in the tasks already, so they are dealt out before Spark sums them again
-    return found.repartition("lang", *names).groupBy("lang", *names).agg(F.sum("f").alias("f"))
+    return found.repartition("lang", *names[:-1]).groupBy("lang", *names).agg(F.sum("f").alias("f"))
 
 
 def _strings(words: pa.Array) -> pa.Array:
@@ -223,7 +223,8 @@ class Listed:
 
 
 def numbered_windows(docs: DataFrame, listed: Broadcast, text: str = "text", lang: str = "lang") -> DataFrame:
-    """w1 ... w4, f: padded windows of four (0 past the end) by the numbers of listed words, which tell the language too."""
+    """three, w4, f: padded windows of four (0 past the end) by the numbers of listed words, which tell the language too; the first
+    three are one long."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for data, offsets, langs in _chunks(batches):
             words = Words(data, offsets)
@@ -234,23 +235,31 @@ def numbered_windows(docs: DataFrame, listed: Broadcast, text: str = "text", lan
                 yield pa.RecordBatch.from_arrays([pa.array(three[some]), pa.array(last[some]), pa.array(counts[some])], ["three", "w4", "f"])
 
     found = _rows(docs, text, lang).mapInArrow(run, "three long, w4 long, f long")
-    summed = found.repartition("three", "w4").groupBy("three", "w4").agg(F.sum("f").alias("f"))
-    low = (1 << 21) - 1
-    return summed.select(F.shiftright("three", 42).alias("w1"), F.shiftright("three", 21).bitwiseAND(F.lit(low)).alias("w2"),
-                         F.col("three").bitwiseAND(F.lit(low)).alias("w3"), "w4", "f")
+    return found.repartition("three").groupBy("three", "w4").agg(F.sum("f").alias("f"))
 
 
-def phrases(longest: DataFrame, least: int, keys: Sequence[str], pad: str | int) -> DataFrame:
-    """The key columns and f: phrases with at least so many occurrences, from the counts of the longest windows. The keys are
-    rolled up from the last on; those past the end of a phrase are null."""
-    level = F.grouping_id()
-    shorter = longest.rollup(*keys[:-1]).agg(F.sum("f").alias("f"), level.alias("level")).filter(F.col("f") >= least)
+def phrases(longest: DataFrame, least: int, leads: dict[str, Column], last: str, pad: str | int) -> DataFrame:
+    """The lead columns, the last one and f: phrases with at least so many occurrences; columns past the end of a phrase are null.
+
+    longest: counts of the longest windows, dealt out by their columns but the last two. leads: the columns of a window but
+    the last, computed from those by which it was dealt out. The first sum, over the last word, stays in its partition;
+    the shorter prefixes are rolled up from there.
+    """
+    dealt = [c for c in longest.columns if c not in (last, "f")]
+    names = [*leads]
+    shorter = longest.groupBy(*dealt).agg(F.sum("f").alias("f")).select(*(c.alias(n) for n, c in leads.items()), "f")
+    rolled = shorter.rollup(*names[:-1]).agg(F.sum("f").alias("f"), F.grouping_id().alias("level"))
     # a prefix is a phrase where its last column is filled and those after it are rolled up
-    last = F.coalesce(*(F.when(F.col("level") == (1 << len(keys) - 2 - k) - 1, F.col(keys[k])) for k in range(len(keys) - 1)))
-    shorter = shorter.withColumn(keys[-1], F.lit(None).cast(longest.schema[keys[-1]].dataType)).withColumn("last", last)
-    # asking for the last column only after the union lets both branches read one exchange
-    both = shorter.select(*keys, "f", "last").unionByName(longest.filter(F.col("f") >= least).select(*keys, "f", F.col(keys[-1]).alias("last")))
-    return both.filter(F.col("last") != F.lit(pad)).select(*keys, "f")
+    end = F.coalesce(*(F.when(F.col("level") == (1 << len(names) - 2 - k) - 1, F.col(names[k])) for k in range(len(names) - 1)))
+    rolled = rolled.filter((F.col("f") >= least) & (end != F.lit(pad)))
+
+    def whole(counts: DataFrame, column: str) -> DataFrame:
+        # one condition on both, so that none of it is asked before the exchange, which all branches read
+        return counts.filter(F.col("f") * F.when(F.col(column) != F.lit(pad), 1).otherwise(0) >= least)
+
+    longest = longest.select(*(c.alias(n) for n, c in leads.items()), last, "f")
+    return (whole(longest, last).unionByName(whole(shorter, names[-1]), allowMissingColumns=True)
+            .unionByName(rolled.select(*names[:-1], "f"), allowMissingColumns=True))
 
 
 def _spelled(found: DataFrame, listed: Broadcast) -> DataFrame:
@@ -275,9 +284,11 @@ def frequent_phrases(docs: DataFrame, words: DataFrame, least: int, width: int,
     if width == 4 and count <= listed and size <= LISTED_BYTES:
         rows = frequent.select("lang", "word").toPandas()
         shared = docs.sparkSession.sparkContext.broadcast(Listed(rows["lang"].tolist(), rows["word"].tolist()))
-        return _spelled(phrases(numbered_windows(docs, shared, text, lang), least, ["w1", "w2", "w3", "w4"], 0), shared)
+        leads = {f"w{k + 1}": F.shiftright("three", 42 - 21 * k).bitwiseAND(F.lit((1 << 21) - 1)) for k in range(3)}
+        return _spelled(phrases(numbered_windows(docs, shared, text, lang), least, leads, "w4", 0), shared)
     names = [f"w{k + 1}" for k in range(width)]
-    found = phrases(windows(docs, _bit_map(frequent.select("word").distinct(), bits), width, text, lang), least, ["lang", *names], "")
+    longest = windows(docs, _bit_map(frequent.select("word").distinct(), bits), width, text, lang)
+    found = phrases(longest, least, {c: F.col(c) for c in ["lang", *names[:-1]]}, names[-1], "")
     return found.filter(F.col("w1").isNotNull()).select("lang", F.array_compact(F.array(*names)).alias("words"), "f")
 
 
