@@ -28,7 +28,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from skypairs.llm.columns import binary_column, binary_rows, flat, ranges
+from skypairs.llm.columns import binary_column, binary_rows, flat, ranges, tidied
 from skypairs.llm.words import WORDS, Remembered, joined, row_totals, slices
 
 NO_RANK = 2**31 - 1
@@ -213,7 +213,7 @@ def encode(docs: DataFrame, ranks: str, pattern: str, key: str = "doc_id", text:
 
     kind = docs.schema[key].dataType.simpleString()
     rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
-    return rows.mapInArrow(run, f"key {kind}, ids binary").toDF(key, ids)
+    return rows.mapInArrow(tidied(run, ranks_of, _merges), f"key {kind}, ids binary").toDF(key, ids)
 
 
 def decode(encoded: DataFrame, ranks: str, key: str = "doc_id", ids: str = "ids", text: str = "bytes") -> DataFrame:
@@ -237,7 +237,7 @@ def decode(encoded: DataFrame, ranks: str, key: str = "doc_id", ids: str = "ids"
 
     kind = encoded.schema[key].dataType.simpleString()
     rows = encoded.select(F.col(key).alias("key"), F.col(ids).alias("ids"))
-    return rows.mapInArrow(run, f"key {kind}, bytes binary").toDF(key, text)
+    return rows.mapInArrow(tidied(run, ranks_of), f"key {kind}, bytes binary").toDF(key, text)
 
 
 def rank_map(ranks: dict[bytes, int]) -> Column:

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import re
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -47,6 +50,24 @@ def binary_rows(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0]:offsets[-1]] if len(offsets) else data, offsets - (offsets[0] if len(offsets) else 0)
 
 
+def tidied(run: Callable[[Iterator], Iterator], *caches) -> Callable[[Iterator], Iterator]:
+    """The same work on batches; at its end the caches are emptied and free memory goes back to the system, because Python
+    workers live on and do other work next."""
+    def outer(batches: Iterator) -> Iterator:
+        try:
+            yield from run(batches)
+        finally:
+            for cache in caches:
+                cache.cache_clear()
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+            if trim is not None:
+                trim(0)
+
+    return outer
+
+
 def ascii_lower(text: Column) -> Column:
     """A-Z to a-z and nothing else."""
     return (F.when(F.octet_length(text) == F.char_length(text), F.lower(text))

@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from sentencepiece import sentencepiece_model_pb2
 
-from skypairs.llm.columns import binary_column, binary_rows, flat, ranges
+from skypairs.llm.columns import binary_column, binary_rows, flat, ranges, tidied
 from skypairs.llm.words import Remembered, row_totals, slices
 
 BLANK = "▁"
@@ -303,7 +303,7 @@ def encode(docs: DataFrame, model: str, key: str = "doc_id", text: str = "text",
 
     kind = docs.schema[key].dataType.simpleString()
     rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
-    return rows.mapInArrow(run, f"key {kind}, ids binary, agrees boolean").toDF(key, ids, "agrees")
+    return rows.mapInArrow(tidied(run), f"key {kind}, ids binary, agrees boolean").toDF(key, ids, "agrees")
 
 
 class Decoder:
@@ -387,4 +387,4 @@ def decode(encoded: DataFrame, model: str, key: str = "doc_id", ids: str = "ids"
 
     kind = encoded.schema[key].dataType.simpleString()
     rows = encoded.select(F.col(key).alias("key"), F.col(ids).alias("ids"))
-    return rows.mapInArrow(run, f"key {kind}, text string").toDF(key, text)
+    return rows.mapInArrow(tidied(run), f"key {kind}, text string").toDF(key, text)

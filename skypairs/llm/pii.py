@@ -33,6 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as Over
 
+from skypairs.llm.columns import tidied
 from skypairs.llm.words import slices
 
 KINDS = ("email", "ip", "card", "phone")
@@ -311,7 +312,7 @@ def _with(docs: DataFrame, key: str, text: str, make, types: str) -> DataFrame:
 
     kind = docs.schema[key].dataType.simpleString()
     rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
-    return rows.mapInArrow(run, types.replace("KEY", kind))
+    return rows.mapInArrow(tidied(run, _of_segment, _of_sides), types.replace("KEY", kind))
 
 
 def train(docs: DataFrame, key: str = "doc_id", text: str = "text", windows: int = WINDOWS) -> Field:
@@ -366,4 +367,4 @@ def masked(docs: DataFrame, field: Field, text: str = "text") -> DataFrame:
                 batch = batch.set_column(at, batch.schema.field(at), pa.array(new, texts.type))
             yield batch
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidied(run, _of_segment, _of_sides), docs.schema)

@@ -21,7 +21,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from skypairs.llm.columns import binary_rows, flat
+from skypairs.llm.columns import binary_rows, flat, tidied
 from skypairs.llm.words import slices
 
 SAMPLE, BINS, TREES, DEPTH, RATE, LEAST, RIDGE = 20_000, 64, 80, 4, 0.15, 20, 1.0
@@ -142,7 +142,7 @@ def _with(docs: DataFrame, key: str, text: str, make, columns: list[str], types:
 
     kind = docs.schema[key].dataType.simpleString()
     rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
-    return rows.mapInArrow(run, f"key {kind}, {types}").withColumnRenamed("key", key)
+    return rows.mapInArrow(tidied(run), f"key {kind}, {types}").withColumnRenamed("key", key)
 
 
 def held_out(key: Column) -> Column:
@@ -180,4 +180,4 @@ def kept(docs: DataFrame, trees: Trees, text: str = "text", least: float = 0.5)
                 good = trees.score(statistics(part.column(0))) >= least
                 yield batch.take(part.column(1).filter(pa.array(good)))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidied(run), docs.schema)

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 from tokenizers import Tokenizer
 
-from skypairs.llm.columns import flat, ranges, shared_folder
+from skypairs.llm.columns import flat, ranges, shared_folder, tidied
 from skypairs.llm.words import Remembered, joined, slices
 
 NULL_KEY = -2**63
@@ -74,7 +74,8 @@ class _Words:
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        added = [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.added = "(?i)" + "|".join(added) if added else r"$^"
 
     def __call__(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         plain = [k for k, w in enumerate(words) if _LETTERS.fullmatch(w)]
@@ -137,14 +138,19 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end: int, key: str = "do
             words, offsets = flat(_units(batch.column(1)))
             values, lengths = remembered(words)
             at = np.concatenate([[0], np.cumsum(lengths)])[offsets]
+            whole = {}  # texts with the string of an added token, which the library takes before it cuts into words
+            odd = pc.match_substring_regex(batch.column(1), remembered.work.added).to_numpy(zero_copy_only=False)
+            for row in np.flatnonzero(odd).tolist():
+                got = remembered.work.tokenizer.encode(batch.column(1)[row].as_py(), add_special_tokens=False)
+                whole[row] = np.array([*got.ids, end], dtype).tobytes()
             values, tail = values.astype(dtype), np.array([end], dtype).tobytes()
-            out = [frame(k.tobytes() + values[a:b].tobytes() + tail)
-                   for k, a, b in zip(keys.astype("<i8"), at[:-1], at[1:], strict=True)]
+            out = [frame(k.tobytes() + (whole.get(row) or values[a:b].tobytes() + tail))
+                   for row, (k, a, b) in enumerate(zip(keys.astype("<i8"), at[:-1], at[1:], strict=True))]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(np.searchsorted(bounds, keys).astype(np.int32)), batch.column(0), pa.array(out, pa.binary())],
                 ["shard", "key", "frame"])
 
-    made = rows.mapInArrow(run, "shard int, key long, frame binary")
+    made = rows.mapInArrow(tidied(run, _remembered), "shard int, key long, frame binary")
     files = len(bounds) + 1
     (made.repartition(files, "shard").sortWithinPartitions("shard", "key", "frame")
      .select("shard", F.col("frame").cast("string").alias("value"))

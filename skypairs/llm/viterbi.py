@@ -29,7 +29,7 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skypairs.llm.columns import flat
+from skypairs.llm.columns import flat, tidied
 from skypairs.llm.words import Remembered, row_totals, slices
 
 BLANK = "▁"
@@ -115,4 +115,4 @@ def token_counts(docs: DataFrame, model: str, key: str = "doc_id", text: str = "
 
     kind = docs.schema[key].dataType.simpleString()
     rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
-    return rows.mapInArrow(run, f"key {kind}, n_tokens long, score double").toDF(key, "n_tokens", "score")
+    return rows.mapInArrow(tidied(run, _remembered), f"key {kind}, n_tokens long, score double").toDF(key, "n_tokens", "score")

@@ -70,7 +70,6 @@ def test_long_pieces(tokenizer):
 
 def test_records(spark, folder, texts):
     own = Tokenizer.from_file(queries.WORD_TOKENIZER)
-    own.encode_special_tokens = True
     start = 0
     for r in queries.op7_token_records(spark, folder).orderBy("doc_id").collect():
         ids = own.encode(texts[r.doc_id] or "", add_special_tokens=False).ids + [queries.END]
@@ -87,7 +86,6 @@ def test_shuffled_reads_and_shards(spark, folder, texts, tmp_path):
     got = {r.key: r.ids for r in records.read(spark, str(tmp_path), some, queries.WORD_TOKENIZER).collect()}
     assert sorted(got) == list(range(3, len(texts), 7))
     own = Tokenizer.from_file(queries.WORD_TOKENIZER)
-    own.encode_special_tokens = True
     assert all(ids == own.encode(texts[k] or "", add_special_tokens=False).ids + [queries.END] for k, ids in got.items())
 
 
