@@ -74,6 +74,12 @@ def ascii_lower(text: Column) -> Column:
             .otherwise(F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")))
 
 
+def fresh(taken: list[str], n: int) -> list[str]:
+    """So many column names that are not among those taken, in any case."""
+    used = {name.lower() for name in taken}
+    return [name for name in (f"_c{k}" for k in range(len(used) + n)) if name not in used][:n]
+
+
 def shared_folder(spark: SparkSession) -> str:
     """A new folder, seen by all executors, under the one that the session names in spark.checkpoint.dir. Where none is
     named and all runs in one process, a temporary folder."""

@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from skypairs.llm.columns import ascii_lower, written
+from skypairs.llm.columns import ascii_lower, fresh, written
 from skypairs.llm.shingles import SEPARATORS, words
 
 WINDOW = 10
@@ -122,15 +122,15 @@ def overlaps(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str =
 
 def clean(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows without an exact phrase match, as they are."""
-    names = ["__doc", "__mark"]
+    *names, matches = fresh(docs.columns, 3)
     found = (phrase_candidates(docs, written(windows(items)), key, text).groupBy(*_KEY)
-             .agg(F.collect_list(F.struct("start", "words")).alias("__found")))
-    found = found.select(F.col("doc").alias(names[0]), F.col("mark").alias(names[1]), "__found")
+             .agg(F.collect_list(F.struct("start", "words")).alias(matches)))
+    found = found.select(F.col("doc").alias(names[0]), F.col("mark").alias(names[1]), matches)
     rows = docs.withColumn(names[1], F.xxhash64(text))
     both = rows.join(found, rows[key].eqNullSafe(found[names[0]]) & (rows[names[1]] == found[names[1]]), "left")
     tokens = words(F.col(text))
-    hit = F.exists("__found", lambda c: F.slice(tokens, c["start"] + 1, F.size(c["words"])) == c["words"])
-    return both.filter(F.col("__found").isNull() | ~hit).select(*[rows[c] for c in docs.columns])
+    hit = F.exists(matches, lambda c: F.slice(tokens, c["start"] + 1, F.size(c["words"])) == c["words"])
+    return both.filter(F.col(matches).isNull() | ~hit).select(*[rows[c] for c in docs.columns])
 
 
 def hit_words(hits: Column) -> Column:

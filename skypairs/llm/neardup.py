@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skypairs.llm.columns import binary_column, binary_rows, flat, ranges, written
+from skypairs.llm.columns import binary_column, binary_rows, flat, fresh, ranges, written
 from skypairs.llm.components import components
 from skypairs.llm.dart import mix, signatures
 from skypairs.llm.shingles import counted, shingled, word_hashes
@@ -234,7 +234,7 @@ def near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
 
 def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows that stand for their classes, as they are; of rows with equal key and text, one."""
-    names = ["__key", "__mark"]
+    names = fresh(docs.columns, 2)
     all_rows, without, multisets = _classes(docs, key, text)
     chosen = multisets.filter("chosen").select("same", F.col("least").alias("key"))
     # rows of one key and multiset can still differ in letter case or punctuation; one of them stays

@@ -1,7 +1,8 @@
 """Personal data by fixed patterns and a semi-Markov conditional random field (operator 2).
 
 The base spans are those of four patterns with their checks. The field adds spans of the same kinds in forms that the
-patterns don't have (a telephone number without its plus, a card number in other groups, an address with "(at)").
+patterns don't have (a telephone number without its plus, a card number in other groups, an address with "(at)"), and a fifth
+kind, secret: keys and passwords after a word that names them.
 It reads windows of tokens around digits and at signs. Each candidate segment of at most LONGEST tokens (addresses: of any
 number within WIDE characters, and never with a part of a local part or host) is scored as a whole, per kind, from features of its shape, its checks and its surroundings; dynamic programming over the ends of
 segments, in which a token outside any segment scores nothing, chooses boundaries and kinds jointly.
@@ -36,7 +37,9 @@ from pyspark.sql.window import Window as Over
 from skypairs.llm.columns import tidied
 from skypairs.llm.words import slices
 
-KINDS = ("email", "ip", "card", "phone")
+KINDS = ("email", "ip", "card", "phone", "secret")
+#: Kinds of the base patterns.
+BASE = KINDS[:4]
 WINDOWS, ROUNDS, RATE, DECAY = 1_200, 4, 0.3, 1e-4
 LONGEST, REACH, WIDTH, WIDE = 14, 48, 72, 254
 SLOTS = 1 << 14
@@ -49,6 +52,9 @@ _HOST = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 _IP = re.compile(r"(?<![0-9])[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 _CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
+#: Keys and passwords, by the word before them; at least sixteen characters with letters and digits.
+_SECRET = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
+_NAMED = re.compile(r"(?i)(token|secret|passw(or)?d|pwd|key|auth|bearer|credential)s?[\"']?\s{0,2}[:=]?\s{0,2}[\"']?\Z")
 _TOKEN = re.compile(r"[A-Za-z]+|[0-9]+|\s+|[^\sA-Za-z0-9]")
 _ANCHOR = re.compile(r"[0-9]+|@|[\[(]at[\])]")
 _SOME = r"[0-9@]|\[at\]|\(at\)"
@@ -95,6 +101,21 @@ def base_spans(text: str) -> list[Span]:
     return out
 
 
+def _secret_at(text: str, start: int) -> int:
+    """Where a key or password that begins there ends, or 0."""
+    found = _SECRET.match(text, start)
+    if not found or start and _SECRET.match(text[start - 1] * 16) or not _NAMED.search(text, max(0, start - 24), start):
+        return 0
+    value = found.group()
+    return found.end() if len(value) <= WIDE and any(map(str.isdigit, value)) and any(map(str.isalpha, value)) else 0
+
+
+def examples_in(text: str) -> list[Span]:
+    """Spans to learn from: the base spans, and keys and passwords after a word that names them."""
+    named = (m.end() for m in re.finditer(r"(?i)(token|secret|passw(or)?d|pwd|key|auth|bearer|credential)s?[\"']?\s{0,2}[:=]?\s{0,2}[\"']?", text))
+    return base_spans(text) + [("secret", a, b) for a in named if (b := _secret_at(text, a))]
+
+
 @lru_cache(maxsize=1 << 16)
 def _of_segment(segment: str) -> tuple[int, ...]:
     """Numbers of the features of a segment as a whole."""
@@ -126,6 +147,9 @@ def _of_sides(before: str, after: str) -> tuple[int, ...]:
     return tuple(zlib.crc32(n.encode()) % SLOTS for n in (f"before={_class(before)}", f"after={_class(after)}"))
 
 
+_NAMES_IT = (zlib.crc32(b"named") % SLOTS,)
+
+
 class Window:
     """Tokens of a stretch of text and its candidate segments: bounds in tokens, and features."""
 
@@ -156,11 +180,14 @@ class Window:
             if whole and (j := at_end.get(whole.end())) is not None and whole.end() - start <= WIDE:
                 if j >= i + LONGEST or whole.end() - start > WIDTH:
                     self._add(text, i, j)
+            # so is a key or password; its feature is that something names it
+            if (stop := _secret_at(text, start)) and (j := at_end.get(stop)) is not None:
+                self._add(text, i, j, _NAMES_IT)
 
-    def _add(self, text: str, i: int, j: int) -> None:
+    def _add(self, text: str, i: int, j: int, more: tuple[int, ...] = ()) -> None:
         start, stop = self.tokens[i][0], self.tokens[j][1]
         sides = _of_sides(text[start - 1:start], text[stop:stop + 1])
-        self.ends[j + 1].append((i, _of_segment(text[start:stop]) + sides))
+        self.ends[j + 1].append((i, _of_segment(text[start:stop]) + sides + more))
 
 
 def _windows(text: str) -> Iterator[Window]:
@@ -257,6 +284,9 @@ def _forms(kind: str, value: str, rng: random.Random) -> list[tuple[str, bool]]:
     if kind == "card":
         wrong = d[:-1] + str((int(d[-1]) + rng.randint(1, 9)) % 10)
         return [(".".join(d[k:k + 4] for k in range(0, len(d), 4)), True), (wrong, False), (n + n, luhn(n + n) and None)]
+    if kind == "secret":
+        turned = value[1:] + value[0]
+        return [(turned, True), (value.upper(), True), (n, False)]
     if kind == "ip":
         p = value.split(".")
         return [(".".join([str(300 + rng.randint(0, 600)), *p[1:]]), False), (".".join(p[:3]), False), (".".join([*p, "7"]), False)]
@@ -275,7 +305,7 @@ def fit(examples: list[tuple[str, str]]) -> Field:
                 # the surroundings may hold other spans; those are known to be right
                 whole = before + form + after
                 here = (kind, len(before), len(before) + len(form))
-                spans = [s for s in base_spans(whole) if s[2] <= here[1] or s[1] >= here[2]] + [here] * good
+                spans = [s for s in examples_in(whole) if s[2] <= here[1] or s[1] >= here[2]] + [here] * good
                 cases += [(w, spans) for w in _windows(whole)]
     for _ in range(ROUNDS):
         rng.shuffle(cases)
@@ -322,7 +352,7 @@ def train(docs: DataFrame, key: str = "doc_id", text: str = "text", windows: int
         for k in np.flatnonzero(some):
             t = texts[k].as_py().replace("\0", " ")
             out += [("\0".join((t[max(0, a - REACH):a], t[a:b], t[b:b + REACH])), kind)
-                    for kind, a, b in base_spans(t) if b - a <= WIDTH]
+                    for kind, a, b in examples_in(t) if b - a <= WIDTH]
         return pa.RecordBatch.from_arrays([pa.array(x, pa.string()) for x in (zip(*out) if out else ([], []))], ["example", "kind"])
 
     found = _with(docs, key, text, make, "example string, kind string").distinct()

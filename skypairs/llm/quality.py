@@ -156,7 +156,10 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     known = (labels.filter(F.col(label).isNotNull() & F.col(key).isNotNull() & ~held_out(F.col(key)))
              .groupBy(key).agg((F.avg(label) >= 0.5).cast("double").alias("good"))
              .orderBy(F.xxhash64(key), key).limit(rows))
-    sample = docs.select(key, text).join(F.broadcast(known.select(key)), key).dropDuplicates([key])
+    # of rows with one key that with the least hash, then the least text
+    sample = (docs.select(key, text).join(F.broadcast(known.select(key)), key)
+              .groupBy(key).agg(F.min(F.struct(F.xxhash64(text).alias("hash"), F.col(text).alias("text"))).alias("row"))
+              .select(key, F.col("row.text").alias(text)))
 
     def make(texts: pa.Array) -> list[pa.Array]:
         return [pa.array(list(statistics(texts)), pa.list_(pa.float64()))]

@@ -37,9 +37,9 @@ def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     found = pii.find(docs, pii.train(docs))
     kinds = F.transform("base", lambda s: s["kind"])
-    counts = [(F.size(kinds) - F.size(F.array_remove(kinds, kind))).cast("long").alias(f"n_{kind}") for kind in pii.KINDS]
+    counts = [(F.size(kinds) - F.size(F.array_remove(kinds, kind))).cast("long").alias(f"n_{kind}") for kind in pii.BASE]
     return found.select("doc_id", *counts, F.sha2(_span_text("base"), 256).alias("base_sha256"),
-                        _span_text("spans").alias("spans"))
+                        _span_text("spans").alias("spans"), F.size("spans").cast("long").alias("n_spans"))
 
 
 def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -104,7 +104,7 @@ def test_personal_data(spark, private):
     for r in queries.op2_pii(spark, private).collect():
         base = plain_spans(texts[r.doc_id] or "")
         assert r.base_sha256 == sha(pii.joined(base))
-        assert [r.n_email, r.n_ip, r.n_card, r.n_phone] == [sum(s[0] == k for s in base) for k in pii.KINDS]
+        assert [r.n_email, r.n_ip, r.n_card, r.n_phone] == [sum(s[0] == k for s in base) for k in pii.BASE]
         assert set(pii.joined(base).split(",")) <= set(r.spans.split(",")) or not base
 
 
@@ -362,3 +362,27 @@ def test_empty_tables(spark, documents):
     some = documents([(1, "a b c")], benchmark=items, labels=labels)
     assert queries.op5_decontamination(spark, some).first().contaminated is False
     assert written(queries.op6_quality(spark, some)).first().score == pytest.approx(0.5)
+
+
+def test_secrets_are_found_as_wholes(spark):
+    token = "24be64439e3e49cf46b2d7c90f3602a3d0b907ff"
+    texts = [f'foo token = "{token[k:]}{token[:k]}"### 478538 bar{k}' for k in range(20)] + [f"no name {token} here", "token = short1", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {r.doc_id: r.spans for r in pii.find(docs, pii.train(docs)).collect()}
+    for k in range(20):
+        at = texts[k].index('"') + 1
+        assert [(s.kind, s.start, s.end) for s in found[k] if s.kind == "secret"] == [("secret", at, at + 40)]
+    assert not any(s.kind == "secret" for k in (20, 21, 22) for s in found[k])
+    assert '"[SECRET]"' in pii.masked(docs, pii.train(docs)).orderBy("doc_id").first().text
+
+
+@pytest.mark.parametrize("names", [["__key", "__mark", "__found", "__row", "_c0", "_C1"]])
+def test_stages_keep_columns_of_any_name(spark, names):
+    passage = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu"
+    rows = [(1, passage), (2, passage), (3, "one two three four five six"), (2**63 - 1, None), (-2**63, "")]
+    docs = spark.createDataFrame([(*r, *range(len(names))) for r in rows], "doc_id long, text string, " + ", ".join(f"`{n}` int" for n in names))
+    items = spark.createDataFrame([("i", passage)], "item_id string, text string")
+    for out, keys in ((decontaminate.clean(docs, items), {3, 2**63 - 1, -2**63}), (neardup.one_of_each(docs), {1, 3, 2**63 - 1, -2**63})):
+        assert out.columns == docs.columns
+        got = out.collect()
+        assert {r.doc_id for r in got} == keys and all(r[n] == k for r in got for k, n in enumerate(names))
