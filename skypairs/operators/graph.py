@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.binning import Binning
-from .grid import cell_key, parent_key, top_edge
 from .pairs import catalogue_vectors, pair_list
 from .pyramid import CROWD, choose_halvings, descend, distinct_positions
 
@@ -27,47 +26,43 @@ def degrees(catalogue: DataFrame, reach_arcmin: float, ra: str = "ra", dec: str
     points = catalogue_vectors(catalogue.withColumnRenamed(id_col, "id"), ra, dec, keep=("id",))
     positions = distinct_positions(points.withColumn("w", F.lit(1).cast("long")))
     if halvings == "auto":
-        halvings = choose_halvings(points, positions, within, crowd)
-    found, pairs = descend(positions, within, halvings, num_partitions, crowd)
+        halvings = choose_halvings(points, within, crowd)
+    tree, found, pairs = descend(positions, within, halvings, num_partitions, crowd)
 
     near = pairs.select(F.explode(F.array(
         F.struct(*(F.col(f"{c}_a").alias(c) for c in "xyz"), F.col("w_b").alias("add")),
         F.struct(*(F.col(f"{c}_b").alias(c) for c in "xyz"), F.col("w_a").alias("add")))).alias("p"))
     sums = (near.select("p.*").groupBy("x", "y", "z").agg(F.sum("add").alias("add")))
-    edge = top_edge(within.max_chord)
-    placed = positions.withColumn("leaf", cell_key(F.col("x"), F.col("y"), F.col("z"), edge / 2 ** halvings))
+    placed = positions
     zero = F.lit(0).cast("long")
     # copies of a position are neighbours of each other
     total = F.col("w") - 1 + F.coalesce("add", zero)
-    if found:
-        # what the cubes gain goes down to the smallest ones, of which there are few; positions are joined with those once
-        gains = _gains(found)
-        above = F.array(*(F.struct(F.lit(size).alias("size"), parent_key(F.col("leaf"), halvings - size).alias("cell"))
-                          for size, _ in found))
-        leaves = (placed.select("leaf").distinct().select("leaf", F.inline(above)).join(gains, ["size", "cell"])
-                  .groupBy("leaf").agg(F.sum("gain").alias("gain"), F.sum("own").alias("own")))
-        placed = placed.join(leaves, "leaf", "left")
+    if found is not None:
+        # what the cubes gain goes down to the leaves, of which there are fewer than positions
+        placed = tree.leaves()
+        above = F.array(*(F.struct(F.lit(size).alias("at"), tree.key(size).alias("in")) for size in tree.sizes))
+        gains = (placed.groupBy("size", "cell").agg(F.min("fine").alias("fine")).select("size", "cell", F.inline(above))
+                 .where("at <= size").join(_gains(found), ["at", "in"])
+                 .groupBy("size", "cell").agg(F.sum("gain").alias("gain"), F.sum("own").alias("own")))
+        placed = placed.join(gains, ["size", "cell"], "left")
         total = total + F.coalesce("gain", zero) - F.coalesce("own", zero) * F.col("w")
     placed = placed.join(sums, ["x", "y", "z"], "left")
     placed = placed.withColumn("degree", total).where("degree > 0").select("x", "y", "z", "degree")
     return points.join(placed, ["x", "y", "z"]).select("id", "degree")
 
 
-def _gains(found: list[tuple[int, DataFrame]]) -> DataFrame:
-    """(size, cell, gain, own): the weight each cube gains from the decided pairs of its size. A pair of two cubes adds to
+def _gains(found: DataFrame) -> DataFrame:
+    """(at, in, gain, own): the weight each cube (size, cell) gains from the decided pairs. A pair of two cubes adds to
     both; a cube paired with itself adds its own weight, and each of its positions is taken off again (own)."""
-    alone = F.col("cell_a") == F.col("cell_b")
+    alone = (F.col("cell_a") == F.col("cell_b")) & (F.col("size_a") == F.col("size_b"))
 
-    def side(cell: str, n: str, own):
-        return F.struct(F.col(cell).alias("cell"), F.col(n).alias("gain"), own.cast("long").alias("own"))
+    def side(s: str, n: str, own):
+        return F.struct(F.col(f"size_{s}").alias("at"), F.col(f"cell_{s}").alias("in"), F.col(n).alias("gain"), own.cast("long").alias("own"))
 
-    both = F.array(side("cell_a", "n_b", F.when(alone, 1).otherwise(0)),
-                   F.when(~alone, side("cell_b", "n_a", F.lit(0))))
-    rows = None
-    for size, decided in found:
-        part = decided.select(F.lit(size).alias("size"), F.explode(F.array_compact(both)).alias("c"))
-        rows = part if rows is None else rows.unionByName(part)
-    return rows.groupBy("size", "c.cell").agg(F.sum("c.gain").alias("gain"), F.max("c.own").alias("own"))
+    both = F.array(side("a", "n_b", F.when(alone, 1).otherwise(0)),
+                   F.when(~alone, side("b", "n_a", F.lit(0))))
+    return (found.select(F.inline(F.array_compact(both))).groupBy("at", "in")
+            .agg(F.sum("gain").alias("gain"), F.max("own").alias("own")))
 
 
 def degree_summary(degree: DataFrame, column: str = "degree") -> DataFrame:

@@ -3,17 +3,21 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
+from contextlib import contextmanager
 
-from pyspark.sql import Column, DataFrame
+from pyspark import StorageLevel
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from ..functions.binning import Binning, attach_bins
 from ..functions.geometry import chord2, has_position, unit_vector_angles, with_angles, with_unit_vector
 from .grid import spread_to_touching, top_edge, with_cell
+from .lineage import cut
 from .pyramid import (CROWD, choose_halvings, count_by_bin, distinct_positions, join_partitions,
                       ordered)
 from .resolution import MARGIN, join_base
-from .tiles import assign_pixel, explode_neighbours, neighbours
+from .tiles import assign_pixel, neighbours
 
 
 def catalogue_vectors(catalogue: DataFrame, ra: str = "ra", dec: str = "dec",
@@ -39,7 +43,7 @@ def count_pairs(vectors: DataFrame, binning: Binning, halvings: int | str = "aut
     """
     positions = distinct_positions(vectors.withColumn("w", F.lit(1).cast("long")))
     if halvings == "auto":
-        halvings = choose_halvings(vectors, positions, binning, crowd)
+        halvings = choose_halvings(vectors, binning, crowd)
     counts = count_by_bin(positions, binning, halvings, num_partitions, crowd)
     if binning.rmin == 0.0:
         counts = (counts.unionByName(_coincident(positions, binning))
@@ -61,7 +65,7 @@ def weighted_pair_counts(cells: DataFrame, binning: Binning, halvings: int | str
     no known separation and are not counted."""
     cells = cells.select("x", "y", "z", "w")
     if halvings == "auto":
-        halvings = choose_halvings(cells, cells, binning)
+        halvings = choose_halvings(cells, binning)
     counts = count_by_bin(cells, binning, halvings, num_partitions)
     return attach_bins(counts, binning).orderBy("ibin")
 
@@ -94,17 +98,21 @@ def _meet(left: DataFrame, right: DataFrame, spread_by: list[str], chunk_rows: i
 
 
 def tiling_candidates(vectors: DataFrame, tiling: str, nbase: int, chunk_rows: int = 100_000,
-                      num_partitions: int | None = None) -> DataFrame:
+                      num_partitions: int | None = None, watch: Observation | None = None) -> DataFrame:
     """Candidate pairs from a pixel join: each row with the rows of its own and of the neighbouring
     pixels, columns suffixed _a and _b. ``vectors`` carry ipix, x, y, z and a unique ``id``; without
     an id their positions must be distinct.
 
     A row is sent to the neighbours with a lower pixel number only, and to its own pixel, so each
     pair of pixels meets once (five rows per input row instead of nine). Neighbouring pixels reach
-    all partners only as far as the tiling's shape allows; see the README.
+    all partners only as far as the tiling's shape allows; see the README. ``watch`` observes the weight of the rows (Ndata)
+    and that of their copies for their own and all neighbouring pixels (Ndup) as they pass by.
     """
     left = vectors.select(F.col("ipix").alias("cell_a"), *(F.col(c).alias(f"{c}_a") for c in vectors.columns))
-    around = explode_neighbours(vectors, tiling, nbase, out="at", with_self=True)
+    around = neighbours(vectors, tiling, nbase, out="around")
+    if watch is not None:
+        around = around.observe(watch, F.sum("w").alias("Ndata"), F.sum(F.col("w") * (F.size("around") + 1)).alias("Ndup"))
+    around = around.withColumn("at", F.explode(F.concat(F.array("ipix"), "around")))
     right = (around.where(F.col("at") <= F.col("ipix"))
              .select(F.col("at").alias("cell_b"), *(F.col(c).alias(f"{c}_b") for c in vectors.columns)))
     by_id = "id" in vectors.columns
@@ -123,12 +131,19 @@ def pair_counts_on_tiling(catalogue: DataFrame, binning: Binning, tiling: str =
     nbase = nbase or join_base(tiling, binning, MARGIN.get(tiling, 1.0))
     if not nbase:
         return pair_counts(catalogue, binning, ra, dec, num_partitions=num_partitions)
+    return _counted_on_tiling(catalogue, binning, tiling, ra, dec, nbase, num_partitions)
+
+
+def _counted_on_tiling(catalogue: DataFrame, binning: Binning, tiling: str, ra: str, dec: str, nbase: int,
+                       num_partitions: int | None, sent: Observation | None = None, met: Observation | None = None) -> DataFrame:
     vectors = catalogue_vectors(catalogue, ra, dec).withColumn("w", F.lit(1).cast("long"))
     positions = distinct_positions(vectors)
     theta, phi = unit_vector_angles(*map(F.col, "xyz"))
     placed = assign_pixel(positions.withColumns({"theta": theta, "phi": phi}), tiling, nbase)
-    pairs = (tiling_candidates(placed.drop("theta", "phi"), tiling, nbase, num_partitions=num_partitions)
+    pairs = (tiling_candidates(placed.drop("theta", "phi"), tiling, nbase, num_partitions=num_partitions, watch=sent)
              .where(binning.inside(pair_r2())))
+    if met is not None:
+        pairs = pairs.observe(met, F.coalesce(F.sum(F.col("w_a") * F.col("w_b")), F.lit(0).cast("long")).alias("nedges"))
     counts = pairs.groupBy(binning.index(pair_r2()).alias("ibin")).agg(
         F.sum(F.col("w_a") * F.col("w_b")).alias("Nbin"))
     if binning.rmin == 0.0:
@@ -141,10 +156,27 @@ def pair_r2() -> Column:
     return chord2(tuple(F.col(f"{c}_a") for c in "xyz"), tuple(F.col(f"{c}_b") for c in "xyz"))
 
 
+def numbered(df: DataFrame, by: list[str], name: str = "id") -> DataFrame:
+    """The rows with a number from 0 in the order of ``by``, nulls first; the same however the input is partitioned.
+
+    A range sort, numbers within the partitions, and the prefix sum of the partitions' row counts, which is the only
+    table that one task holds. Rows that agree in ``by`` are ordered by all other columns, so those that can't be told apart
+    are equal.
+    """
+    keys = [F.col(c).asc_nulls_first() for c in [*by, *(c for c in df.columns if c not in by)]]
+    # the number of the partition in the upper bits, that of the row in the lower ones
+    placed = cut(df.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("_at", F.monotonically_increasing_id()))
+    placed = placed.withColumns({"_part": F.shiftright("_at", 33), "_row": F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))})
+    sizes = placed.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
+    before = sizes.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_before"))
+    return (placed.join(F.broadcast(before), "_part")  # one row for each partition
+            .select(*df.columns, (F.col("_before") + F.col("_row")).alias(name)))
+
+
 def with_row_id(df: DataFrame, key: str | None = None, name: str = "id") -> DataFrame:
-    """A unique long per row: the key column when the table has one. A generated id depends on how
-    the input is split, so write the result out before using it on both sides of a join."""
-    return df.withColumn(name, F.col(key).cast("long") if key else F.monotonically_increasing_id())
+    """A unique long per row: the key column when the table has one, else the row's number in the order of all columns, which
+    doesn't depend on how the input is split."""
+    return df.withColumn(name, F.col(key).cast("long")) if key else numbered(df, df.columns, name)
 
 
 def pair_list(catalogue: DataFrame, reach_arcmin: float, ra: str = "ra", dec: str = "dec",
@@ -169,6 +201,43 @@ def pair_list(catalogue: DataFrame, reach_arcmin: float, ra: str = "ra", dec: st
             .select(F.least("id_a", "id_b").alias("id"), F.greatest("id_a", "id_b").alias("id2")))
 
 
+def counts_with_stages(catalogue: DataFrame, binning: Binning, tiling: str = "cubedsphere", ra: str = "ra", dec: str = "dec",
+                       nbase: int | None = None, num_partitions: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """The pair counts on a tiling, and one row with what the stages of that same run handled: Ndata, Ndup and nedges.
+
+    The count runs here, as one action; its result (a row a bin) and what was observed on the way come back as tables. A
+    task that is run again is observed again, so the row is exact for runs without failures.
+    """
+    nbase = nbase or join_base(tiling, binning, MARGIN.get(tiling, 1.0))
+    if not nbase:
+        raise ValueError(f"{tiling} has no pixels that reach {binning.upper} arcmin")
+    sent, met = Observation(), Observation()
+    counts = _counted_on_tiling(catalogue, binning, tiling, ra, dec, nbase, num_partitions, sent, met)
+    spark, schema = catalogue.sparkSession, counts.schema
+    rows = counts.collect()
+    stages = [(sent.get["Ndata"] or 0, sent.get["Ndup"] or 0, met.get["nedges"] or 0)]
+    return spark.createDataFrame(rows, schema), spark.createDataFrame(stages, "Ndata long, Ndup long, nedges long")
+
+
+def pair_counts_kept(catalogue: DataFrame, binning: Binning, ra: str = "ra", dec: str = "dec",
+                     level: StorageLevel = StorageLevel.MEMORY_AND_DISK, num_partitions: int | None = None) -> DataFrame:
+    """``pair_counts`` for a catalogue that is dear to read: its positions are stored while the jobs that size the count and the
+    count itself run, and released afterwards. The result, a row a bin, is computed here."""
+    with stored(catalogue_vectors(catalogue, ra, dec), level) as vectors:
+        counts = attach_bins(count_pairs(vectors, binning, num_partitions=num_partitions), binning).orderBy("ibin")
+        return catalogue.sparkSession.createDataFrame(counts.collect(), counts.schema)
+
+
+@contextmanager
+def stored(df: DataFrame, level: StorageLevel = StorageLevel.MEMORY_AND_DISK) -> Iterator[DataFrame]:
+    """The frame, kept at a storage level inside the block. Blocks of a lost executor are computed again."""
+    kept = df.persist(level)
+    try:
+        yield kept
+    finally:
+        kept.unpersist(blocking=True)
+
+
 def stage_counts(catalogue: DataFrame, binning: Binning, tiling: str = "cubedsphere", ra: str = "ra",
                  dec: str = "dec") -> DataFrame:
     """One row with what each stage handles: Ndata, Ndup (rows after neighbour expansion, own pixel

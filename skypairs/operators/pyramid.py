@@ -1,14 +1,17 @@
 """Counting pairs without listing them: bulk counts over a pyramid of cubes.
 
-The points are summarised by cubes (weight and bounding ball) at a few nested sizes. Starting from
-pairs of large touching cubes, the least and the greatest distance between two balls decide:
+The points of crowded regions are summarised by an irregular tree of cubes (weight and bounding
+ball): a cube is split only while it holds more than a few positions, so the sizes built follow the
+density of each region, and thin regions have the largest cubes only. Starting from pairs of large
+touching cubes, the least and the greatest distance between two balls decide:
 
 * every pair of points falls into the same separation bin -> add the product of the weights;
 * no pair is in range                                     -> drop the pair of cubes;
-* otherwise                                               -> join both cubes to their children.
+* neither cube is split                                   -> leave the pair to its points;
+* otherwise                                               -> replace each split cube by its children.
 
-Only what is still undecided at the smallest cubes is joined point by point, with the same formula a
-brute-force count uses. A dense region thus costs bulk counts, not the square of its points. The
+Only what is left to the points is joined point by point, with the same formula a brute-force count
+uses. A dense region thus costs bulk counts, not the square of its points. The
 balls are padded by far more than rounding can amount to, so a pair next to a bin edge is never
 decided in bulk and the counts are exact.
 """
@@ -23,11 +26,14 @@ from pyspark.sql import functions as F
 from ..functions.binning import Binning
 from .grid import (HALF_OFFSETS, cell_key, finest_bits, key_step, parent_key,
                    spread_to_touching, top_edge, with_cell)
+from .lineage import cut
 
 # join the points of touching cubes directly while no cube holds more distinct positions than this
 CROWD = 512
 # otherwise halve the cubes until none holds more than this
 LEAF_CROWD = 32
+# parts of the points of one cube where cubes and points are joined
+SALTS = 16
 POINT_PAIR = [f"{c}_{s}" for s in "ab" for c in "xyzw"] + ["r2"]
 # radius added to every ball, on the unit sphere; rounding errors are below 1e-14
 BALL_PAD = 1e-12
@@ -55,56 +61,87 @@ def useful_halvings(binning: Binning) -> int:
     return most
 
 
-def choose_halvings(points: DataFrame, positions: DataFrame, binning: Binning,
-                    crowd: int = CROWD) -> int:
-    """How often to halve the cubes, from the number of positions in the most crowded one.
+def choose_halvings(points: DataFrame, binning: Binning, crowd: int = CROWD) -> int:
+    """How often cubes may be halved: not at all if no cube of the largest size is crowded, which one counting job over the
+    rows, copies included, tells; it is combined before its shuffle and brings one number to the driver."""
+    key = cell_key(F.col("x"), F.col("y"), F.col("z"), top_edge(binning.max_chord))
+    fullest = points.groupBy(key).count().agg(F.max("count")).first()[0] or 0
+    return useful_halvings(binning) if fullest > crowd else 0
 
-    Each tried size is a counting job, combined before its shuffle, that brings one number to the
-    driver. The first counts rows, copies included; only if they crowd are positions counted.
-    """
-    edge, most = top_edge(binning.max_chord), useful_halvings(binning)
-
-    def fullest(df: DataFrame, halvings: int) -> int:
-        key = cell_key(F.col("x"), F.col("y"), F.col("z"), edge / 2 ** halvings)
-        sides = [F.max(c) - F.min(c) for c in "xyz"]
-        cells = df.groupBy(key.alias("cell")).agg(
-            F.count(F.lit(1)).alias("m"), (sides[0] * sides[0] + sides[1] * sides[1] + sides[2] * sides[2]).alias("d2"))
-        if halvings:
-            # the pyramid drops a cube whose points are all closer than the least counted distance
-            cells = cells.where(F.col("d2") >= binning.min_chord ** 2)
-        return cells.agg(F.max("m")).first()[0] or 0
-
-    if fullest(points, 0) <= crowd:
-        return 0
-    top = fullest(positions, 0)
-    if top <= crowd:
-        return 0
-    # a cube on the sphere has about four occupied children
-    halvings = min(most, math.ceil(math.log(top / LEAF_CROWD, 4)))
-    while halvings < most and fullest(positions, halvings) > LEAF_CROWD:
-        halvings += 1
-    return halvings
-
-
-def cube_sizes(halvings: int) -> list[int]:
-    """Halvings of each size of the pyramid, the largest cubes (0) first. The largest are never
-    decided as a whole, so one size is skipped after them."""
-    return [0, *range(min(halvings, 2), halvings + 1)] if halvings else [0]
-
-
-def cell_summaries(points: DataFrame, sizes: list[int]) -> list[DataFrame]:
-    """Weight and bounding box per cube, in the order of ``sizes``. ``points`` carry their ``leaf``
-    key, of the smallest cubes; every larger size is merged from the next smaller one."""
-    sides = [(f"{n}_{c}", c, f) for c in "xyz" for n, f in (("lo", F.min), ("hi", F.max))]
-    level = points.groupBy(F.col("leaf").alias("cell")).agg(
+
+_SIDES = [(f"{n}_{c}", c, f) for c in "xyz" for n, f in (("lo", F.min), ("hi", F.max))]
+
+
+def _marked(points: DataFrame, cubes: DataFrame, key: Column) -> DataFrame:
+    """The points with the columns of the table of cubes (cell and flags) that hold ``key``; false where none does. The points
+    are salted, so those of one crowded cube are dealt to many tasks, and the cubes are repeated for each salt."""
+    flags = [c for c in cubes.columns if c != "cell"]
+    salt = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
+    cubes = cubes.select(F.col("cell").alias("_in"), *flags, salt.alias("_to"))
+    salted = points.withColumns({"_key": key, "_salt": F.pmod(F.xxhash64("x", "y", "z"), F.lit(SALTS)).cast("int")})
+    found = salted.join(cubes, (F.col("_key") == F.col("_in")) & (F.col("_salt") == F.col("_to")), "left")
+    return found.select(*points.columns, *(F.coalesce(c, F.lit(False)).alias(c) for c in flags))
+
+
+def _summaries(points: DataFrame, key: Column) -> DataFrame:
+    """Weight and bounding box per cube, from points."""
+    return points.groupBy(key.alias("cell")).agg(
         F.count(F.lit(1)).alias("m"), F.sum("w").alias("n"), F.sum(F.col("w") * F.col("w")).alias("n2"),
-        *(f(c).alias(name) for name, c, f in sides))
-    levels = [level]
-    for coarse, fine in zip(sizes[-2::-1], sizes[::-1]):
-        level = level.groupBy(parent_key(F.col("cell"), fine - coarse).alias("cell")).agg(
-            F.sum("m").alias("m"), F.sum("n").alias("n"), F.sum("n2").alias("n2"), *(f(name).alias(name) for name, _, f in sides))
-        levels.append(level)
-    return levels[::-1]
+        *(f(c).alias(name) for name, c, f in _SIDES))
+
+
+class Tree:
+    """An irregular tree of cubes over ``points`` (distinct positions x, y, z with weight w), built from the largest cubes down.
+
+    The largest cubes are split if they hold more than LEAF_CROWD positions and touch a crowded one or are it; smaller ones if
+    they hold more than LEAF_CROWD. Only the children of split cubes are built at the next size, from their points, so every
+    step handles the points of the regions that are still dense and no others. A step ends with tables in the shared folder.
+
+    ``sizes`` are the halvings of the cubes built, ``levels`` their summaries with the flag ``split``, and ``placed`` the
+    points of each step with the flag: they are in a leaf where it is false.
+    """
+
+    def __init__(self, points: DataFrame, edge: float, halvings: int, crowd: int):
+        self.halvings, self.crowd, self.sizes = halvings, crowd, []
+        self.levels: list[DataFrame] = []
+        self.placed: list[DataFrame] = []
+        self._add(with_cell(points, edge / 2 ** halvings, "fine"), 0)
+
+    def _add(self, points: DataFrame, size: int) -> None:
+        cells = cut(_summaries(points, self.key(size)))
+        dense, flags = F.col("m") > LEAF_CROWD, ["split"]
+        if size == 0:
+            around = F.array(F.lit(0).cast("long"), *(F.lit(sign * key_step(d)).cast("long") for d in HALF_OFFSETS for sign in (1, -1)))
+            near = (cells.where(F.col("m") > self.crowd).withColumn("step", F.explode(around))
+                    .select((F.col("cell") + F.col("step")).alias("cell"), F.lit(True).alias("near")).distinct())
+            cells = (cells.join(near, "cell", "left").withColumns({"split": F.coalesce("near", F.lit(False)) & dense, "crowded": F.col("m") > self.crowd})
+                     .drop("near"))
+            flags = ["split", "crowded"]
+        else:
+            cells = cells.withColumn("split", dense if size < self.halvings else F.lit(False))
+        marks = cells.where("split OR crowded" if size == 0 else "split").select("cell", *flags)
+        self.sizes.append(size)
+        self.levels.append(cells)
+        self.placed.append(cut(_marked(points, marks, self.key(size))))
+
+    def grow(self) -> bool:
+        """Build the next size; false if no cube is split. One size is skipped after the largest cubes, which are never
+        decided as a whole."""
+        if not self.levels[-1].where("split").limit(1).count():
+            return False
+        self._add(self.placed[-1].where("split").select("x", "y", "z", "w", "fine"), min(self.halvings, max(2, self.sizes[-1] + 1)))
+        return True
+
+    def key(self, size: int) -> Column:
+        return parent_key(F.col("fine"), self.halvings - size)
+
+    def leaves(self) -> DataFrame:
+        """The points with the leaf that holds them: (size, cell, fine, x, y, z, w)."""
+        out = None
+        for size, points in zip(self.sizes, self.placed):
+            part = points.where(~F.col("split")).select(F.lit(size).alias("size"), self.key(size).alias("cell"), "fine", "x", "y", "z", "w")
+            out = part if out is None else out.unionByName(part)
+        return out
 
 
 def _side(df: DataFrame, s: str) -> DataFrame:
@@ -131,7 +168,7 @@ def _balls(cells: DataFrame, s: str) -> DataFrame:
     sure = {c: (F.col(f"lo_{c}") + F.col(f"hi_{c}")) / 2.0 for c in "xyz"}
     sure["ball"] = half + BALL_PAD
     longs = [F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in ("cell", "m", "n", "n2")]
-    return _side(_whole(cells).select(*longs, *(F.coalesce(v, F.lit(0.0)).alias(k) for k, v in sure.items())), s)
+    return _side(_whole(cells).select(*longs, "split", *(F.coalesce(v, F.lit(0.0)).alias(k) for k, v in sure.items())), s)
 
 
 def _judge(cell_pairs: DataFrame, binning: Binning) -> DataFrame:
@@ -144,9 +181,27 @@ def _judge(cell_pairs: DataFrame, binning: Binning) -> DataFrame:
             .withColumn("ibin", F.when((near >= floor) & (far < binning.max_chord) & (lo == hi), hi)))
 
 
+_BALL = ("cell", "m", "n", "n2", "x", "y", "z", "ball")
+
+
 def _open(judged: DataFrame) -> DataFrame:
-    return judged.where(F.col("ibin").isNull()).select(F.col("cell_a").alias("pa"),
-                                                       F.col("cell_b").alias("pb"))
+    """The pairs left for the next size: of a cube that is split its number, of another one all that it is."""
+    def side(s: str) -> list[Column]:
+        split = F.col(f"split_{s}")
+        stay = F.struct(*(F.col(f"{c}_{s}").alias(c) for c in _BALL), F.col(f"size_{s}").alias("size"))
+        return [F.when(split, F.col(f"cell_{s}")).alias(f"p{s}"), F.when(~split, stay).alias(f"stay_{s}")]
+
+    return judged.where(F.col("ibin").isNull() & (F.col("split_a") | F.col("split_b"))).select(*side("a"), *side("b"))
+
+
+def _children(opened: DataFrame, cells: DataFrame, s: str, size: int, bits: int) -> DataFrame:
+    """The pairs with side ``s`` replaced by its children, or as it is if it is not split."""
+    child = _balls(cells, s).withColumn(f"up_{s}", parent_key(F.col(f"cell_{s}"), bits))
+    joined = opened.join(child, F.col(f"p{s}") == F.col(f"up_{s}"), "left").drop(f"up_{s}")
+    kept = F.col(f"stay_{s}")
+    values = {f"{c}_{s}": F.coalesce(f"{c}_{s}", kept[c]) for c in _BALL}
+    return joined.withColumns(values | {f"split_{s}": F.coalesce(f"split_{s}", F.lit(False)),
+                                        f"size_{s}": F.coalesce(kept["size"], F.lit(size))}).drop(f"stay_{s}")
 
 
 def ordered(a: str, b: str) -> Column:
@@ -181,65 +236,71 @@ def direct_pairs(points: DataFrame, binning: Binning, num_partitions: int | None
 
 
 def descend(points: DataFrame, binning: Binning, halvings: int, num_partitions: int | None = None,
-            crowd: int = CROWD) -> tuple[list[tuple[int, DataFrame]], DataFrame]:
-    """Walk down the pyramid of ``points`` (distinct positions x, y, z with weight w).
+            crowd: int = CROWD) -> tuple[Tree | None, DataFrame | None, DataFrame]:
+    """Walk down the tree of ``points`` (distinct positions x, y, z with weight w).
 
-    Returns, per size of cubes, (halvings, decided pairs: cell_a, cell_b, n_a, n_b, n2_a, ibin), and
-    the point pairs (suffixes _a, _b and ``r2``) that no cube could decide.
+    Returns the tree, the decided pairs (size, cell, n and n2 with suffixes _a, _b, and ibin), and the point
+    pairs (suffixes _a, _b and ``r2``) that no cube could decide. A size is in halvings.
 
-    Only pairs with a crowded cube (more than ``crowd`` positions) go through the pyramid; points of all other cubes are joined
-    directly. The open pairs of a size are two longs each; they are shuffled once, by both keys, and both the
-    decided and the open pairs of the next size read that shuffle.
+    Only pairs with a crowded cube (more than ``crowd`` positions) go through the tree; points of all other cubes are joined
+    directly. Each step's pairs are judged once and written, the decided and the open ones; it ends where no cube is split.
     """
     if halvings == 0:
-        return [], direct_pairs(points, binning, num_partitions)
+        return None, None, direct_pairs(points, binning, num_partitions)
     edge = top_edge(binning.max_chord)
     if halvings > finest_bits(edge):
         raise ValueError(f"cubes of radius {binning.max_chord} cannot be halved {halvings} times")
-    keyed = with_cell(points, edge / 2 ** halvings, "leaf")
-    sizes = cube_sizes(halvings)
-    levels = cell_summaries(keyed, sizes)
+    tree = Tree(points, edge, halvings, crowd)
 
     n = num_partitions or join_partitions(points)
     steps = F.array(F.lit(0).cast("long"), *(F.lit(key_step(d)).cast("long") for d in HALF_OFFSETS))
-    right = (_balls(levels[0], "b").withColumn("step", F.explode(steps))
+    right = (_balls(tree.levels[0], "b").withColumn("step", F.explode(steps))
              .withColumn("at", F.col("cell_b") + F.col("step")).drop("step"))
-    left = _balls(levels[0], "a").repartition(n, "cell_a").hint("merge")
-    crowded = (F.col("m_a") > crowd) | (F.col("m_b") > crowd)
-    judged = _judge(left.join(right.repartition(n, "at"), (F.col("cell_a") == F.col("at")) & crowded),
-                    binning)
-    found = []
-    for k, size in enumerate(sizes):
-        if k:
-            a, b = (_balls(levels[k], s).withColumn(
-                f"up_{s}", parent_key(F.col(f"cell_{s}"), size - sizes[k - 1])) for s in "ab")
-            judged = _judge(
-                _open(judged).repartition(n, "pa", "pb").join(a, F.col("pa") == F.col("up_a"))
-                .join(b, (F.col("pb") == F.col("up_b"))
-                      & ((F.col("pa") != F.col("pb")) | (F.col("cell_a") <= F.col("cell_b")))), binning)
-        found.append((size, judged.where(F.col("ibin").isNotNull())
-                      .select("cell_a", "cell_b", "n_a", "n_b", "n2_a", "ibin")))
-
-    once = (F.col("pa") != F.col("pb")) | ordered("a", "b")
-    pairs = (_open(judged).repartition(n, "pa", "pb")
-             .join(_side(keyed, "a"), F.col("pa") == F.col("leaf_a"))
-             .join(_side(keyed, "b"), (F.col("pb") == F.col("leaf_b")) & once & binning.inside(_r2()))
+    left = _balls(tree.levels[0], "a").hint("merge")
+    some = (F.col("m_a") > crowd) | (F.col("m_b") > crowd)
+    pairs = left.join(right, (F.col("cell_a") == F.col("at")) & some).withColumns({"size_a": F.lit(0), "size_b": F.lit(0)})
+    columns = [f"{c}_{s}" for s in "ab" for c in ("size", "cell", "n", "n2")]
+    settled = []
+    while True:
+        judged = cut(_judge(pairs, binning))
+        settled.append(judged.where(F.col("ibin").isNotNull() | ~(F.col("split_a") | F.col("split_b"))).select(*columns, "ibin"))
+        if not tree.grow():
+            break
+        size, bits = tree.sizes[-1], tree.sizes[-1] - tree.sizes[-2]
+        pairs = _children(_children(_open(judged), tree.levels[-1], "a", size, bits), tree.levels[-1], "b", size, bits)
+        once = ~F.coalesce(F.col("pa") == F.col("pb"), F.lit(False)) | (F.col("cell_a") <= F.col("cell_b"))
+        pairs = pairs.where(once).drop("pa", "pb")
+    found = settled[0]
+    for part in settled[1:]:
+        found = found.unionByName(part)
+    leaf_pairs = found.where(F.col("ibin").isNull()).select("size_a", "cell_a", "size_b", "cell_b")
+
+    # the points of the leaves that are met
+    met = leaf_pairs.select(F.inline(F.array(*(F.struct(F.col(f"size_{s}").alias("size"), F.col(f"cell_{s}").alias("cell")) for s in "ab")))).distinct()
+    held = tree.leaves().join(met, ["size", "cell"], "left_semi")
+    same = (F.col("size_a") == F.col("size_b")) & (F.col("cell_a") == F.col("cell_b"))
+    a, b = (held.select(F.col("size").alias(f"of_{s}"), F.col("cell").alias(f"in_{s}"), *(F.col(c).alias(f"{c}_{s}") for c in "xyzw")) for s in "ab")
+    pairs = (leaf_pairs.repartition(n, "cell_a", "cell_b")
+             .join(a, (F.col("cell_a") == F.col("in_a")) & (F.col("size_a") == F.col("of_a")))
+             .join(b, (F.col("cell_b") == F.col("in_b")) & (F.col("size_b") == F.col("of_b"))
+                   & (~same | ordered("a", "b")) & binning.inside(_r2()))
              .withColumn("r2", _r2()))
     # cubes without a crowd, among themselves
-    full = _whole(levels[0]).where(F.col("m") > crowd).select("cell")
-    thin = with_cell(points, edge).join(full, "cell", "left_anti").select(*points.columns)
+    thin = tree.placed[0].where(~F.col("crowded")).select(*points.columns)
     sparse = direct_pairs(thin, binning, num_partitions)
-    return found, pairs.select(*POINT_PAIR).unionByName(sparse.select(*POINT_PAIR))
+    return tree, found.where(F.col("ibin").isNotNull()), pairs.select(*POINT_PAIR).unionByName(sparse.select(*POINT_PAIR))
 
 
 def count_by_bin(points: DataFrame, binning: Binning, halvings: int,
                  num_partitions: int | None = None, crowd: int = CROWD) -> DataFrame:
     """(ibin, Nbin): sum of w_a * w_b over the unordered pairs of distinct positions, per bin."""
-    found, pairs = descend(points, binning, halvings, num_partitions, crowd)
+    _, found, pairs = descend(points, binning, halvings, num_partitions, crowd)
     total = pairs.groupBy(binning.index(F.col("r2")).alias("ibin")).agg(
         F.sum(F.col("w_a") * F.col("w_b")).alias("Nbin"))
+    if found is None:
+        return total
     within = F.expr("(n_a * n_a - n2_a) div 2")
-    product = F.when(F.col("cell_a") == F.col("cell_b"), within).otherwise(F.col("n_a") * F.col("n_b"))
-    for _, decided in found:
-        total = total.unionByName(decided.groupBy("ibin").agg(F.sum(product).alias("Nbin")))
-    return total if not found else total.groupBy("ibin").agg(F.sum("Nbin").alias("Nbin"))
+    alone = (F.col("cell_a") == F.col("cell_b")) & (F.col("size_a") == F.col("size_b"))
+    product = F.when(alone, within).otherwise(F.col("n_a") * F.col("n_b"))
+    total = total.unionByName(found.groupBy("ibin").agg(F.sum(product).alias("Nbin")))
+    return total.groupBy("ibin").agg(F.sum("Nbin").alias("Nbin"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import random
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,10 +16,21 @@ from .stats import histogram, histogram2d
 
 def random_sky(spark: SparkSession, n: int, seed: int | None = None,
                partitions: int | None = None) -> DataFrame:
-    """``n`` directions (theta, phi), uniform on the sphere."""
-    second = None if seed is None else seed + 1
-    return spark.range(0, n, 1, partitions).select(
-        F.acos(F.rand(seed) * 2.0 - 1.0).alias("theta"), (F.rand(second) * TWO_PI).alias("phi"))
+    """``n`` directions (theta, phi), uniform on the sphere; with a seed the same for any number of partitions."""
+    seed = random.randrange(2**31) if seed is None else seed
+    return sky_of_keys(spark.range(0, n, 1, partitions), "id", seed).select("theta", "phi")
+
+
+def uniform(key: Column, seed: int, draw: int = 0) -> Column:
+    """A number in [0, 1) for each key: the first 52 bits of a digest of seed, draw and key. It depends on nothing else, so any
+    partitioning, engine or repeated task gives the same."""
+    digest = F.md5(F.concat_ws(":", F.lit(seed).cast("string"), F.lit(draw).cast("string"), key.cast("string")))
+    return F.conv(F.substring(digest, 1, 13), 16, 10).cast("long") / F.lit(float(1 << 52))
+
+
+def sky_of_keys(df: DataFrame, key: str, seed: int) -> DataFrame:
+    """The rows with a direction (theta, phi) drawn for each key, uniform on the sphere."""
+    return df.withColumns({"theta": F.acos(uniform(F.col(key), seed) * 2.0 - 1.0), "phi": uniform(F.col(key), seed, 1) * TWO_PI})
 
 
 def sample_with_centres(sky: DataFrame, tiling: str, nbase: int) -> DataFrame:

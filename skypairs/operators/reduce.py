@@ -9,7 +9,7 @@ from ..functions.binning import Binning
 from ..functions.geometry import has_position, with_angles
 from .pairs import weighted_pair_counts
 from .resolution import reduce_base
-from .tiles import assign_pixel, pixel_centre_vectors
+from .tiles import assign_pixel, coarser_pixel, pixel_centre_vectors
 
 
 def weighted_cells(catalogue: DataFrame, tiling: str, nbase: int, ra: str = "ra",
@@ -43,3 +43,21 @@ def compare_counts(exact: DataFrame, reduced: DataFrame) -> DataFrame:
     return (exact.select("ibin", F.col("Nbin").alias("N"))
             .join(reduced.select("ibin", F.col("Nbin").alias("N1")), "ibin")
             .withColumn("rel", F.lit(1.0) - F.col("N1") / F.col("N")).orderBy("ibin"))
+
+
+def rolled_cells(catalogue: DataFrame, resolutions: list[int], ra: str = "ra", dec: str = "dec") -> DataFrame:
+    """Weighted HEALPix cells of several resolutions (powers of two): nside, ipix, w and the centre x, y, z.
+
+    The catalogue is counted once, by the finest pixels; the cells of each coarser resolution are merged from those of the next
+    finer one, so every further shuffle is as small as its cells are few.
+    """
+    sizes = sorted(set(resolutions), reverse=True)
+    placed = catalogue.where(has_position(ra, dec))
+    level = assign_pixel(with_angles(placed.select(ra, dec), ra, dec), "healpix", sizes[0]).groupBy("ipix").agg(F.count(F.lit(1)).alias("w"))
+    out = None
+    for k, nside in enumerate(sizes):
+        if k:
+            level = level.groupBy(coarser_pixel(F.col("ipix"), sizes[k - 1], nside).alias("ipix")).agg(F.sum("w").alias("w"))
+        cells = pixel_centre_vectors(level, "healpix", nside).select(F.lit(nside).alias("nside"), "ipix", "w", "x", "y", "z")
+        out = cells if out is None else out.unionByName(cells)
+    return out

@@ -69,12 +69,22 @@ def assign_pixel(df: DataFrame, tiling: str, nbase: int, theta: str = "theta", p
 
 def assign_pixels(df: DataFrame, tiling: str, resolutions: list[int], theta: str = "theta",
                   phi: str = "phi") -> DataFrame:
-    """One pixel column id<nbase> per resolution."""
+    """One pixel column id<nbase> per resolution. HEALPix pixels are nested: only those of the finest resolution are worked
+    out from the angles, and the others are the upper bits of their numbers."""
+    if tiling == "healpix" and resolutions and all(n > 0 and n & (n - 1) == 0 for n in resolutions):
+        finest = max(resolutions)
+        df = assign_pixel(df, tiling, finest, theta, phi, "_finest")
+        return df.withColumns({f"id{n}": coarser_pixel(F.col("_finest"), finest, n) for n in resolutions}).drop("_finest")
     for nbase in resolutions:
         df = assign_pixel(df, tiling, nbase, theta, phi, f"id{nbase}")
     return df
 
 
+def coarser_pixel(ipix: Column, finest: int, nbase: int) -> Column:
+    """The HEALPix pixel (nested) that holds a pixel of a finer resolution; both are powers of two."""
+    return F.shiftright(ipix, 2 * (finest.bit_length() - nbase.bit_length()))
+
+
 def local_index(df: DataFrame, nbase: int, theta: str = "theta", phi: str = "phi") -> DataFrame:
     """Similar-radius (face, quadrant, i, j) of every row."""
     let = columns(df, "loc")

@@ -76,6 +76,16 @@ def crowded_sky(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.lit(10.0) + (k * 104729) % 211 / 422.0).alias("dec"))
 
 
+def uneven_sky(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All orders around one place: half within a tenth of a degree, a quarter within one and a quarter within twenty
+    degrees, so the densities differ more than 10,000-fold."""
+    k = F.col("o_orderkey")
+    wide = F.when(k % 4 < 2, 0.1).when(k % 4 == 2, 1.0).otherwise(20.0)
+    return table(spark, sf_dir, "orders").select(
+        k.alias("id"), (F.lit(40.0) + wide * ((k * 7919) % 9973) / 9973.0).alias("ra"),
+        (F.lit(10.0) + wide * ((k * 104729) % 10007) / 10007.0).alias("dec"))
+
+
 def sky_with_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The sky with right ascensions and declinations that are NaN, infinite or null."""
     k, nan = F.col("id"), F.lit(float("nan"))

@@ -536,15 +536,28 @@ sky AS (SELECT id * 2 + t AS id, ra, dec + (CASE WHEN dec > 0 THEN -1e0 ELSE 1e0
 {_AFTER}"""
 CROWD = f"""sky AS (SELECT o_orderkey AS id, 40e0 + o_custkey % 3 * 30 + ((o_orderkey * 7919) % 199) / 398e0 AS ra,
   10e0 + ((o_orderkey * 104729) % 211) / 422e0 AS dec FROM orders), {_AFTER}"""
+_UNEVEN = "CASE WHEN o_orderkey % 4 < 2 THEN 0.1e0 WHEN o_orderkey % 4 = 2 THEN 1e0 ELSE 20e0 END"
+UNEVEN = f"""sky AS (SELECT o_orderkey AS id, 40e0 + {_UNEVEN} * ((o_orderkey * 7919) % 9973) / 9973e0 AS ra,
+  10e0 + {_UNEVEN} * ((o_orderkey * 104729) % 10007) / 10007e0 AS dec FROM orders), {_AFTER}"""
 GAPS = f"{SKY}, ok AS (SELECT * FROM vec WHERE id % 7 > 1 AND id % 5 > 1)"
 SQL["agg1_pair_counts_crowded"] = f"{lin_counts(0.0, 30.0, 6, CROWD)} {COUNTS}"
+SQL["agg1_pair_counts_uneven"] = SQL["plc2_stored_counts"] = f"{lin_counts(1.0, 61.0, 6, UNEVEN)} {COUNTS}"
+SQL["prj5_row_numbers"] = """SELECT *, row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice) - 1 AS id
+  FROM (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice FROM lineitem) AS t"""
+_DRAW = "CAST('0x' || substr(md5('42:{}:' || o_orderkey), 1, 13) AS BIGINT) / 4503599627370496e0"
+SQL["src3_random_directions"] = f"""SELECT o_orderkey, {r8(f'acos({_DRAW.format(0)} * 2 - 1)')} AS theta,
+  {r8(f'{_DRAW.format(1)} * 2 * {PI}')} AS phi FROM orders"""
+SQL["agg24_observed_stages"] = SQL["agg24_stage_counts"]
+SQL["til18_til19_rolled_cells"] = " UNION ALL ".join(f"""(WITH {SKY}, {healpix(n)}, oc AS (SELECT ipix, count(*) AS cnt, 0.5e0 AS px, 0.5e0 AS py FROM num GROUP BY ipix),
+  {hp_place(n, 'oc')} SELECT {n} AS nside, ipix, cnt AS w, {r8('sqrt((1 - hz) * (1 + hz)) * cos(hphi)')} AS x,
+  {r8('sqrt((1 - hz) * (1 + hz)) * sin(hphi)')} AS y, {r8('hz')} AS z FROM hpl)""" for n in (16, 32, 64, 128))
 SQL["agg1_pair_counts_twins"] = f"{lin_counts(0.0, 0.002, 1, TWINS)} {COUNTS}"
 SQL["jon3_pair_list_twins"] = f"WITH {TWINS}, e AS ({brute('a.id AS id, b.id AS id2', 0.0, rad(0.002))}) SELECT id, id2 FROM e"
 SQL["jon3_pair_list_crowded"] = f"WITH {CROWD}, e AS ({brute('a.id AS id, b.id AS id2', 0.0, rad(0.5))}) SELECT id, id2 FROM e"
 SQL["agg1_pair_counts_with_gaps"] = f"{lin_counts(2.5, 252.5, 5, GAPS, 'ok')} {COUNTS}"
 SQL["agg5_weighted_cells_with_gaps"] = SQL["agg5_weighted_cells"].replace(
     "FROM num GROUP BY ipix)\n", "FROM num WHERE id % 7 > 1 AND id % 5 > 1 GROUP BY ipix)\n")
-for _name, _head, _source, _reach in (("agg7_degrees_with_gaps", GAPS, "ok", 100.0), ("agg7_degrees_crowded", CROWD, "vec", 10.0)):
+for _name, _head, _source, _reach in (("agg7_degrees_with_gaps", GAPS, "ok", 100.0), ("agg7_degrees_crowded", CROWD, "vec", 10.0), ("agg7_degrees_uneven", UNEVEN, "vec", 5.0)):
     SQL[_name] = f"""WITH {_head}, e AS ({brute('a.id AS id, b.id AS id2', 0.0, rad(_reach), _source)})
   SELECT id, count(*) AS degree FROM (SELECT id FROM e UNION ALL SELECT id2 FROM e) AS u GROUP BY id"""
 for _name in ("cubedsphere", "similar_radius", "healpix"):

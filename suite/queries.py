@@ -15,9 +15,10 @@ from skypairs.operators import graph, pairs, quality, reduce, resolution, stats,
 from skypairs.sources import catalogue, run_log
 
 from .inputs import (BINS, LINEAR, angles, crowded_sky, customer_sky, embedding_points, log_lines, next_pairs, sky,
-                     sky_with_gaps, table, twin_sky, vectors)
+                     sky_with_gaps, table, twin_sky, uneven_sky, vectors)
 
 CROWD_BINS = Binning.linear(0.0, 30.0, 6)
+UNEVEN_BINS = Binning.linear(1.0, 61.0, 6)
 TWIN_BINS = Binning.linear(0.0, 0.002, 1)
 WIDE_BINS = Binning.linear(0.0, 6000.0, 6)
 Query = Callable[[SparkSession, str], DataFrame]
@@ -89,6 +90,19 @@ def prj5_row_id(spark, d):
     return pairs.with_row_id(table(spark, d, "orders"), "o_orderkey").select("id")
 
 
+@query
+def prj5_row_numbers(spark, d):
+    """Ids for a table whose key is not unique, in the order of its columns."""
+    lines = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
+    return pairs.with_row_id(lines)
+
+
+@query
+def src3_random_directions(spark, d):
+    """A direction drawn for every order."""
+    return rounded(quality.sky_of_keys(table(spark, d, "orders").select("o_orderkey"), "o_orderkey", 42), "theta", "phi")
+
+
 @query
 def prj6_7_8_distances(spark, d):
     r = geometry.chord(xyz("s"), xyz("t"))
@@ -288,6 +302,12 @@ def til19_make_cells(spark, d):
     return rounded(reduce.make_cells(df, "healpix", 32), "x32", "y32", "z32")
 
 
+@query
+def til18_til19_rolled_cells(spark, d):
+    """Cells of four resolutions from one count."""
+    return rounded(reduce.rolled_cells(sky(spark, d), [16, 32, 64, 128]), "x", "y", "z")
+
+
 def _speed(spark, d, tiling, nbase):
     return rounded(quality.tiling_speed(angles(spark, d), tiling, nbase), "min_theta_c", "min_phi_c")
 
@@ -396,6 +416,17 @@ def agg1_pair_counts_crowded(spark, d):
     return _counts(pairs.pair_counts(crowded_sky(spark, d), CROWD_BINS))
 
 
+@query
+def agg1_pair_counts_uneven(spark, d):
+    """Densities that differ more than 10,000-fold: cubes are split as deep as each region needs."""
+    return _counts(pairs.pair_counts(uneven_sky(spark, d), UNEVEN_BINS))
+
+
+@query
+def agg7_degrees_uneven(spark, d):
+    return graph.degrees(uneven_sky(spark, d), 5.0)
+
+
 @query
 def agg1_pair_counts_twins(spark, d):
     """A reach below the finest cubes."""
@@ -644,6 +675,12 @@ def agg24_stage_counts(spark, d):
     return pairs.stage_counts(sky(spark, d), BINS)
 
 
+@query
+def agg24_observed_stages(spark, d):
+    """Row counts of the stages, observed while the pairs are counted."""
+    return pairs.counts_with_stages(sky(spark, d), BINS, nbase=14)[1]
+
+
 # ---- bins ----
 
 @query
@@ -732,6 +769,12 @@ def plc1_partitioned_counts(spark, d):
     return _counts(pairs.pair_counts(sky(spark, d), BINS, num_partitions=16))
 
 
+@query
+def plc2_stored_counts(spark, d):
+    """The positions stored while the jobs of one count run."""
+    return _counts(pairs.pair_counts_kept(uneven_sky(spark, d), UNEVEN_BINS))
+
+
 # ---- whole tilings and whole bin ranges: the queries above of the same name count a part (occupied pixels, some bins) ----
 
 def _all_pixels(spark, d, tiling, nbase):

@@ -97,4 +97,4 @@ def test_the_crowded_query_takes_the_pyramid(spark):
 
     points = pairs.catalogue_vectors(crowded_sky(spark, "/root/testdata/sf0.01"))
     positions = distinct_positions(points.withColumn("w", F.lit(1).cast("long")))
-    assert choose_halvings(points, positions, CROWD_BINS) > 0
+    assert choose_halvings(points, CROWD_BINS) > 0

@@ -139,7 +139,7 @@ def test_a_lone_tight_crowd_is_dropped_in_bulk(spark):
     rows = [(k, float(a), float(d)) for k, (a, d) in enumerate(zip(g.uniform(0, 0.01, 800), g.uniform(0, 0.01, 800)))]
     vectors = pairs.catalogue_vectors(frame(spark, rows))
     positions = pyramid.distinct_positions(vectors.withColumn("w", F.lit(1).cast("long")))
-    halvings = pyramid.choose_halvings(vectors, positions, BINS)
+    halvings = pyramid.choose_halvings(vectors, BINS)
     assert halvings > 0
     assert pairs.pair_counts(frame(spark, rows), BINS, halvings=halvings).count() == 0
 
