@@ -7,7 +7,7 @@ from collections.abc import Iterator
 from contextlib import contextmanager
 
 from pyspark import StorageLevel
-from pyspark.sql import Column, DataFrame, Observation, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.binning import Binning, attach_bins
@@ -17,7 +17,7 @@ from .lineage import cut
 from .pyramid import (CROWD, choose_halvings, count_by_bin, distinct_positions, join_partitions,
                       ordered)
 from .resolution import MARGIN, join_base
-from .tiles import assign_pixel, neighbours
+from .tiles import assign_pixel, neighbours, ring_table
 
 
 def catalogue_vectors(catalogue: DataFrame, ra: str = "ra", dec: str = "dec",
@@ -98,7 +98,8 @@ def _meet(left: DataFrame, right: DataFrame, spread_by: list[str], chunk_rows: i
 
 
 def tiling_candidates(vectors: DataFrame, tiling: str, nbase: int, chunk_rows: int = 100_000,
-                      num_partitions: int | None = None, watch: Observation | None = None) -> DataFrame:
+                      num_partitions: int | None = None, watch: Observation | None = None, rings: int = 1,
+                      reach: float | None = None) -> DataFrame:
     """Candidate pairs from a pixel join: each row with the rows of its own and of the neighbouring
     pixels, columns suffixed _a and _b. ``vectors`` carry ipix, x, y, z and a unique ``id``; without
     an id their positions must be distinct.
@@ -107,12 +108,19 @@ def tiling_candidates(vectors: DataFrame, tiling: str, nbase: int, chunk_rows: i
     pair of pixels meets once (five rows per input row instead of nine). Neighbouring pixels reach
     all partners only as far as the tiling's shape allows; see the README. ``watch`` observes the weight of the rows (Ndata)
     and that of their copies for their own and all neighbouring pixels (Ndup) as they pass by.
+
+    With ``rings`` over one, rows are sent as far as that ring of pixels, so that finer pixels cover as well; the rings are worked out
+    once for each pixel that has rows, and pixels beyond ``reach`` (a chord) left out.
     """
     left = vectors.select(F.col("ipix").alias("cell_a"), *(F.col(c).alias(f"{c}_a") for c in vectors.columns))
-    around = neighbours(vectors, tiling, nbase, out="around")
-    if watch is not None:
-        around = around.observe(watch, F.sum("w").alias("Ndata"), F.sum(F.col("w") * (F.size("around") + 1)).alias("Ndup"))
-    around = around.withColumn("at", F.explode(F.concat(F.array("ipix"), "around")))
+    if rings > 1:
+        lower = ring_table(vectors, tiling, nbase, rings, reach).where("at <= ipix").groupBy("ipix").agg(F.collect_list("at").alias("to"))
+        around = vectors.join(lower, "ipix").withColumn("at", F.explode("to")).drop("to")
+    else:
+        around = neighbours(vectors, tiling, nbase, out="around")
+        if watch is not None:
+            around = around.observe(watch, F.sum("w").alias("Ndata"), F.sum(F.col("w") * (F.size("around") + 1)).alias("Ndup"))
+        around = around.withColumn("at", F.explode(F.concat(F.array("ipix"), "around")))
     right = (around.where(F.col("at") <= F.col("ipix"))
              .select(F.col("at").alias("cell_b"), *(F.col(c).alias(f"{c}_b") for c in vectors.columns)))
     by_id = "id" in vectors.columns
@@ -127,20 +135,25 @@ def pair_counts_on_tiling(catalogue: DataFrame, binning: Binning, tiling: str =
                           num_partitions: int | None = None) -> DataFrame:
     """Exact pair count joined on the pixels of a tiling, for those who want that join key. Copies
     of a position are merged first; a crowded sky is better served by ``pair_counts``, which also
-    takes over where no pixel of the tiling is large enough for the last bin."""
-    nbase = nbase or join_base(tiling, binning, MARGIN.get(tiling, 1.0))
-    if not nbase:
+    takes over where no pixel of the tiling is large enough for the last bin. A finer ``nbase`` than the bins ask for is covered by as many
+    rings of pixels as it is finer: k rings reach k times as far as one."""
+    one_ring = join_base(tiling, binning, MARGIN.get(tiling, 1.0))
+    if not one_ring:
         return pair_counts(catalogue, binning, ra, dec, num_partitions=num_partitions)
-    return _counted_on_tiling(catalogue, binning, tiling, ra, dec, nbase, num_partitions)
+    nbase = nbase or one_ring
+    rings = -(-nbase // one_ring)
+    return _counted_on_tiling(catalogue, binning, tiling, ra, dec, nbase, num_partitions, rings=rings)
 
 
 def _counted_on_tiling(catalogue: DataFrame, binning: Binning, tiling: str, ra: str, dec: str, nbase: int,
-                       num_partitions: int | None, sent: Observation | None = None, met: Observation | None = None) -> DataFrame:
+                       num_partitions: int | None, sent: Observation | None = None, met: Observation | None = None,
+                       rings: int = 1) -> DataFrame:
     vectors = catalogue_vectors(catalogue, ra, dec).withColumn("w", F.lit(1).cast("long"))
     positions = distinct_positions(vectors)
     theta, phi = unit_vector_angles(*map(F.col, "xyz"))
     placed = assign_pixel(positions.withColumns({"theta": theta, "phi": phi}), tiling, nbase)
-    pairs = (tiling_candidates(placed.drop("theta", "phi"), tiling, nbase, num_partitions=num_partitions, watch=sent)
+    pairs = (tiling_candidates(placed.drop("theta", "phi"), tiling, nbase, num_partitions=num_partitions, watch=sent, rings=rings,
+                               reach=binning.max_chord)
              .where(binning.inside(pair_r2())))
     if met is not None:
         pairs = pairs.observe(met, F.coalesce(F.sum(F.col("w_a") * F.col("w_b")), F.lit(0).cast("long")).alias("nedges"))
@@ -228,6 +241,48 @@ def pair_counts_kept(catalogue: DataFrame, binning: Binning, ra: str = "ra", dec
         return catalogue.sparkSession.createDataFrame(counts.collect(), counts.schema)
 
 
+def store_for_pairs(catalogue: DataFrame, name: str, binning: Binning, tiling: str = "healpix", ra: str = "ra", dec: str = "dec",
+                    buckets: int = 64, nbase: int | None = None) -> int:
+    """Write a catalogue for many pair counts up to the last bin's reach; returns the resolution of its pixels.
+
+    Two tables, ``<name>_own`` (ipix, x, y, z, w) and ``<name>_around`` (at, ipix, x, y, z, w: every position once for its own and
+    each neighbouring pixel with a lower number), each bucketed and sorted by its pixel: counts join them without an exchange,
+    and a range of pixels reads only the row groups that hold it.
+    """
+    nbase = nbase or join_base(tiling, binning, MARGIN.get(tiling, 1.0))
+    if not nbase:
+        raise ValueError(f"{tiling} has no pixels that reach {binning.upper} arcmin")
+    positions = distinct_positions(catalogue_vectors(catalogue, ra, dec).withColumn("w", F.lit(1).cast("long")))
+    theta, phi = unit_vector_angles(*map(F.col, "xyz"))
+    placed = assign_pixel(positions.withColumns({"theta": theta, "phi": phi}), tiling, nbase).select("ipix", "x", "y", "z", "w")
+    around = neighbours(placed, tiling, nbase, out="near").withColumn("at", F.explode(F.concat(F.array("ipix"), "near"))).drop("near")
+    for rows, key, table in ((placed, "ipix", "own"), (around.where("at <= ipix"), "at", "around")):
+        # one file a bucket, sorted by pixel
+        rows.repartition(buckets, key).write.mode("overwrite").bucketBy(buckets, key).sortBy(key).saveAsTable(f"{name}_{table}")
+    return nbase
+
+
+def stored_pairs(spark: SparkSession, name: str, binning: Binning, pixels: tuple[int, int] | None = None) -> DataFrame:
+    """Pairs in range (suffixes _a, _b) of a catalogue that ``store_for_pairs`` has written for at least that reach; with
+    ``pixels`` those that meet in the pixels from the first to the last number given."""
+    own, around = spark.table(f"{name}_own"), spark.table(f"{name}_around")
+    if pixels is not None:
+        own, around = own.where(F.col("ipix").between(*pixels)), around.where(F.col("at").between(*pixels))
+    a = own.select(*(F.col(c).alias(f"{c}_a") for c in own.columns)).hint("merge")
+    b = around.select("at", *(F.col(c).alias(f"{c}_b") for c in own.columns))
+    return a.join(b, (F.col("ipix_a") == F.col("at")) & ((F.col("ipix_b") != F.col("at")) | ordered("a", "b")) & binning.inside(pair_r2()))
+
+
+def stored_pair_counts(spark: SparkSession, name: str, binning: Binning) -> DataFrame:
+    """Exact pair count per bin of a stored catalogue: (ibin, lo, hi, width, Nbin), ordered by bin."""
+    counts = stored_pairs(spark, name, binning).groupBy(binning.index(pair_r2()).alias("ibin")).agg(
+        F.sum(F.col("w_a") * F.col("w_b")).alias("Nbin"))
+    if binning.rmin == 0.0:
+        counts = (counts.unionByName(_coincident(spark.table(f"{name}_own"), binning))
+                  .groupBy("ibin").agg(F.sum("Nbin").alias("Nbin")))
+    return attach_bins(counts, binning).orderBy("ibin")
+
+
 @contextmanager
 def stored(df: DataFrame, level: StorageLevel = StorageLevel.MEMORY_AND_DISK) -> Iterator[DataFrame]:
     """The frame, kept at a storage level inside the block. Blocks of a lost executor are computed again."""

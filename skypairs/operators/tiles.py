@@ -204,6 +204,21 @@ def explode_neighbours(df: DataFrame, tiling: str, nbase: int, ipix: str = "ipix
     return df.withColumn(out, F.explode(around)).drop("_around")
 
 
+def ring_table(pixels: DataFrame, tiling: str, nbase: int, rings: int, reach: float | None = None) -> DataFrame:
+    """(ipix, at): each of the given pixels with itself and all pixels up to the ``rings``-th ring around it, by expanding
+    rings one after another. With ``reach`` (a chord) those are left out that lie farther away from the pixel as a whole."""
+    around = pixels.select("ipix").distinct().withColumn("at", F.col("ipix"))
+    for _ in range(rings):
+        around = explode_neighbours(around, tiling, nbase, "at", "next", with_self=True).select("ipix", F.col("next").alias("at")).distinct()
+    if reach is None:
+        return around
+    both = pixel_centre_vectors(pixel_centre_vectors(around, tiling, nbase, "ipix", ("_x", "_y", "_z")), tiling, nbase, "at", ("_u", "_v", "_w"))
+    far = sum(((F.col(a) - F.col(b)) * (F.col(a) - F.col(b)) for a, b in zip(("_x", "_y", "_z"), ("_u", "_v", "_w"))), F.lit(0.0))
+    # no point of a pixel is farther from its centre than twice the ideal radius
+    most = reach + 4.0 * ideal_radius(tiling, nbase)
+    return both.where(far <= most * most).select("ipix", "at")
+
+
 def pixel_table(spark: SparkSession, tiling: str, nbase: int, partitions: int | None = None) -> DataFrame:
     """All valid pixel numbers of a tiling (those of the cube tilings are not contiguous)."""
     rows = spark.range(0, n_pixels(tiling, nbase), 1, partitions)

@@ -614,3 +614,6 @@ _n0 += _n0 % 2
 CELLS_SR0 = f"""{corners_similar(_n0)}, {CENTRES}, wgt AS (SELECT ipix, count(*) AS w FROM num GROUP BY ipix),
 cells AS (SELECT cen.ipix AS id, w, cx AS x, cy AS y, cz AS z FROM cen JOIN wgt ON cen.ipix = wgt.ipix)"""
 SQL["agg3_reduced_counts_default_cells_all_bins"] = f"{log_counts(0, 19, CELLS_SR0, 'cells', 'w')} {COUNTS}"
+SQL["plc1_bucketed_counts"] = SQL["agg1_pair_counts_log"]
+for _name in ("cubedsphere", "similar_radius", "healpix"):
+    SQL[f"jon1_jon2_rings_{_name}"] = SQL["agg1_pair_counts_log"]

@@ -3,6 +3,7 @@ arc cosine differ in the last bit between engines."""
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -769,6 +770,26 @@ def plc1_partitioned_counts(spark, d):
     return _counts(pairs.pair_counts(sky(spark, d), BINS, num_partitions=16))
 
 
+@query
+def plc1_bucketed_counts(spark, d):
+    """Counts over a catalogue stored in buckets by pixel."""
+    name = f"sky_{uuid.uuid4().hex}"
+    pairs.store_for_pairs(sky(spark, d), name, BINS, buckets=16)
+    return _counts(pairs.stored_pair_counts(spark, name, BINS))
+
+
+def _rings(tiling):
+    def counts(spark, d):
+        nbase = 4 * resolution.join_base(tiling, BINS)
+        return _counts(pairs.pair_counts_on_tiling(sky(spark, d), BINS, tiling, nbase=nbase))
+    counts.__name__ = f"jon1_jon2_rings_{tiling}"
+    return query(counts)
+
+
+for _tiling in tiles.TILINGS:
+    _rings(_tiling)
+
+
 @query
 def plc2_stored_counts(spark, d):
     """The positions stored while the jobs of one count run."""
