@@ -2,26 +2,28 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.binning import Binning
-from .pairs import catalogue_vectors, pair_list
+from .pairs import catalogue_vectors
 from .pyramid import CROWD, choose_halvings, descend, distinct_positions
 
+# ids are ordered in ranges of 2**RANGE_BITS
+RANGE_BITS = 16
+
 
 def degrees(catalogue: DataFrame, reach_arcmin: float, ra: str = "ra", dec: str = "dec",
             id_col: str = "id", directed: bool = False, halvings: int | str = "auto",
             num_partitions: int | None = None, crowd: int = CROWD) -> DataFrame:
     """(id, degree) of every point with a neighbour closer than ``reach_arcmin`` (chord).
 
-    ``directed`` counts each edge at its smaller id only, which needs the edges themselves. Otherwise
-    pairs of cubes that lie wholly within reach add the weight of one to all points of the other, and
+    Pairs of cubes that lie wholly within reach add the weight of one to all points of the other, and
     only the rest is joined point by point. Sums are kept per cube and per position until the end.
+
+    ``directed`` counts each edge at its smaller id only. A pair of cubes within reach then adds, to each id of one, the number
+    of larger ids in the other, which is read from their common order; the edges are not listed. Ids must be unique.
     """
-    if directed:
-        return (pair_list(catalogue, reach_arcmin, ra, dec, id_col, num_partitions=num_partitions)
-                .groupBy("id").agg(F.count(F.lit(1)).alias("degree")))
     within = Binning.linear(0.0, reach_arcmin, 1)
     points = catalogue_vectors(catalogue.withColumnRenamed(id_col, "id"), ra, dec, keep=("id",))
     positions = distinct_positions(points.withColumn("w", F.lit(1).cast("long")))
@@ -29,6 +31,9 @@ def degrees(catalogue: DataFrame, reach_arcmin: float, ra: str = "ra", dec: str
         halvings = choose_halvings(points, within, crowd)
     tree, found, pairs = descend(positions, within, halvings, num_partitions, crowd)
 
+    if directed:
+        return _directed(points, positions, tree, found, pairs)
+
     near = pairs.select(F.explode(F.array(
         F.struct(*(F.col(f"{c}_a").alias(c) for c in "xyz"), F.col("w_b").alias("add")),
         F.struct(*(F.col(f"{c}_b").alias(c) for c in "xyz"), F.col("w_a").alias("add")))).alias("p"))
@@ -51,6 +56,71 @@ def degrees(catalogue: DataFrame, reach_arcmin: float, ra: str = "ra", dec: str
     return points.join(placed, ["x", "y", "z"]).select("id", "degree")
 
 
+def _directed(points: DataFrame, positions: DataFrame, tree, found: DataFrame | None, pairs: DataFrame) -> DataFrame:
+    """(id, degree): neighbours with a larger id, from decided pairs of cubes, pairs of positions and copies of a position."""
+    # two positions of one id each: the smaller id gains one
+    place = ["x", "y", "z"]
+    single = (F.col("w_a") == 1) & (F.col("w_b") == 1)
+    at = {s: points.select(F.col("id").alias(f"id_{s}"), *(F.col(c).alias(f"{c}_{s}") for c in place)) for s in "ab"}
+    parts = [pairs.where(single).join(at["a"], [f"{c}_a" for c in place]).join(at["b"], [f"{c}_b" for c in place])
+             .select(F.least("id_a", "id_b").alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("add"))]
+
+    # other pairs of positions, and the copies of one: for each position the ids of its partners
+    def toward(s: str, t: str) -> Column:
+        return F.struct(*(F.col(f"{c}_{s}").alias(c) for c in place), *(F.col(f"{c}_{t}").alias(f"of_{c}") for c in place))
+
+    several = pairs.where(~single).select(F.inline(F.array(toward("a", "b"), toward("b", "a"))))
+    copies = positions.where("w > 1")
+    if found is not None:
+        alone = (F.col("cell_a") == F.col("cell_b")) & (F.col("size_a") == F.col("size_b"))
+        above = F.array(*(F.struct(F.lit(size).alias("size"), tree.key(size).alias("cell")) for size in tree.sizes))
+        leaves = tree.leaves().withColumnRenamed("size", "leaf").drop("cell")
+        # a cube decided with itself counts the copies in it
+        whole = found.where(alone).select(F.col("size_a").alias("size"), F.col("cell_a").alias("cell"))
+        counted = (leaves.where("w > 1").select(*place, "leaf", F.inline(above)).where("size <= leaf")
+                   .join(whole, ["size", "cell"], "left_semi").select(*place).distinct())
+        copies = copies.join(counted, place, "left_anti")
+    copies = copies.select(*place, *(F.col(c).alias(f"of_{c}") for c in place))
+    partners = several.unionByName(copies)
+    sources = partners.join(points.select("id", *(F.col(c).alias(f"of_{c}") for c in place)), [f"of_{c}" for c in place])
+    own = points.join(partners.select(*place).distinct(), place)
+    parts.append(_larger(own, sources, place))
+
+    if found is not None:
+        # pairs of cubes within reach: for each cube the ids of its partners
+        def beside(s: str, t: str) -> Column:
+            return F.struct(*(F.col(f"{c}_{u}").alias(f"{name}{c}") for name, u in (("", s), ("of_", t)) for c in ("size", "cell")))
+
+        partners = found.select(F.inline(F.array_compact(F.array(beside("a", "b"), F.when(~alone, beside("b", "a"))))))
+        cubes = partners.select("size", "cell").union(partners.select("of_size", "of_cell")).distinct()
+        members = (points.join(leaves.drop("w"), place).select("id", "leaf", F.inline(above)).where("size <= leaf").drop("leaf")
+                   .join(cubes, ["size", "cell"], "left_semi"))
+        sources = partners.join(members.withColumnsRenamed({"size": "of_size", "cell": "of_cell"}), ["of_size", "of_cell"])
+        own = members.join(partners.select("size", "cell").distinct(), ["size", "cell"], "left_semi")
+        parts.append(_larger(own, sources, ["size", "cell"]))
+
+    total = parts[0]
+    for part in parts[1:]:
+        total = total.unionByName(part)
+    return total.groupBy("id").agg(F.sum("add").alias("degree")).where("degree > 0")
+
+
+def _larger(own: DataFrame, sources: DataFrame, target: list[str]) -> DataFrame:
+    """(id, add): for each id of a target the number of its sources with a larger id.
+
+    Ids are dealt to ranges: whole ranges above are counted, and only ids of one range are put in order, so no task
+    orders all sources of a crowded target.
+    """
+    rows = (own.select(*target, "id", F.lit(0).cast("long").alias("source"))
+            .unionByName(sources.select(*target, "id", F.lit(1).cast("long").alias("source"))))
+    rows = rows.withColumn("range", F.shiftright("id", RANGE_BITS))
+    higher = Window.partitionBy(*target).orderBy(F.desc("range")).rowsBetween(Window.unboundedPreceding, -1)
+    above = rows.groupBy(*target, "range").agg(F.sum("source").alias("n")).withColumn("above", F.coalesce(F.sum("n").over(higher), F.lit(0))).drop("n")
+    larger = Window.partitionBy(*target, "range").orderBy(F.desc("id")).rangeBetween(Window.unboundedPreceding, -1)
+    inside = rows.withColumn("inside", F.coalesce(F.sum("source").over(larger), F.lit(0))).where("source = 0").drop("source")
+    return (inside.join(above, [*target, "range"]).groupBy("id").agg(F.sum(F.col("inside") + F.col("above")).alias("add")))
+
+
 def _gains(found: DataFrame) -> DataFrame:
     """(at, in, gain, own): the weight each cube (size, cell) gains from the decided pairs. A pair of two cubes adds to
     both; a cube paired with itself adds its own weight, and each of its positions is taken off again (own)."""

@@ -617,3 +617,6 @@ SQL["agg3_reduced_counts_default_cells_all_bins"] = f"{log_counts(0, 19, CELLS_S
 SQL["plc1_bucketed_counts"] = SQL["agg1_pair_counts_log"]
 for _name in ("cubedsphere", "similar_radius", "healpix"):
     SQL[f"jon1_jon2_rings_{_name}"] = SQL["agg1_pair_counts_log"]
+for _name, _head, _reach in (("agg7_degrees_directed_uneven", UNEVEN, 5.0), ("agg7_degrees_directed_crowded", CROWD, 10.0)):
+    SQL[_name] = f"""WITH {_head}, e AS ({brute('a.id AS id, b.id AS id2', 0.0, rad(_reach))})
+  SELECT least(id, id2) AS id, count(*) AS degree FROM e GROUP BY 1"""

@@ -428,6 +428,18 @@ def agg7_degrees_uneven(spark, d):
     return graph.degrees(uneven_sky(spark, d), 5.0)
 
 
+@query
+def agg7_degrees_directed_uneven(spark, d):
+    """Each edge counted at its smaller id, on a sky crowded enough for pairs of cubes."""
+    return graph.degrees(uneven_sky(spark, d), 5.0, directed=True)
+
+
+@query
+def agg7_degrees_directed_crowded(spark, d):
+    """The same on patches where positions have copies."""
+    return graph.degrees(crowded_sky(spark, d), 10.0, directed=True)
+
+
 @query
 def agg1_pair_counts_twins(spark, d):
     """A reach below the finest cubes."""
