@@ -14,7 +14,8 @@ Recall of the ten nearest with 8 tables and a quarter of the axes probed: see th
 can be concatenated for finer buckets on larger tables, with more tables or probes for the same recall.
 
 Edge cases: vectors that are null, empty, zero, or hold null or non-finite components take no part, nor do rows with a
-null id. Vectors are compared only with those of the same length. Repeated rows (equal id and vector) count once.
+null id. Vectors are compared only with those of the same length. Repeated rows (equal id and vector) count once. An
+id with several vectors is as near as its nearest one, and asks with each; it has one rank, among the k + 1 nearest vectors.
 Queries with fewer other vectors than k have them all. Further columns don't matter.
 """
 
@@ -132,8 +133,11 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, key: str = "vec
     salted = rows.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(_SALTS)))
     first = Window.partitionBy("vector", "salt").orderBy("id")
     few = salted.distinct().withColumn("n", F.row_number().over(first)).filter(F.col("n") <= k + 1)
-    distinct = written(few.groupBy("vector").agg(F.slice(F.sort_array(F.collect_list("id")), 1, k + 1).alias("ids"))
-                       .select(F.get("ids", F.lit(0)).alias("vid"), "vector", "ids"))
+    # an id can have several vectors, so each distinct vector has a number of its own, in the order of the smallest id
+    distinct = (few.groupBy("vector").agg(F.slice(F.sort_array(F.collect_list("id")), 1, k + 1).alias("ids"))
+                .withColumn("least", F.get("ids", F.lit(0))))
+    distinct = written(distinct.repartitionByRange("least", "vector").sortWithinPartitions("least", "vector")
+                       .select(F.monotonically_increasing_id().alias("vid"), "vector", "ids"))
     square = F.aggregate("vector", F.lit(0.0), lambda a, v: a + v * v)
     scale, count = distinct.agg(F.sqrt(F.avg(square)), F.count("*")).first()
     named = written(rows.join(queries.select(F.col(key).cast("long").alias("id")), "id", "left_semi").distinct()
@@ -173,7 +177,8 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, key: str = "vec
     each = found.join(distinct.select("vid", F.explode("ids").alias("other")), "vid")
     ahead = Window.partitionBy("query").orderBy("score", "other")
     each = each.withColumn("n", F.row_number().over(ahead)).filter(F.col("n") <= k + 1).drop("n", "vid")
-    out = named.join(each, named["vid"] == each["query"]).filter("id <> other")
+    out = (named.join(each, named["vid"] == each["query"]).filter("id <> other")
+           .groupBy("id", "other").agg(F.min("score").alias("score")))
     last = Window.partitionBy("id").orderBy("score", "other")
     return (out.withColumn("rank", F.row_number().over(last)).filter(F.col("rank") <= k)
             .select(F.col("id").alias("query_id"), "rank", F.col("other").alias(key), "score"))

@@ -49,6 +49,18 @@ def test_neighbours_of_odd_vectors(spark, tmp_path):
     compare(spark, write(tmp_path, rows))
 
 
+def test_ids_with_several_vectors(spark, tmp_path):
+    rows = [(0, [0.0, 0.125]), (0, [5.0, 5.125]), *((k % 7 + 1, [k / 8, 1.0 + k % 3]) for k in range(60)), (100, [5.0, 5.0])]
+    got = {}
+    for r in queries.op4_neighbours(spark, write(tmp_path, rows)).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append(r)
+    for q, found in got.items():
+        assert [r.rank for r in found] == list(range(1, len(found) + 1)) and len({r.vec_id for r in found}) == len(found)
+        for r in found:
+            assert r.score == pytest.approx(min(np.hypot(*np.subtract(a, b)) for i, a in rows if i == q for j, b in rows if j == r.vec_id), abs=1e-12)
+    assert sorted(got) == [0, 100]
+
+
 def test_no_vectors(spark, tmp_path):
     assert queries.op4_neighbours(spark, write(tmp_path, [])).count() == 0
 
