@@ -74,8 +74,7 @@ class _Words:
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
-        added = [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.added = "(?i)" + "|".join(added) if added else r"$^"
+        self.added = [(t.content, t.normalized) for t in self.tokenizer.get_added_tokens_decoder().values()]
 
     def __call__(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         plain = [k for k, w in enumerate(words) if _LETTERS.fullmatch(w)]
@@ -139,7 +138,9 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end: int, key: str = "do
             values, lengths = remembered(words)
             at = np.concatenate([[0], np.cumsum(lengths)])[offsets]
             whole = {}  # texts with the string of an added token, which the library takes before it cuts into words
-            odd = pc.match_substring_regex(batch.column(1), remembered.work.added).to_numpy(zero_copy_only=False)
+            odd = np.zeros(batch.num_rows, bool)
+            for content, normalized in remembered.work.added:
+                odd |= pc.match_substring(batch.column(1), content, ignore_case=normalized).to_numpy(zero_copy_only=False)
             for row in np.flatnonzero(odd).tolist():
                 got = remembered.work.tokenizer.encode(batch.column(1)[row].as_py(), add_special_tokens=False)
                 whole[row] = np.array([*got.ids, end], dtype).tobytes()
@@ -150,7 +151,7 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end: int, key: str = "do
                 [pa.array(np.searchsorted(bounds, keys).astype(np.int32)), batch.column(0), pa.array(out, pa.binary())],
                 ["shard", "key", "frame"])
 
-    made = rows.mapInArrow(tidied(run, _remembered), "shard int, key long, frame binary")
+    made = rows.mapInArrow(tidied(run), "shard int, key long, frame binary")
     files = len(bounds) + 1
     (made.repartition(files, "shard").sortWithinPartitions("shard", "key", "frame")
      .select("shard", F.col("frame").cast("string").alias("value"))
