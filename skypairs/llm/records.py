@@ -95,7 +95,7 @@ class _Words:
         return np.concatenate([np.empty(0, np.int32), *values])[ranges(starts, lengths)], lengths
 
 
-def _chunks(places: list[int], size: int = 8192) -> Iterator[list[int]]:
+def _chunks(places: list[int], size: int = 1024) -> Iterator[list[int]]:
     """So many at a time: what the library keeps of a call is many times its text."""
     return (places[k:k + size] for k in range(0, len(places), size))
 
