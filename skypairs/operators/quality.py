@@ -105,8 +105,8 @@ def geometry_summary(geometry: DataFrame) -> DataFrame:
 
 
 def radius_histogram(geometry: DataFrame, column: str, bins: int = 80,
-                     bounds: tuple[float, float] = (0.6, 1.5)) -> DataFrame:
-    return histogram(geometry, column, bins, bounds)
+                     bounds: tuple[float, float] = (0.6, 1.5), weight: str | None = None) -> DataFrame:
+    return histogram(geometry, column, bins, bounds, weight)
 
 
 def occupancy(pixels: DataFrame, ipix: str = "ipix") -> DataFrame:

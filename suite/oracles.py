@@ -620,3 +620,10 @@ for _name in ("cubedsphere", "similar_radius", "healpix"):
 for _name, _head, _reach in (("agg7_degrees_directed_uneven", UNEVEN, 5.0), ("agg7_degrees_directed_crowded", CROWD, 10.0)):
     SQL[_name] = f"""WITH {_head}, e AS ({brute('a.id AS id, b.id AS id2', 0.0, rad(_reach))})
   SELECT least(id, id2) AS id, count(*) AS degree FROM e GROUP BY 1"""
+
+# ---- shapes by symmetry: the same shapes, each from its own corners ----
+for _name in ("cubed_sphere", "similar_radius", "quad_cube", "healpix"):
+    SQL[f"agg19_geometry_{_name}_by_symmetry"] = SQL[f"agg19_geometry_{_name}_all_pixels"]
+SQL["agg20_geometry_summary_by_symmetry"] = SQL["agg20_geometry_summary"]
+SQL["agg20_radius_of_points_by_symmetry"] = f"""WITH {geometry(corners_cubed(40), 9600)},
+  of_points AS (SELECT outer_r FROM geo JOIN num ON geo.ipix = num.ipix), """ + hist("of_points", "outer_r", 80, "0.6e0", "1.5e0")

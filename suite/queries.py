@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from skypairs.functions import binning as B
 from skypairs.functions import cube_faces, geometry, similar_radius
 from skypairs.functions.binning import Binning
-from skypairs.operators import graph, pairs, quality, reduce, resolution, stats, tiles
+from skypairs.operators import graph, pairs, quality, reduce, resolution, stats, symmetry, tiles
 from skypairs.sources import catalogue, run_log
 
 from .inputs import (BINS, LINEAR, angles, crowded_sky, customer_sky, embedding_points, log_lines, next_pairs, sky,
@@ -860,3 +860,47 @@ def set1_union_of_counts_all_bins(spark, d):
 @query
 def agg3_reduced_counts_default_cells_all_bins(spark, d):
     return _counts(reduce.reduced_pair_counts(sky(spark, d), BINS))
+
+
+# ---- shapes by symmetry: one pixel of each orbit stands for the others ----
+
+def _by_symmetry(spark, d, tiling, nbase, like=None):
+    """The shape of every pixel of a tiling with its number of points."""
+    count = quality.occupancy(_pixels(spark, d, like or tiling, nbase)).withColumnRenamed("count", "n")
+    shapes = symmetry.whole_geometry(spark, tiling, nbase).join(count, "ipix", "left")
+    return shapes.withColumns({"n": F.coalesce("n", F.lit(0).cast("long")),
+                               **{c: F.round(c, 6) for c in ("area", "ellipticity", "outer", "inner")}})
+
+
+@query
+def agg19_geometry_cubed_sphere_by_symmetry(spark, d):
+    return _by_symmetry(spark, d, "cubedsphere", 40)
+
+
+@query
+def agg19_geometry_similar_radius_by_symmetry(spark, d):
+    return _by_symmetry(spark, d, "similar_radius", 40)
+
+
+@query
+def agg19_geometry_quad_cube_by_symmetry(spark, d):
+    return _by_symmetry(spark, d, "quadcube", 40, "cubedsphere")
+
+
+@query
+def agg19_geometry_healpix_by_symmetry(spark, d):
+    return _by_symmetry(spark, d, "healpix", 32)
+
+
+@query
+def agg20_geometry_summary_by_symmetry(spark, d):
+    df = symmetry.points_by_orbit(_pixels(spark, d, "similar_radius", 40), "similar_radius", 40)
+    return quality.geometry_summary(df).select(F.round("min_inner", 6).alias("min_inner"),
+                                               F.round("max_outer", 6).alias("max_outer"))
+
+
+@query
+def agg20_radius_of_points_by_symmetry(spark, d):
+    """How many points lie in pixels of which outer radius."""
+    df = symmetry.points_by_orbit(_pixels(spark, d, "cubedsphere", 40), "cubedsphere", 40)
+    return rounded(quality.radius_histogram(df.withColumn("outer", F.round("outer", 6)), "outer", weight="n"), "loc")

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from skypairs.functions import cube_faces, similar_radius
 from skypairs.functions.geometry import chord
-from skypairs.operators import tiles
-from skypairs.operators.quality import random_sky
+from skypairs.operators import symmetry, tiles
+from skypairs.operators.quality import random_sky, tile_geometry
 
 RESOLUTION = {"cubedsphere": 10, "similar_radius": 10, "healpix": 8}
 
@@ -112,3 +112,28 @@ def test_column_form_equals_table_form(spark, tiling):
     around = tiles.neighbours(both, tiling, n).where(
         F.col("neighbours") != tiles.neighbours_of(tiling, n, F.col("ipix")))
     assert around.count() == 0
+
+
+@pytest.mark.parametrize(("tiling", "n"), [("cubedsphere", 1), ("cubedsphere", 6), ("cubedsphere", 7), ("similar_radius", 8),
+                                           ("quadcube", 5), ("quadcube", 6), ("healpix", 1), ("healpix", 2), ("healpix", 8)])
+def test_orbits_cover_each_pixel_once_with_its_own_shape(spark, tiling, n):
+    orbits = symmetry.orbits(spark, tiling, n)
+    size = orbits.agg(F.count("*").alias("n"), F.sum("size").alias("all")).first()
+    assert (size["n"], size["all"]) == (symmetry.n_orbits(tiling, n), tiles.n_pixels(tiling, n))
+    images = symmetry.images(orbits, tiling, n)
+    assert images.select("image").distinct().count() == images.count() == tiles.n_pixels(tiling, n)
+    stands, odd = symmetry.representative(tiling, n, F.col("image"))
+    middle = tiles.with_decoded(images, n, "image", "healpix" if tiling == "healpix" else "cubedsphere")
+    # in a middle line of a face a mirroring may or may not be counted
+    plain = (F.col("i") * 2 != n - 1) & (F.col("j") * 2 != n - 1)
+    assert middle.where((stands != F.col("ipix")) | (plain & (odd != F.col("mirrored")))).count() == 0
+    one_by_one = tile_geometry(tiles.pixel_table(spark, tiling, n), tiling, n).toDF("ipix", "a", "e", "o", "i")
+    both = symmetry.whole_geometry(spark, tiling, n).join(one_by_one, "ipix")
+    off = sum((F.abs(F.col(p) - F.col(q)) for p, q in (("area", "a"), ("ellipticity", "e"), ("outer", "o"), ("inner", "i"))), F.lit(0.0))
+    assert both.count() == tiles.n_pixels(tiling, n)
+    assert both.where(~(off < 1e-6)).count() == 0
+
+
+def test_whole_shapes_need_no_exchange(spark):
+    plan = symmetry.whole_geometry(spark, "similar_radius", 64)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Join" not in plan
