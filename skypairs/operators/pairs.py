@@ -20,6 +20,10 @@ from .resolution import MARGIN, join_base
 from .tiles import assign_pixel, neighbours, ring_table
 
 
+#: Parts that the rows of one key are dealt to where they look up its number of chunks.
+SALTS = 64
+
+
 def catalogue_vectors(catalogue: DataFrame, ra: str = "ra", dec: str = "dec",
                       keep: tuple[str, ...] = ()) -> DataFrame:
     """Unit vectors (x, y, z) of a catalogue in degrees; rows without a position are left out."""
@@ -82,15 +86,18 @@ def _meet(left: DataFrame, right: DataFrame, spread_by: list[str], chunk_rows: i
     ``spread_by``, and the right rows of that key are repeated for each chunk, so the work on one key
     is shared by many tasks and each task buffers one chunk.
     """
-    crowded = (left.groupBy("cell_a").agg(F.ceil(F.count(F.lit(1)) / chunk_rows).cast("long").alias("chunks"))
-               .where(F.col("chunks") > 1))
     first = F.lit(0).cast("long")
-    left = (left.join(crowded, "cell_a", "left")
+    crowded = (left.groupBy("cell_a").agg(F.ceil(F.count(F.lit(1)) / chunk_rows).cast("long").alias("chunks"))
+               .where(F.col("chunks") > 1)
+               .withColumn("salt", F.explode(F.sequence(first, F.lit(SALTS - 1).cast("long")))))
+    # the rows of a key meet its number of chunks in many tasks as well
+    left = (left.withColumn("salt", F.pmod(F.xxhash64(*spread_by), F.lit(SALTS)).cast("long")).join(crowded, ["cell_a", "salt"], "left")
             .withColumn("chunk", F.coalesce(F.pmod(F.xxhash64(*spread_by), F.col("chunks")), first))
-            .drop("chunks"))
-    right = (right.join(crowded.withColumnRenamed("cell_a", "cell_b"), "cell_b", "left")
+            .drop("chunks", "salt"))
+    right = (right.withColumn("salt", F.pmod(F.xxhash64(*right.columns), F.lit(SALTS)).cast("long"))
+             .join(crowded.withColumnRenamed("cell_a", "cell_b"), ["cell_b", "salt"], "left")
              .withColumn("to", F.explode(F.sequence(first, F.coalesce("chunks", F.lit(1).cast("long")) - 1)))
-             .drop("chunks"))
+             .drop("chunks", "salt"))
     n = num_partitions or join_partitions(left)
     left = left.repartition(n, "cell_a", "chunk").hint("merge")
     return left.join(right.repartition(n, "cell_b", "to"),
