@@ -282,6 +282,48 @@ def test_trees_without_labels_of_both_kinds():
     assert quality.grow(x, np.ones(5)).score(x)[0] > 0.9
 
 
+def test_trees_by_plain_rules():
+    """Flattened trees score as a walk down each does; in the first, every split is the best of all, every leaf a Newton step."""
+    r = np.random.default_rng(6)
+    x = r.normal(size=(400, 5)).round(1)
+    y = (((x[:, 0] > 0) != (x[:, 2] > 0.4)) != (r.random(400) < 0.1)).astype(float)
+    trees = quality.grow(x, y)
+    inner = 2**quality.DEPTH - 1
+
+    def walk(row, k, node=0):
+        if node >= inner:
+            return trees.leaves[k][node - inner]
+        return walk(row, k, 2 * node + (2 if row[trees.features[k][node]] > trees.cuts[k][node] else 1))
+
+    total = [trees.start + sum(walk(row, k) for k in range(quality.TREES)) for row in x[:60]]
+    assert np.allclose(trees.score(x[:60]), 1 / (1 + np.exp(-np.array(total))))
+
+    first, second = y - y.mean(), np.full(len(y), y.mean() * (1 - y.mean()))
+    edges = [np.unique(np.quantile(c, [k / quality.BINS for k in range(1, quality.BINS)])) for c in x.T]
+
+    def worth(rows):
+        return first[rows].sum() ** 2 / (second[rows].sum() + quality.RIDGE)
+
+    def gain(rows, left):
+        return worth(rows & left) + worth(rows & ~left) - worth(rows)
+
+    def look(node, rows):
+        if node >= inner:
+            step = quality.RATE * first[rows].sum() / (second[rows].sum() + quality.RIDGE)
+            assert trees.leaves[0][node - inner] == pytest.approx(step, abs=1e-9)
+            return
+        sides = [x[:, f] <= e for f in range(5) for e in edges[f]]
+        best = max((gain(rows, s) for s in sides if min((rows & s).sum(), (rows & ~s).sum()) >= quality.LEAST), default=0)
+        feature, cut = trees.features[0][node], trees.cuts[0][node]
+        left = x[:, feature] <= cut
+        assert gain(rows, left) == pytest.approx(best, abs=1e-6) if np.isfinite(cut) else best < 1e-6
+        look(2 * node + 1, rows & left)
+        look(2 * node + 2, rows & ~left)
+
+    look(0, np.ones(len(y), bool))
+    assert np.isfinite(trees.cuts[0][0])
+
+
 def brute_repeats(rows):
     key = lambda k: 2**63 - 1 if k is None else k
     first, words = {}, [re.findall(r"[^\x20\x09-\x0D]+", t or "") for _, t in rows]

@@ -122,3 +122,14 @@ def test_empty_table_and_repeated_rows(spark, documents):
     for query in (queries.op1_byte_bpe, queries.op7_token_records, queries.op9_token_counts):
         assert query(spark, none).count() == 0
         assert query(spark, twice).count() == 4
+
+
+def test_more_words_than_one_call_takes():
+    path = public.path("word_bpe_49k.json")
+    g = random.Random(11)
+    words = list({"".join(g.choices("abcdefghijklmnoé", k=g.randint(1, 9))) for _ in range(3000)}) + ["don't", "x1", "", "--"]
+    words = g.sample(words, len(words))
+    values, lengths = records._Words(path)(words)
+    plain = Tokenizer.from_file(path)
+    want = [plain.encode(w, add_special_tokens=False).ids for w in words]
+    assert lengths.tolist() == [len(w) for w in want] and values.tolist() == [i for w in want for i in w]
