@@ -4,10 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from ..functions.binning import Binning
+from .blocks import degrees_in_blocks
 from .pairs import catalogue_vectors
-from .pyramid import CROWD, choose_halvings, descend, distinct_positions
+from .pyramid import choose_halvings, descend, distinct_positions, join_partitions
+
+# rows in a cube from which points meet in blocks: pairs of points would be rows
+DEGREE_CROWD = 64
 
 # ids are ordered in ranges of 2**RANGE_BITS
 RANGE_BITS = 16
@@ -15,8 +20,11 @@ RANGE_BITS = 16
 
 def degrees(catalogue: DataFrame, reach_arcmin: float, ra: str = "ra", dec: str = "dec",
             id_col: str = "id", directed: bool = False, halvings: int | str = "auto",
-            num_partitions: int | None = None, crowd: int = CROWD) -> DataFrame:
-    """(id, degree) of every point with a neighbour closer than ``reach_arcmin`` (chord).
+            num_partitions: int | None = None, crowd: int = DEGREE_CROWD) -> DataFrame:
+    """(id, degree) of every point with a neighbour closer than ``reach_arcmin`` (chord). Ids are unique.
+
+    If a cube holds more than ``crowd`` rows and ids are whole numbers, points meet in blocks, and a pair of points is no row.
+    Otherwise:
 
     Pairs of cubes that lie wholly within reach add the weight of one to all points of the other, and
     only the rest is joined point by point. Sums are kept per cube and per position until the end.
@@ -26,9 +34,14 @@ def degrees(catalogue: DataFrame, reach_arcmin: float, ra: str = "ra", dec: str
     """
     within = Binning.linear(0.0, reach_arcmin, 1)
     points = catalogue_vectors(catalogue.withColumnRenamed(id_col, "id"), ra, dec, keep=("id",))
-    positions = distinct_positions(points.withColumn("w", F.lit(1).cast("long")))
     if halvings == "auto":
         halvings = choose_halvings(points, within, crowd)
+    if halvings and isinstance(points.schema["id"].dataType, IntegralType):
+        kind = points.schema["id"].dataType
+        n = num_partitions or join_partitions(points)
+        return (degrees_in_blocks(points.withColumn("id", F.col("id").cast("long")), within, directed, n)
+                .withColumn("id", F.col("id").cast(kind)))
+    positions = distinct_positions(points.withColumn("w", F.lit(1).cast("long")))
     tree, found, pairs = descend(positions, within, halvings, num_partitions, crowd)
 
     if directed:

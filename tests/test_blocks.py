@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 
 from skypairs.functions.binning import Binning
 from skypairs.functions.boxes import Boxes, halved, pair_histogram
-from skypairs.operators import blocks, pairs, pyramid
-from tests.test_pairs import brute_counts, frame
+from skypairs.operators import blocks, graph, pairs, pyramid
+from tests.test_pairs import brute_counts, brute_r2, frame
 
 
 def positions_of(spark, rows):
@@ -89,3 +89,16 @@ def test_edges_are_those_of_the_bin_formula(spark):
         for r in rows:
             k = int(np.searchsorted(edges, r["r2"], "right"))
             assert r["i"] == (bins.imin + k - 1 if 0 < k < len(edges) else None)
+
+
+@pytest.mark.parametrize("directed", [False, True])
+def test_degrees_in_blocks(spark, sky, directed):
+    points = pairs.catalogue_vectors(frame(spark, sky), keep=("id",))
+    i, j, r2 = brute_r2(sky)
+    near = r2 < math.radians(0.5) ** 2
+    want = np.bincount(i[near] if directed else np.concatenate([i[near], j[near]]), minlength=len(sky))
+    got = blocks.degrees_in_blocks(points, Binning.linear(0.0, 30.0, 1), directed, 5, 70)
+    assert {r["id"]: r["degree"] for r in got.collect()} == {k: int(n) for k, n in enumerate(want) if n}
+    # pairs of points were rows of a join once: crowded skies take the blocks now
+    plan = graph.degrees(frame(spark, sky), 30.0, directed=directed)._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" in plan and "x_a" not in plan
