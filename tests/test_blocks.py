@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from skypairs.functions.binning import Binning
 from skypairs.functions.boxes import Boxes, halved, pair_histogram
 from skypairs.operators import blocks, graph, pairs, pyramid
+from skypairs.operators.resolution import MARGIN, join_base
 from tests.test_pairs import brute_counts, brute_r2, frame
 
 
@@ -102,3 +103,25 @@ def test_degrees_in_blocks(spark, sky, directed):
     # pairs of points were rows of a join once: crowded skies take the blocks now
     plan = graph.degrees(frame(spark, sky), 30.0, directed=directed)._jdf.queryExecution().optimizedPlan().toString()
     assert "MapInArrow" in plan and "x_a" not in plan
+
+
+@pytest.mark.parametrize("tiling", ["cubedsphere", "similar_radius", "healpix"])
+@pytest.mark.parametrize("finer", [1, 4])
+def test_counts_on_crowded_pixels(spark, sky, tiling, finer, monkeypatch):
+    """Positions were rows of a join, repeated for up to 40 pixels and compared as rows."""
+    monkeypatch.setattr(pairs, "PIXEL_CROWD", 20)
+    bins = Binning.log(2.5, 250.0, 20)
+    nbase = join_base(tiling, bins, MARGIN.get(tiling, 1.0)) * finer
+    counts = pairs.pair_counts_on_tiling(frame(spark, sky), bins, tiling, nbase=nbase)
+    assert {r["ibin"]: r["Nbin"] for r in counts.collect()} == brute_counts(sky, bins)
+    plan = counts._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" in plan and "x_a" not in plan
+
+
+def test_stages_of_crowded_pixels(spark, sky):
+    bins = Binning.linear(0.0, 100.0, 4)
+    counts, stages = pairs.counts_with_stages(frame(spark, sky), bins)
+    row, want = stages.first(), brute_counts(sky, bins)
+    assert {r["ibin"]: r["Nbin"] for r in counts.collect()} == want
+    assert (row["Ndata"], row["nedges"]) == (len(sky), sum(want.values()) - 120)
+    assert 8 * len(sky) <= row["Ndup"] <= 9 * len(sky)
