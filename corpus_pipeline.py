@@ -39,11 +39,9 @@ def without_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, ids (little-endian unsigned 32-bit), and whether they decode to the text."""
-    ids = bpe.encode(docs.select(F.struct("doc_id", "text").alias("row"), "text"), RANKS, public_tokenizers.PATTERN, key="row")
-    back = bpe.decode(ids.select(F.struct("row", "ids").alias("row"), "ids"), RANKS, key="row")
-    same = F.col("bytes") == F.coalesce(F.col("row.row.text"), F.lit("")).cast("binary")
-    return back.select("row.row.doc_id", F.expr("octet_length(row.ids) div 4").alias("n_tokens").cast("long"),
-                       "row.ids", same.alias("round_trip"))
+    rows = bpe.round_trip(docs, RANKS, public_tokenizers.PATTERN)
+    return rows.select("doc_id", F.expr("octet_length(ids) div 4").alias("n_tokens").cast("long"), "ids",
+                       F.col("same").alias("round_trip"))
 
 
 STAGES = [

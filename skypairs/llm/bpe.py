@@ -28,10 +28,13 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from skypairs.llm.columns import binary_column, binary_rows, flat, ranges, tidied
-from skypairs.llm.words import WORDS, Remembered, joined, row_totals, slices
+from skypairs.llm.columns import binary_column, binary_rows, flat, tidied
+from skypairs.llm.words import Remembered, joined, row_totals, slices
 
 NO_RANK = 2**31 - 1
+#: Bytes of text encoded at once, and words (and pieces) remembered.
+SLICE = 1 << 20
+WORDS = 1 << 17
 _BUCKETS = 1 << 16
 _BLANK = r"\s\x{0B}\x{1C}-\x{1F}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
 #: Runs of white space that can't be cut at each blank without changing the pieces.
@@ -168,17 +171,15 @@ class _Encoder:
 
     def __init__(self, path: str, pattern: str):
         self.merges, self.pattern = _merges(path), regex.compile(pattern)
-        self.pieces: dict[str, np.ndarray] = {}
-        self.inner = Remembered(lambda words: joined(self._ids([" " + w for w in words])))
+        self.pieces = Remembered(lambda pieces: joined(self.merges.fold([p.encode() for p in pieces])), most=WORDS)
+        self.inner = Remembered(lambda words: self._ids([" " + w for w in words]), most=WORDS)
 
-    def _ids(self, chunks: list[str]) -> list[np.ndarray]:
+    def _ids(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all chunks one after another, and how many each chunk has."""
         found = [self.pattern.findall(c) for c in chunks]
-        if len(self.pieces) > WORDS:
-            self.pieces = {}
-        if new := list({p for f in found for p in f if p not in self.pieces}):
-            self.pieces.update(zip(new, self.merges.fold([p.encode() for p in new]), strict=True))
-        get = self.pieces.__getitem__
-        return [get(f[0]) if len(f) == 1 else np.concatenate([*map(get, f), np.empty(0, np.int32)]) for f in found]
+        offsets = np.concatenate([[0], np.cumsum(np.fromiter(map(len, found), np.int64, len(found)))])
+        values, lengths = self.pieces(pa.array([p for f in found for p in f], pa.large_string()))
+        return values, row_totals(lengths, offsets)
 
     def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts one after another, and how many each text has."""
@@ -186,17 +187,40 @@ class _Encoder:
         words, offsets = flat(pc.split_pattern(texts, " "))
         values, lengths = self.inner(words)
         at = np.concatenate([[0], np.cumsum(lengths)])
-        sizes = row_totals(lengths, offsets)
-        parts = []
-        first = self._ids(words.take(pa.array(offsets[:-1])).to_pylist())
-        for k, (head, start) in enumerate(zip(first, offsets[:-1], strict=True)):
+        heads, head_sizes = self._ids(words.take(pa.array(offsets[:-1])).to_pylist())
+        head_at = np.concatenate([[0], np.cumsum(head_sizes)])
+        sizes, parts = np.empty(len(texts), np.int64), []
+        for k, start in enumerate(offsets[:-1]):
             if whole[k]:
-                parts.append(self._ids([texts[k].as_py()])[0])
+                mine = [self._ids([texts[k].as_py()])[0]]
             else:  # the first word of a text has no blank before it
-                parts += [head, values[at[start + 1]:at[offsets[k + 1]]]]
-            sizes[k] = sum(map(len, parts[-1 if whole[k] else -2:]))
+                mine = [heads[head_at[k]:head_at[k + 1]], values[at[start + 1]:at[offsets[k + 1]]]]
+            sizes[k] = sum(map(len, mine))
+            parts += mine
         return np.concatenate(parts), sizes
 
+    def column(self, texts: pa.Array) -> pa.Array:
+        """Ids of each text as little-endian unsigned 32-bit integers."""
+        values, sizes = self(texts)
+        return binary_column(values.astype("<u4"), 4 * np.concatenate([[0], np.cumsum(sizes)]))
+
+
+class _Decoder:
+    """Bytes of whole columns of ids."""
+
+    def __init__(self, path: str):
+        ranks = ranks_of(path)
+        tokens = [b""] * (max(ranks.values()) + 1)
+        for token, rank in ranks.items():
+            tokens[rank] = token
+        self.tokens = pa.array(tokens, pa.large_binary())
+
+    def column(self, ids: pa.Array) -> pa.Array:
+        data, offsets = binary_rows(ids)
+        got = data.view("<u4") if data.flags.aligned else np.frombuffer(data.tobytes(), "<u4")
+        out, at = binary_rows(self.tokens.take(pa.array(got)))
+        return binary_column(out, at[offsets // 4])
+
 
 def encode(docs: DataFrame, ranks: str, pattern: str, key: str = "doc_id", text: str = "text",
            ids: str = "ids") -> DataFrame:
@@ -206,10 +230,8 @@ def encode(docs: DataFrame, ranks: str, pattern: str, key: str = "doc_id", text:
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _Encoder(ranks, pattern)
-        for batch in slices(batches, "text"):
-            values, sizes = encoder(batch.column(1))
-            column = binary_column(values.astype("<u4"), 4 * np.concatenate([[0], np.cumsum(sizes)]))
-            yield pa.RecordBatch.from_arrays([batch.column(0), column], ["key", "ids"])
+        for batch in slices(batches, "text", SLICE):
+            yield pa.RecordBatch.from_arrays([batch.column(0), encoder.column(batch.column(1))], ["key", "ids"])
 
     kind = docs.schema[key].dataType.simpleString()
     rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
@@ -219,27 +241,39 @@ def encode(docs: DataFrame, ranks: str, pattern: str, key: str = "doc_id", text:
 def decode(encoded: DataFrame, ranks: str, key: str = "doc_id", ids: str = "ids", text: str = "bytes") -> DataFrame:
     """The key and the bytes that the ids stand for, concatenated."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = sorted(ranks_of(ranks), key=ranks_of(ranks).__getitem__)
-        numbers = np.array(sorted(ranks_of(ranks).values()))
-        lengths = np.zeros(numbers[-1] + 1, np.int64)
-        lengths[numbers] = [len(t) for t in tokens]
-        starts, pieces = np.cumsum(lengths) - lengths, np.frombuffer(b"".join(tokens), np.uint8)
+        decoder = _Decoder(ranks)
         for batch in batches:
             for begin in range(0, batch.num_rows, 500):
                 part = batch.slice(begin, 500)
-                data, offsets = binary_rows(part.column(1))
-                got = data.view("<u4") if data.flags.aligned else np.frombuffer(data.tobytes(), "<u4")
-                sizes = lengths[got]
-                ends = 1 + np.cumsum(sizes)
-                out = pieces[ranges(starts[got], sizes)]
-                column = binary_column(out, np.concatenate([[1], ends])[offsets // 4] - 1)
-                yield pa.RecordBatch.from_arrays([part.column(0), column], ["key", "bytes"])
+                yield pa.RecordBatch.from_arrays([part.column(0), decoder.column(part.column(1))], ["key", "bytes"])
 
     kind = encoded.schema[key].dataType.simpleString()
     rows = encoded.select(F.col(key).alias("key"), F.col(ids).alias("ids"))
     return rows.mapInArrow(tidied(run, ranks_of), f"key {kind}, bytes binary").toDF(key, text)
 
 
+def round_trip(docs: DataFrame, ranks: str, pattern: str, key: str = "doc_id", text: str = "text", ids: str = "ids",
+               decoded: str = "bytes", same: str = "same") -> DataFrame:
+    """The key, the ids of each text as `encode` gives them, the bytes that `decode` makes of these ids, and whether these are
+    the text's own.
+
+    Both steps run in one Python worker a task, on a slice of the texts at a time: `decode` after `encode` keeps two workers a
+    task alive, and sends the ids and all that the key carries to both.
+    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder, decoder = _Encoder(ranks, pattern), _Decoder(ranks)
+        for batch in slices(batches, "text", SLICE):
+            made = encoder.column(batch.column(1))
+            back = decoder.column(made)
+            equal = pc.equal(back, batch.column(1).cast(pa.large_binary()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), made, back, equal], ["key", "ids", "bytes", "same"])
+
+    kind = docs.schema[key].dataType.simpleString()
+    rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
+    types = f"key {kind}, ids binary, bytes binary, same boolean"
+    return rows.mapInArrow(tidied(run, ranks_of, _merges), types).toDF(key, ids, decoded, same)
+
+
 def rank_map(ranks: dict[bytes, int]) -> Column:
     """The ranks as one literal: maps from a token, its bytes read as Latin-1, in an array by the token's checksum."""
     buckets: list[dict[str, int]] = [{} for _ in range(_BUCKETS)]

@@ -22,11 +22,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ids = bpe.encode(table(spark, sf_dir, "documents"), RANKS, public_tokenizers.PATTERN)
-    ids = ids.select(F.struct("doc_id", "ids").alias("row"), "ids")
-    back = bpe.decode(ids, RANKS, key="row")
-    return back.select("row.doc_id", F.expr("octet_length(row.ids) div 4").cast("long").alias("n_tokens"),
-                       F.sha2("row.ids", 256).alias("ids_sha256"), F.sha2("bytes", 256).alias("decoded_sha256"))
+    rows = bpe.round_trip(table(spark, sf_dir, "documents"), RANKS, public_tokenizers.PATTERN)
+    return rows.select("doc_id", F.expr("octet_length(ids) div 4").cast("long").alias("n_tokens"),
+                       F.sha2("ids", 256).alias("ids_sha256"), F.sha2("bytes", 256).alias("decoded_sha256"))
 
 
 def _span_text(spans: str) -> Column:

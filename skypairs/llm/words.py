@@ -20,8 +20,8 @@ SLICE = 2 << 20
 WORDS = 1 << 18
 
 
-def slices(batches: Iterator[pa.RecordBatch], text: str) -> Iterator[pa.RecordBatch]:
-    """The batches in runs of rows that hold about SLICE bytes of text; null texts become empty ones."""
+def slices(batches: Iterator[pa.RecordBatch], text: str, size: int = SLICE) -> Iterator[pa.RecordBatch]:
+    """The batches in runs of rows that hold about that many bytes of text; null texts become empty ones."""
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -32,7 +32,7 @@ def slices(batches: Iterator[pa.RecordBatch], text: str) -> Iterator[pa.RecordBa
         begin = 0
         while begin < batch.num_rows:
             done = total[begin - 1] if begin else 0
-            end = max(begin + 1, int(np.searchsorted(total, done + SLICE, "right")))
+            end = max(begin + 1, int(np.searchsorted(total, done + size, "right")))
             yield batch.slice(begin, end - begin)
             begin = end
         pa.default_memory_pool().release_unused()
@@ -45,10 +45,11 @@ def joined(arrays: list[np.ndarray], dtype=np.int32) -> tuple[np.ndarray, np.nda
 
 
 class Remembered:
-    """Arrays of numbers by word; `work` makes them for a list of new words: all values, and how many each word has."""
+    """Arrays of numbers by word, of so many words at most; `work` makes them for a list of new words: all values, and how many
+    each word has."""
 
-    def __init__(self, work: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], dtype=np.int32):
-        self.work, self.dtype = work, dtype
+    def __init__(self, work: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], dtype=np.int32, most: int = WORDS):
+        self.work, self.dtype, self.most = work, dtype, most
         self.forget()
 
     def forget(self) -> None:
@@ -76,7 +77,7 @@ class Remembered:
         """All values of the words one after another, and the number of values of each word."""
         coded = words.dictionary_encode()
         distinct = coded.dictionary.to_pylist()
-        if len(self.known) + len(distinct) > WORDS:
+        if len(self.known) + len(distinct) > self.most:
             self.forget()
         known = self.known
         if new := [w for w in distinct if w not in known]:

@@ -6,6 +6,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers as public
+import pyarrow as pa
 import pytest
 import sentencepiece
 import tiktoken
@@ -51,6 +52,36 @@ def test_byte_bpe(spark, folder, texts, tokenizer):
         assert r.decoded_sha256 == sha(text.encode())
 
 
+def test_round_trip_equals_encode_and_decode(spark, folder, texts):
+    docs = queries.table(spark, folder, "documents")
+    ids = bpe.encode(docs, queries.RANKS, public.PATTERN)
+    want = {r.doc_id: bytes(r.ids) for r in ids.collect()}
+    back = {r.doc_id: bytes(r.bytes) for r in bpe.decode(ids, queries.RANKS).collect()}
+    rows = bpe.round_trip(docs, queries.RANKS, public.PATTERN).collect()
+    assert len(rows) == len(want) == len(texts)
+    for r in rows:
+        assert bytes(r.ids) == want[r.doc_id] and bytes(r.bytes) == back[r.doc_id] == (texts[r.doc_id] or "").encode() and r.same
+
+
+def test_one_python_worker_a_task(spark, folder):
+    import corpus_pipeline
+
+    docs = queries.table(spark, folder, "documents")
+    for rows in (queries.op1_byte_bpe(spark, folder), corpus_pipeline.token_ids(spark, docs, folder)):
+        assert rows._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
+
+
+def test_remembered_pieces_are_bounded(tokenizer, monkeypatch):
+    monkeypatch.setattr(bpe, "WORDS", 2000, raising=False)
+    encoder = bpe._Encoder(queries.RANKS, public.PATTERN)
+    g = random.Random(5)
+    for _ in range(8):
+        texts = [" ".join("".join(g.choices("abcdefghijklmnopqrstuvwxyz", k=6)) for _ in range(40)) for _ in range(20)]
+        values, sizes = encoder(pa.array(texts, pa.large_string()))
+        assert len(getattr(encoder.pieces, "known", encoder.pieces)) <= 2000 and len(encoder.inner.known) <= 2000
+        assert [v.tolist() for v in np.split(values, np.cumsum(sizes)[:-1])] == [tokenizer.encode_ordinary(t) for t in texts]
+
+
 def test_fold_of_columns_equals_the_batched_fold(spark, tokenizer):
     words = ["", "a", "worldwide", "überraschung", "日本語", "zzzzzzzz", " indivisible", "antidisestablishmentarianism"]
     ranks = bpe.rank_map(bpe.ranks_of(queries.RANKS))
