@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.binning import Binning, attach_bins
 from ..functions.geometry import chord2, has_position, unit_vector_angles, with_angles, with_unit_vector
-from .blocks import count_blocks, pixel_block_pairs, pixel_blocks
+from .blocks import count_blocks, packed_by_pixel, pixel_block_pairs, pixel_blocks
 from .grid import spread_to_touching, top_edge, with_cell
 from .lineage import cut
 from .pyramid import (CROWD, choose_halvings, count_by_bin, distinct_positions, join_partitions,
@@ -305,11 +305,21 @@ def stored_pairs(spark: SparkSession, name: str, binning: Binning, pixels: tuple
 
 
 def stored_pair_counts(spark: SparkSession, name: str, binning: Binning) -> DataFrame:
-    """Exact pair count per bin of a stored catalogue: (ibin, lo, hi, width, Nbin), ordered by bin."""
-    counts = stored_pairs(spark, name, binning).groupBy(binning.index(pair_r2()).alias("ibin")).agg(
-        F.sum(F.col("w_a") * F.col("w_b")).alias("Nbin"))
+    """Exact pair count per bin of a stored catalogue: (ibin, lo, hi, width, Nbin), ordered by bin.
+
+    Rows meet in the join of the two tables while pixels hold few positions. Otherwise the positions of a pixel, which the first
+    table has one after the other, are packed to blocks where they are read, and the second one names the pixels that meet."""
+    own, around = spark.table(f"{name}_own"), spark.table(f"{name}_around")
+    fullest = own.groupBy("ipix").count().agg(F.max("count")).first()[0] or 0
+    if fullest > PIXEL_CROWD:
+        packed = packed_by_pixel(own)
+        judged = cut(pixel_block_pairs(packed, around.select("ipix", "at").distinct(), binning.squared_edges()))
+        counts = count_blocks(packed, judged, binning, join_partitions(own))
+    else:
+        counts = stored_pairs(spark, name, binning).groupBy(binning.index(pair_r2()).alias("ibin")).agg(
+            F.sum(F.col("w_a") * F.col("w_b")).alias("Nbin"))
     if binning.rmin == 0.0:
-        counts = (counts.unionByName(_coincident(spark.table(f"{name}_own"), binning))
+        counts = (counts.unionByName(_coincident(own, binning))
                   .groupBy("ibin").agg(F.sum("Nbin").alias("Nbin")))
     return attach_bins(counts, binning).orderBy("ibin")
 
